@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 from itertools import product
 
@@ -33,74 +34,103 @@ def common_gate(lim: Limits = Limits()) -> Column:
             & (F.col("mc_close") > 0) & (F.col("return_5s") <= lim.max_return_5s))
 
 
-def crowd_acceleration(buys_2s, buyers_5s, buy_sol_5s, pressure) -> Column:
-    return ((F.col("buys_2s") >= buys_2s) & (F.col("buyer_seconds_5s") >= buyers_5s) & (F.col("buy_sol_5s") >= buy_sol_5s)
-            & _dominates("buy_sol_5s", "sell_sol_5s", pressure, 0.03)
-            & (F.col("buys_5s") > F.col("prior_buys_5_to_15s") * 0.5))
-
-
-def quiet_to_burst(buys_2s, prior_buys_max, buy_sol_2s) -> Column:
-    return ((F.col("buys_2s") >= buys_2s) & (F.col("prior_buys_5_to_15s") <= prior_buys_max)
-            & (F.col("buy_sol_2s") >= buy_sol_2s) & _dominates("buy_sol_2s", "sell_sol_2s", 2.0, 0.02))
-
-
-def pullback_reclaim(drawdown, bounce, buys_2s, pressure) -> Column:
-    return (_between("drawdown_from_60s_peak", -0.65, drawdown) & (F.col("bounce_from_15s_low") >= bounce)
-            & (F.col("buys_2s") >= buys_2s) & _dominates("buy_sol_2s", "sell_sol_2s", pressure, 0.02))
-
-
-def sell_absorption(sell_sol_5s, buys_2s) -> Column:
-    return ((F.col("sell_sol_5s") >= sell_sol_5s) & (F.col("buys_2s") >= buys_2s) & (F.col("buy_sol_2s") >= 0.15)
-            & (F.col("one_bar_return") >= -0.08) & (F.col("drawdown_from_60s_peak") >= -0.40))
-
-
-def breadth_breakout(current_buyers, return_5s, buy_sol_2s) -> Column:
-    return ((F.col("buyers") >= current_buyers) & (F.col("return_5s") >= return_5s)
-            & (F.col("buy_sol_2s") >= buy_sol_2s) & _dominates("buy_sol_2s", "sell_sol_2s", 1.5, 0.02))
-
-
-def manual_state_anticipation(age_max, curve_min, buys_2s, buy_sol_5s, pressure) -> Column:
-    return ((F.col("age_seconds") <= age_max) & (F.col("curve_close") >= curve_min) & (F.col("buys_2s") >= buys_2s)
-            & (F.col("buy_sol_5s") >= buy_sol_5s) & _dominates("buy_sol_5s", "sell_sol_5s", pressure, 0.10)
-            & _between("return_5s", 0.02, 0.60) & (F.col("drawdown_from_60s_peak") >= -0.20))
+@dataclass(frozen=True)
+class Family:
+    """A rule with some thresholds left open: ``fixed`` always applies, each dimension is one open threshold.
 
+    A dimension maps a threshold to its test; ``grid`` lists the values to try. Along one dimension the tests are
+    nested (a bar passing a tight value passes every looser one), so a bar's result for the whole grid is one
+    small level number per dimension.
+    """
 
-# The six rule families and the values swept for each parameter.
-FAMILIES: dict[str, tuple] = {
-    "crowd": (crowd_acceleration, {"buys_2s": (3, 5, 8), "buyers_5s": (6, 10), "buy_sol_5s": (0.25, 0.75),
-                                   "pressure": (1.5, 3.0)}),
-    "quiet": (quiet_to_burst, {"buys_2s": (3, 5, 8), "prior_buys_max": (1, 3, 6), "buy_sol_2s": (0.15, 0.50)}),
-    "reclaim": (pullback_reclaim, {"drawdown": (-0.15, -0.25, -0.35), "bounce": (0.08, 0.15), "buys_2s": (3, 5),
-                                   "pressure": (1.5, 3.0)}),
-    "absorb": (sell_absorption, {"sell_sol_5s": (0.25, 0.75), "buys_2s": (3, 5, 8)}),
-    "breadth": (breadth_breakout, {"current_buyers": (2, 4, 6), "return_5s": (0.05, 0.15), "buy_sol_2s": (0.15, 0.50)}),
-    "manual": (manual_state_anticipation, {"age_max": (45, 120), "curve_min": (40, 55), "buys_2s": (5, 10),
-                                           "buy_sol_5s": (3.0, 7.0, 12.0), "pressure": (1.2, 2.5)}),
+    name: str
+    fixed: Column
+    dims: dict[str, tuple[Callable[[float], Column], bool]]  # test, and whether larger values are tighter
+
+    def rule(self, **params: float) -> Column:
+        out = self.fixed
+        for dim, value in params.items():
+            out = out & self.dims[dim][0](value)
+        return out
+
+    def levels(self, grid: dict[str, tuple]) -> list[tuple[str, list, Column]]:
+        """(dimension, values from loose to tight, how many of them the bar passes)."""
+        out = []
+        for dim, values in grid.items():
+            test, larger_is_tighter = self.dims[dim]
+            ordered = sorted(values, reverse=not larger_is_tighter)
+            level = F.lit(0)
+            for v in ordered:
+                level = level + F.when(test(v), 1).otherwise(0)
+            out.append((dim, ordered, level))
+        return out
+
+
+def _at_least(name: str) -> tuple:
+    return (lambda v: F.col(name) >= v), True
+
+
+def _at_most(name: str) -> tuple:
+    return (lambda v: F.col(name) <= v), False
+
+
+def _pressure(buy: str, sell: str, floor: float) -> tuple:
+    return (lambda v: _dominates(buy, sell, v, floor)), True
+
+
+def families() -> dict[str, Family]:
+    c = F.col
+    return {
+        "crowd": Family("crowd_acceleration", c("buys_5s") > c("prior_buys_5_to_15s") * 0.5, {
+            "buys_2s": _at_least("buys_2s"), "buyers_5s": _at_least("buyer_seconds_5s"),
+            "buy_sol_5s": _at_least("buy_sol_5s"), "pressure": _pressure("buy_sol_5s", "sell_sol_5s", 0.03)}),
+        "quiet": Family("quiet_to_burst", _dominates("buy_sol_2s", "sell_sol_2s", 2.0, 0.02), {
+            "buys_2s": _at_least("buys_2s"), "prior_buys_max": _at_most("prior_buys_5_to_15s"),
+            "buy_sol_2s": _at_least("buy_sol_2s")}),
+        "reclaim": Family("pullback_reclaim", c("drawdown_from_60s_peak") >= -0.65, {
+            "drawdown": _at_most("drawdown_from_60s_peak"), "bounce": _at_least("bounce_from_15s_low"),
+            "buys_2s": _at_least("buys_2s"), "pressure": _pressure("buy_sol_2s", "sell_sol_2s", 0.02)}),
+        "absorb": Family("sell_absorption", (c("buy_sol_2s") >= 0.15) & (c("one_bar_return") >= -0.08)
+                         & (c("drawdown_from_60s_peak") >= -0.40), {
+            "sell_sol_5s": _at_least("sell_sol_5s"), "buys_2s": _at_least("buys_2s")}),
+        "breadth": Family("breadth_breakout", _dominates("buy_sol_2s", "sell_sol_2s", 1.5, 0.02), {
+            "current_buyers": _at_least("buyers"), "return_5s": _at_least("return_5s"), "buy_sol_2s": _at_least("buy_sol_2s")}),
+        "manual": Family("manual_state_anticipation", _between("return_5s", 0.02, 0.60) & (c("drawdown_from_60s_peak") >= -0.20), {
+            "age_max": _at_most("age_seconds"), "curve_min": _at_least("curve_close"), "buys_2s": _at_least("buys_2s"),
+            "buy_sol_5s": _at_least("buy_sol_5s"), "pressure": _pressure("buy_sol_5s", "sell_sol_5s", 0.10)}),
+    }
+
+
+# The thresholds swept per family (132 configurations).
+GRIDS: dict[str, dict[str, tuple]] = {
+    "crowd": {"buys_2s": (3, 5, 8), "buyers_5s": (6, 10), "buy_sol_5s": (0.25, 0.75), "pressure": (1.5, 3.0)},
+    "quiet": {"buys_2s": (3, 5, 8), "prior_buys_max": (1, 3, 6), "buy_sol_2s": (0.15, 0.50)},
+    "reclaim": {"drawdown": (-0.15, -0.25, -0.35), "bounce": (0.08, 0.15), "buys_2s": (3, 5), "pressure": (1.5, 3.0)},
+    "absorb": {"sell_sol_5s": (0.25, 0.75), "buys_2s": (3, 5, 8)},
+    "breadth": {"current_buyers": (2, 4, 6), "return_5s": (0.05, 0.15), "buy_sol_2s": (0.15, 0.50)},
+    "manual": {"age_max": (45, 120), "curve_min": (40, 55), "buys_2s": (5, 10), "buy_sol_5s": (3.0, 7.0, 12.0),
+               "pressure": (1.2, 2.5)},
 }
 
 
 @dataclass(frozen=True)
-class Rule:
-    name: str
+class RuleConfig:
+    config: str
     family: str
     params: dict
-    when: Column
 
 
-def rule_grid(families: dict[str, tuple] = FAMILIES, lim: Limits = Limits()) -> list[Rule]:
-    """All rule configurations (132 with the frozen families), each with its common gate."""
-    rules = []
-    for short, (build, grid) in families.items():
-        for i, values in enumerate(product(*grid.values())):
-            params = dict(zip(grid, values))
-            rules.append(Rule(f"{short}-{i:03d}", build.__name__, params, common_gate(lim) & build(**params)))
-    return rules
+def rule_configs(grids: dict[str, dict[str, tuple]] = GRIDS) -> list[RuleConfig]:
+    """Every configuration of the grids, named family-number in product order."""
+    fams = families()
+    return [RuleConfig(f"{short}-{i:03d}", fams[short].name, dict(zip(grid, values)))
+            for short, grid in grids.items() for i, values in enumerate(product(*grid.values()))]
 
 
-def finalist_gate(age_max, curve_min, buys_2s, buy_sol_5s, pressure, lim: Limits = Limits()) -> Column:
+def finalist_gate(params: dict, lim: Limits = Limits()) -> Column:
     """The state-anticipation rule as the exit sweep applies it: no market-cap or return cap beyond its own."""
-    return (manual_state_anticipation(age_max, curve_min, buys_2s, buy_sol_5s, pressure)
-            & (F.col("age_seconds") >= lim.age_low) & (F.col("curve_close") <= lim.curve_high))
+    return (families()["manual"].rule(**params) & (F.col("age_seconds") >= lim.age_low)
+            & (F.col("curve_close") <= lim.curve_high))
 
 
 @dataclass(frozen=True)

@@ -104,12 +104,15 @@ def sweep_exits(signals: DataFrame, bars: DataFrame, tps=TP_VALUES, sls=SL_VALUE
         *[F.min(F.when(F.col("ret") >= v, at)).alias(f"tp{i}") for i, v in enumerate(tps)],
         *[F.min(F.when(F.col("ret") <= v, at)).alias(f"sl{i}") for i, v in enumerate(sls)],
         *[F.min(F.when(F.col("elapsed_us") >= v * hold_unit_us, at)).alias(f"ho{i}") for i, v in enumerate(holds)])
-    rows = []
-    for exit_id, (i, j, k) in enumerate(product(range(len(tps)), range(len(sls)), range(len(holds)))):
-        tp, sl, ho = F.col(f"tp{i}"), F.col(f"sl{j}"), F.col(f"ho{k}")
-        x = F.coalesce(F.least(tp, sl, ho), F.col("last"))
-        reason = F.when(tp["rn"] == x["rn"], "TAKE_PROFIT").when(sl["rn"] == x["rn"], "STOP_LOSS").otherwise("TIMEOUT")
-        rows.append(F.struct(F.lit(exit_id).alias("exit_id"), x["bar_us"].alias("exit_us"), x["pnl"].alias("pnl_sol"),
-                             reason.alias("exit_reason")))
-    return agg.select("mint", signal_us, "entry_us", F.explode(F.array(*rows)).alias("x")).select(
-        "mint", signal_us, "entry_us", "x.*")
+    pick = lambda tag, values: F.array(*[F.col(f"{tag}{i}") for i in range(len(values))])
+    # Three short explodes give the grid; positions name the setting.
+    grid = (agg.select("mint", signal_us, "entry_us", "last", pick("sl", sls).alias("sls"), pick("ho", holds).alias("hos"),
+                       F.posexplode(pick("tp", tps)).alias("i", "tp"))
+            .select("*", F.posexplode("sls").alias("j", "sl")).drop("sls")
+            .select("*", F.posexplode("hos").alias("k", "ho")).drop("hos"))
+    x = F.coalesce(F.least("tp", "sl", "ho"), F.col("last"))
+    reason = (F.when(F.col("tp.rn") == F.col("x.rn"), "TAKE_PROFIT").when(F.col("sl.rn") == F.col("x.rn"), "STOP_LOSS")
+              .otherwise("TIMEOUT"))
+    return grid.withColumn("x", x).select(
+        "mint", signal_us, "entry_us", ((F.col("i") * len(sls) + F.col("j")) * len(holds) + F.col("k")).alias("exit_id"),
+        F.col("x.bar_us").alias("exit_us"), F.col("x.pnl").alias("pnl_sol"), reason.alias("exit_reason"))

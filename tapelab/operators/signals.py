@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tapelab.functions.gates import reason_list
+from tapelab.functions.gates import families, reason_list, rule_configs
 
 
 def first_match(rows: DataFrame, rules: dict[str, Column], key: str = "mint", order: str = "bucket") -> DataFrame:
-    """(config, key, order value) of the first row per key that satisfies each rule.
+    """(config, key, order value) of the first row per key that satisfies each of a few rules.
 
-    One pass: every rule is a conditional minimum in a single aggregate on the key, so rows are never
-    multiplied by the number of rules and the aggregate reuses the partitioning of the feature windows.
+    Every rule is a conditional minimum in a single aggregate on the key: rows are never multiplied, and the
+    aggregate reuses the partitioning of the feature windows.
     """
     names = list(rules)
     agg = rows.groupBy(key).agg(*[F.min(F.when(cond, F.col(order))).alias(f"__m{i}")
@@ -22,11 +24,57 @@ def first_match(rows: DataFrame, rules: dict[str, Column], key: str = "mint", or
             .select(F.col("hit.config").alias("config"), key, F.col("hit.at").alias(order)))
 
 
-def rule_hits(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
-    """Rows and distinct-free hit counts per rule over the whole table, in one pass."""
-    counts = rows.agg(*[F.count(F.when(cond, 1)).alias(f"__h{i}") for i, cond in enumerate(rules.values())])
-    packed = F.array(*[F.struct(F.lit(n).alias("config"), F.col(f"__h{i}").alias("hits")) for i, n in enumerate(rules)])
-    return counts.select(F.explode(packed).alias("x")).select("x.config", "x.hits")
+def _level_codes(rows: DataFrame, grids: dict[str, dict[str, tuple]], gate: Column, keep: list[str]) -> DataFrame:
+    """Rows passing the gate, once per family they pass: (family, code), code = level numbers in base 16."""
+    fams = families()
+    codes = []
+    for short, grid in grids.items():
+        parts = fams[short].levels(grid)
+        code, passes = F.lit(0), fams[short].fixed
+        for _, _, level in parts:
+            code = code * 16 + level
+            passes = passes & (level > 0)
+        codes.append(F.when(passes, F.struct(F.lit(short).alias("family"), code.alias("code"))))
+    gated = rows.where(gate)
+    return (gated.select(*keep, F.explode(F.array(*codes)).alias("x")).where(F.col("x").isNotNull())
+            .select(*keep, "x.family", "x.code"))
+
+
+def _configs_of(grids: dict[str, dict[str, tuple]]) -> Column:
+    """Array of configurations met by a (family, code): all whose thresholds lie at or below the levels."""
+    fams = families()
+    by_code: dict[str, list[str]] = {}
+    for short, grid in grids.items():
+        ordered = {dim: values for dim, values, _ in fams[short].levels(grid)}
+        names = [(c.config, [ordered[dim].index(v) + 1 for dim, v in c.params.items()])
+                 for c in rule_configs({short: grid})]
+        for levels in product(*[range(1, len(v) + 1) for v in ordered.values()]):
+            code = 0
+            for level in levels:
+                code = code * 16 + level
+            by_code[f"{short}:{code}"] = [n for n, need in names if all(a >= b for a, b in zip(levels, need))]
+    pairs = [x for k, v in by_code.items() for x in (F.lit(k), F.array(*[F.lit(n) for n in v]))]
+    return F.element_at(F.create_map(*pairs), F.concat_ws(":", "family", F.col("code").cast("string")))
+
+
+def grid_first_match(rows: DataFrame, grids: dict[str, dict[str, tuple]], gate: Column, key: str = "mint",
+                     order: str = "bucket") -> DataFrame:
+    """First matching row per (configuration, key) for whole threshold grids.
+
+    A bar is reduced to one level code per family, minima are taken per (key, family, code), and only those few
+    rows are expanded to configurations. The 132-point grid costs six codes per bar instead of 132 predicates.
+    """
+    codes = _level_codes(rows, grids, gate, [key, order])
+    firsts = codes.groupBy(key, "family", "code").agg(F.min(order).alias(order))
+    return (firsts.select(key, order, F.explode(_configs_of(grids)).alias("config"))
+            .groupBy("config", key).agg(F.min(order).alias(order)))
+
+
+def grid_hits(rows: DataFrame, grids: dict[str, dict[str, tuple]], gate: Column) -> DataFrame:
+    """Matching rows per configuration (configurations without any are absent)."""
+    counts = _level_codes(rows, grids, gate, []).groupBy("family", "code").agg(F.count(F.lit(1)).alias("n"))
+    return (counts.select("n", F.explode(_configs_of(grids)).alias("config"))
+            .groupBy("config").agg(F.sum("n").alias("hits")))
 
 
 def cohort_signals(first_buys: DataFrame, ranks: DataFrame, cohorts: list[dict]) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["tape"]
+MODULES = ["tape", "screen"]
 
 
 def load_registry():

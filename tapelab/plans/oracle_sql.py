@@ -150,3 +150,94 @@ CURVE = BASE + """, curve_events AS (
     tok % 5 = 0 AS mayhem
   FROM base
 )"""
+
+
+def path_ctes(signals: str, size: float = 0.5, fee: float = 0.0125, cost: float = 0.0032, max_elapsed_s: int | None = None) -> str:
+    """Entry and quotable path rows for ``signals`` (mint, signal_s)."""
+    eff = f"({size} * (1 - {fee}))"
+    bound = f"AND b.bucket_s - e.entry_s <= {max_elapsed_s}" if max_elapsed_s else ""
+    return f""", path AS (
+  SELECT mint, bucket_s, row_number() OVER (PARTITION BY mint ORDER BY bucket_s) AS rn, curve_close, mc_close,
+    v_sol_close / 1e9 AS q, v_tokens_close / 1e6 AS t FROM bars
+), ent AS (
+  SELECT s.mint, s.signal_s, e.rn AS entry_rn, e.bucket_s AS entry_s, e.mc_close AS entry_mc,
+    e.t - e.q * e.t / (e.q + {eff}) AS tokens
+  FROM (SELECT DISTINCT mint, signal_s FROM {signals}) s
+  JOIN path p ON p.mint = s.mint AND p.bucket_s = s.signal_s JOIN path e ON e.mint = p.mint AND e.rn = p.rn + 1
+  WHERE e.curve_close < 95
+), stop AS (
+  SELECT ent.mint, ent.signal_s, min(c.rn) AS stop_rn FROM ent JOIN path c ON c.mint = ent.mint AND c.rn > ent.entry_rn
+  WHERE c.curve_close >= 95 GROUP BY ALL
+), steps AS (
+  SELECT e.mint, e.signal_s, e.entry_s, e.entry_mc, b.rn, b.bucket_s, b.mc_close, b.bucket_s - e.entry_s AS elapsed,
+    ((b.q + {eff}) - (b.q + {eff}) * (b.t - e.tokens) / ((b.t - e.tokens) + e.tokens)) * (1 - {fee}) - {size} - 2 * {cost} AS pnl
+  FROM ent e JOIN path b ON b.mint = e.mint AND b.rn > e.entry_rn
+  LEFT JOIN stop s ON s.mint = e.mint AND s.signal_s = e.signal_s
+  WHERE e.tokens > 0 AND b.t - e.tokens > 0 AND (s.stop_rn IS NULL OR b.rn < s.stop_rn) {bound}
+)"""
+
+
+def label_ctes(signals: str, tp: float, sl: float, hold_s: int, size: float = 0.5, fee: float = 0.0125, cost: float = 0.0032) -> str:
+    basis = f"({size} + {cost})"
+    return path_ctes(signals, size, fee, cost) + f""", fired AS (
+  SELECT *, pnl / {basis} AS ret,
+    row_number() OVER (PARTITION BY mint, signal_s ORDER BY rn) AS k,
+    (pnl / {basis} >= {tp} OR pnl / {basis} <= {sl} OR elapsed >= {hold_s}) AS hit FROM steps
+), exit_k AS (
+  SELECT mint, signal_s, coalesce(min(k) FILTER (WHERE hit), max(k)) AS xk FROM fired GROUP BY ALL
+), labelled AS (
+  SELECT f.mint, f.signal_s, max(f.entry_s) AS entry_s, max(f.entry_mc) AS entry_mc,
+    max(f.bucket_s) FILTER (WHERE k = xk) AS exit_s, max(pnl) FILTER (WHERE k = xk) AS pnl_sol,
+    max(mc_close) FILTER (WHERE k = xk) AS exit_mc,
+    max(pnl) AS peak_pnl_sol, min(pnl) AS trough_pnl_sol,
+    CASE WHEN max(ret) FILTER (WHERE k = xk) >= {tp} THEN 'TAKE_PROFIT'
+         WHEN max(ret) FILTER (WHERE k = xk) <= {sl} THEN 'STOP_LOSS' ELSE 'TIMEOUT' END AS exit_reason
+  FROM fired f JOIN exit_k x ON x.mint = f.mint AND x.signal_s = f.signal_s WHERE f.k <= x.xk GROUP BY f.mint, f.signal_s
+)"""
+
+
+def split_case(t: str, start: str, train_days: int = 16, validation_days: int = 4) -> str:
+    return (f"CASE WHEN {t} < {start} + {train_days} * 86400 THEN 'train' "
+            f"WHEN {t} < {start} + {train_days + validation_days} * 86400 THEN 'validation' ELSE 'test' END")
+
+
+def metric_ctes(trades: str, keys: str, name: str = "metrics") -> str:
+    """Metrics per key from (keys, mint, exit_s, pnl_sol, exit_reason)."""
+    return f""", eq_{name} AS (
+  SELECT *, sum(pnl_sol) OVER (PARTITION BY {keys} ORDER BY exit_s, mint ROWS UNBOUNDED PRECEDING) AS eq FROM {trades}
+), dd_{name} AS (
+  SELECT *, greatest(0, max(eq) OVER (PARTITION BY {keys} ORDER BY exit_s, mint ROWS UNBOUNDED PRECEDING)) - eq AS dd FROM eq_{name}
+), {name} AS (
+  SELECT {keys}, count(*) AS trades, sum(pnl_sol) AS pnl_sol, sum(pnl_sol) / count(*) AS average_pnl_sol,
+    count(*) FILTER (WHERE pnl_sol > 0) / count(*) AS win_rate,
+    CASE WHEN sum(pnl_sol) > 0 THEN max(pnl_sol) / sum(pnl_sol) END AS largest_profit_share,
+    max(dd) AS max_drawdown_sol,
+    count(*) FILTER (WHERE exit_reason = 'TAKE_PROFIT') AS take_profits,
+    count(*) FILTER (WHERE exit_reason = 'STOP_LOSS') AS stop_losses
+  FROM dd_{name} GROUP BY {keys}
+)"""
+
+
+_FAMILY_SQL = {
+    "crowd": "f.buys_2s >= p.buys_2s AND f.buyer_seconds_5s >= p.buyers_5s AND f.buy_sol_5s >= p.buy_sol_5s AND f.buy_sol_5s >= p.pressure * greatest(f.sell_sol_5s, 0.03) AND f.buys_5s > f.prior_buys_5_to_15s * 0.5",
+    "quiet": "f.buys_2s >= p.buys_2s AND f.prior_buys_5_to_15s <= p.prior_buys_max AND f.buy_sol_2s >= p.buy_sol_2s AND f.buy_sol_2s >= 2 * greatest(f.sell_sol_2s, 0.02)",
+    "reclaim": "f.drawdown_from_60s_peak <= p.drawdown AND f.drawdown_from_60s_peak >= -0.65 AND f.bounce_from_15s_low >= p.bounce AND f.buys_2s >= p.buys_2s AND f.buy_sol_2s >= p.pressure * greatest(f.sell_sol_2s, 0.02)",
+    "absorb": "f.one_bar_return >= -0.08 AND f.drawdown_from_60s_peak >= -0.40 AND f.sell_sol_5s >= p.sell_sol_5s AND f.buys_2s >= p.buys_2s AND f.buy_sol_2s >= 0.15",
+    "breadth": "f.buyers >= p.current_buyers AND f.return_5s >= p.return_5s AND f.buy_sol_2s >= p.buy_sol_2s AND f.buy_sol_2s >= 1.5 * greatest(f.sell_sol_2s, 0.02)",
+    "manual": "f.age_seconds <= p.age_max AND f.curve_close >= p.curve_min AND f.buys_2s >= p.buys_2s AND f.buy_sol_5s >= p.buy_sol_5s AND f.buy_sol_5s >= p.pressure * greatest(f.sell_sol_5s, 0.10) AND f.return_5s BETWEEN 0.02 AND 0.60 AND f.drawdown_from_60s_peak >= -0.20",
+}
+
+
+def rule_hit_ctes(families: dict, lim, only: tuple[str, ...] | None = None) -> str:
+    """hits(config, mint, bucket_s): every bar that satisfies each configuration."""
+    from itertools import product
+    parts = []
+    for short, grid in families.items():
+        if only and short not in only:
+            continue
+        rows = ", ".join(f"('{short}-{i:03d}', " + ", ".join(f"{float(v)}::DOUBLE" for v in vals) + ")"
+                         for i, vals in enumerate(product(*grid.values())))
+        parts.append(f"SELECT p.config, f.mint, f.bucket_s FROM derived f JOIN (VALUES {rows}) p(config, {', '.join(grid)}) ON "
+                     f"f.age_seconds BETWEEN {lim.age_low} AND {lim.age_high} AND f.curve_close BETWEEN {lim.curve_low} AND {lim.curve_high} "
+                     f"AND f.mc_close > 0 AND f.return_5s <= {lim.max_return_5s} AND {_FAMILY_SQL[short]}")
+    return ", hits AS (" + " UNION ALL ".join(parts) + ")"
