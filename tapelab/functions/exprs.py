@@ -63,3 +63,8 @@ def value_at_max(value: Column, key: Column) -> Column:
 def literal_rows(rows: list[dict]) -> Column:
     """A fixed parameter table as one array-of-struct literal: explode it instead of joining to it."""
     return F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in row.items()]) for row in rows])
+
+
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated once. Keeps nested exact arithmetic from growing the generated code."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))

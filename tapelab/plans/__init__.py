@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["tape", "screen"]
+MODULES = ["tape", "screen", "pools"]
 
 
 def load_registry():

@@ -241,3 +241,40 @@ def rule_hit_ctes(families: dict, lim, only: tuple[str, ...] | None = None) -> s
                      f"f.age_seconds BETWEEN {lim.age_low} AND {lim.age_high} AND f.curve_close BETWEEN {lim.curve_low} AND {lim.curve_high} "
                      f"AND f.mc_close > 0 AND f.return_5s <= {lim.max_return_5s} AND {_FAMILY_SQL[short]}")
     return ", hits AS (" + " UNION ALL ".join(parts) + ")"
+
+
+def ceil_fee(amount: str, bps: str) -> str:
+    return f"((CAST({amount} AS HUGEINT) * {bps} + 9999) // 10000)"
+
+
+def pool_after_sql() -> str:
+    """Columns base, quote, vq, supply of the state after each swap."""
+    return """CASE WHEN side = 'buy' THEN baseReserveRaw - baseAmountRaw ELSE baseReserveRaw + baseAmountRaw END AS base,
+    CASE WHEN side = 'buy' THEN quoteReserveRaw + coalesce(quoteReserveDeltaRaw, quoteAmountRaw)
+         ELSE quoteReserveRaw - coalesce(quoteReserveDeltaRaw, quoteAmountRaw) END AS quote,
+    virtualQuoteReservesRaw AS vq, coalesce(baseSupplyRaw, 1000000000000000) AS supply"""
+
+
+# Macro-like expressions over columns base, quote, vq, supply with fee rates 20, 5, 0, 95.
+def spot_mcap_sql(base="base", quote="quote", vq="vq", supply="supply") -> str:
+    return f"(CASE WHEN {base} > 0 THEN CAST((CAST({quote} + {vq} AS HUGEINT) * {supply}) // {base} AS DOUBLE) / 1e9 END)"
+
+
+def buy_internal_sql(spend: int) -> str:
+    """Largest internal amount whose total with rounded-up fees stays within spend, by search over a wide range."""
+    cost = "q + " + " + ".join(f"(q * {b} + 9999) // 10000" for b in (20, 5, 0, 95))
+    lo = spend * 10_000 // 10_120 - 50
+    return f"(SELECT max(q) FROM range({lo}, {lo + 101}) t(q) WHERE {cost} <= {spend})"
+
+
+def buy_tokens_sql(internal: str, base="base", quote="quote", vq="vq") -> str:
+    return f"(CAST({base} AS HUGEINT) * ({internal} - 1)) // (CAST({quote} AS HUGEINT) + {vq} + {internal} - 1)"
+
+
+def sell_raw_sql(tokens: str, base="base", quote="quote", vq="vq") -> str:
+    return f"((CAST({quote} AS HUGEINT) + {vq}) * {tokens}) // (CAST({base} AS HUGEINT) + {tokens})"
+
+
+def sell_net_sql(tokens: str, base="base", quote="quote", vq="vq") -> str:
+    raw = sell_raw_sql(tokens, base, quote, vq)
+    return f"({raw} - " + " - ".join(ceil_fee(f"({raw})", str(b)) for b in (20, 5, 0, 95)) + ")"
