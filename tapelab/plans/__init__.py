@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["tape", "screen", "pools"]
+MODULES = ["tape", "screen", "pools", "wallets"]
 
 
 def load_registry():
