@@ -62,7 +62,9 @@ def value_at_max(value: Column, key: Column) -> Column:
 
 def literal_rows(rows: list[dict]) -> Column:
     """A fixed parameter table as one array-of-struct literal: explode it instead of joining to it."""
-    return F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in row.items()]) for row in rows])
+    def lit(v: object) -> Column:
+        return F.lit(v).cast("long") if isinstance(v, int) and not isinstance(v, bool) else F.lit(v)
+    return F.array(*[F.struct(*[lit(v).alias(k) for k, v in row.items()]) for row in rows])
 
 
 def bind(value: Column, use) -> Column:

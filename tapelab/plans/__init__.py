@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["tape", "screen", "pools", "wallets"]
+MODULES = ["tape", "screen", "pools", "wallets", "replay"]
 
 
 def load_registry():
