@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from tapelab.functions.exprs import cell_of, count_if
-from tapelab.operators.scan import max_drawdown
+from tapelab.operators.scan import arrival_rank, max_drawdown
 from tapelab.session import cut_lineage
 
 CHUNK_ROWS = 50_000
@@ -48,10 +48,9 @@ def admit(trades: DataFrame, accounts: list[str], capital: float = 3.0, max_open
     Positions whose exit is at or before an entry are released first. Ties in entry time go by mint.
     """
     keep = [*accounts, "mint", "entry_us", "exit_us", "pnl_sol", *(extra or [])]
-    cell = cell_of(F.col("entry_us"), cell_us)
-    rn = F.row_number().over(Window.partitionBy(*accounts, "__cell").orderBy("entry_us", "mint"))
-    chunked = (trades.select(*keep).withColumn("__cell", cell)
-               .withColumn("__chunk", F.col("__cell") * 1_000_000 + F.floor((rn - 1) / chunk_rows).cast("long")).drop("__cell"))
+    # Arrival ranks come from time cells, so chunks are equal in size however trades bunch up in time or by account.
+    ranked = arrival_rank(trades.select(*keep), accounts, [F.col("entry_us"), F.col("mint")], cell_of(F.col("entry_us"), cell_us), "__n")
+    chunked = ranked.withColumn("__chunk", F.floor((F.col("__n") - 1) / chunk_rows).cast("long")).drop("__n")
     chunked = cut_lineage(chunked)
     keys = [*accounts, "__chunk"]
     key_fields = [f for f in chunked.schema.fields if f.name in keys]

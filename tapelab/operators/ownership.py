@@ -14,7 +14,7 @@ SUPPLY_MAYHEM = 2_000_000_000.0
 
 
 def with_supply(candidates: DataFrame, tokens: DataFrame) -> DataFrame:
-    supply = F.when(F.coalesce(F.col("is_mayhem_mode"), F.lit(False)), SUPPLY_MAYHEM).otherwise(SUPPLY_NORMAL)
+    supply = F.when(F.coalesce(F.col("is_mayhem_mode").cast("double"), F.lit(0.0)) > 0, SUPPLY_MAYHEM).otherwise(SUPPLY_NORMAL)
     return candidates.join(tokens.select("mint", "creator"), "mint", "left").withColumn("supply", supply)
 
 
