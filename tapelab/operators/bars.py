@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tapelab.functions.exprs import max_if, ratio_minus_one, sum_if
+from tapelab.functions.exprs import floor_div, max_if, order_key, ratio_minus_one, sum_if
 
 MAX_BAR_AGE_S = 900
 
@@ -16,13 +16,14 @@ def bars(tape: DataFrame, width_s: int = 1, max_age_s: float = MAX_BAR_AGE_S) ->
     distinct buyers become plain counts. Second step: a few rows per bucket.
     """
     width_us = width_s * 1_000_000
-    bucket = F.timestamp_micros(F.floor(F.unix_micros("event_time") / F.lit(width_us)).cast("long") * F.lit(width_us))
-    at = F.struct(F.col("event_time").alias("t"), F.col("id").alias("id"))
+    t_us = F.unix_micros("event_time")
+    bucket = F.timestamp_micros(floor_div(t_us, width_us) * F.lit(width_us).cast("long"))
     buy, sell = F.col("is_buy"), ~F.col("is_buy")
     lasts = {"mc_close": "market_cap_sol", "curve_close": "curve_pct_depleted",
              "v_tokens_close": "v_tokens_bonding_curve", "v_sol_close": "v_sol_bonding_curve"}
+    known = lambda c: F.when(F.col(c).isNotNull(), F.col("at"))
 
-    per_wallet = (tape.where(F.col("seconds_since_launch") <= max_age_s)
+    per_wallet = (tape.where(F.col("seconds_since_launch") <= max_age_s).withColumn("at", order_key(t_us, F.col("id")))
                   .groupBy("mint", bucket.alias("bucket"), "user_wallet").agg(
         F.min("seconds_since_launch").alias("age_seconds"),
         F.count(F.when(buy, 1)).alias("buys"),
@@ -31,15 +32,15 @@ def bars(tape: DataFrame, width_s: int = 1, max_age_s: float = MAX_BAR_AGE_S) ->
         sum_if(sell, F.col("sol_amount")).alias("sell_sol"),
         max_if(buy, F.col("sol_amount")).alias("largest_buy_sol"),
         max_if(sell, F.col("sol_amount")).alias("largest_sell_sol"),
-        F.min(F.when(F.col("market_cap_sol").isNotNull(), F.struct(at.alias("at"), F.col("market_cap_sol").alias("v"))))
-        .alias("mc_open"),
-        *[F.max(F.when(F.col(src).isNotNull(), F.struct(at.alias("at"), F.col(src).alias("v")))).alias(out)
-          for out, src in lasts.items()],
+        F.min_by("market_cap_sol", known("market_cap_sol")).alias("mc_open"),
+        F.min(known("market_cap_sol")).alias("at_mc_open"),
+        *[F.max_by(src, known(src)).alias(out) for out, src in lasts.items()],
+        *[F.max(known(src)).alias(f"at_{out}") for out, src in lasts.items()],
         F.max("market_cap_sol").alias("mc_high"),
         F.min("market_cap_sol").alias("mc_low"),
         F.max("event_time").alias("last_event_time"),
     ))
-    rolled = per_wallet.groupBy("mint", "bucket").agg(
+    return per_wallet.groupBy("mint", "bucket").agg(
         F.min("age_seconds").alias("age_seconds"),
         F.sum("buys").alias("buys"),
         F.sum("sells").alias("sells"),
@@ -49,13 +50,12 @@ def bars(tape: DataFrame, width_s: int = 1, max_age_s: float = MAX_BAR_AGE_S) ->
         F.sum("sell_sol").alias("sell_sol"),
         F.max("largest_buy_sol").alias("largest_buy_sol"),
         F.max("largest_sell_sol").alias("largest_sell_sol"),
-        F.min("mc_open").alias("mc_open"),
-        *[F.max(out).alias(out) for out in lasts],
+        F.min_by("mc_open", "at_mc_open").alias("mc_open"),
+        *[F.max_by(out, f"at_{out}").alias(out) for out in lasts],
         F.max("mc_high").alias("mc_high"),
         F.min("mc_low").alias("mc_low"),
         F.max("last_event_time").alias("last_event_time"),
     )
-    return rolled.withColumns({c: F.col(c)["v"] for c in ["mc_open", *lasts]})
 
 
 def trailing(bars_df: DataFrame, width_s: int = 1) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tapelab.functions.exprs import count_if
+from tapelab.functions.exprs import count_if, floor_div
 
 
 def first_decisions(decisions: DataFrame) -> DataFrame:
@@ -84,8 +84,7 @@ def latency_report(trades: DataFrame, landed: DataFrame, capital: float) -> Data
 
 def account_summary(trades: DataFrame, capital: float, t_ms: str = "exit_ms") -> DataFrame:
     """Per account and UTC day: trades, PnL and win rate of that day; ``bankroll_sol`` after the day."""
-    from pyspark.sql import Window
-    day = F.floor(F.col(t_ms) / 86_400_000)
+    day = floor_div(F.col(t_ms), 86_400_000)
     daily = trades.groupBy("account", day.alias("d")).agg(
         F.count(F.lit(1)).alias("completed_trades"), F.sum("pnl_sol").alias("realized_pnl_sol"), count_if(F.col("pnl_sol") > 0).alias("wins"))
     w = Window.partitionBy("account").orderBy("d").rowsBetween(Window.unboundedPreceding, 0)  # one row per day

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tapelab.functions import bar_amm as B, curve_amm as K, pool_amm as P
-from tapelab.functions.exprs import cell_of, count_if, literal_rows, safe_div
+from tapelab.functions.exprs import cell_of, count_if, literal_rows
 from tapelab.functions.gates import DumpGuard
 from tapelab.operators.asof import asof_backward, asof_forward, interval_join, salted_join
 from tapelab.operators.outcomes import STOP_CURVE
@@ -96,8 +96,7 @@ def first_triggers(positions: DataFrame, events: DataFrame, keys: list[str], ids
     marked = (interval_join(positions, slim, keys, F.col("entry_ms"), F.col("entry_ms") + plan.timeout_ms, F.col("ev_ms"), cell_ms)
               .where(after).withColumn("ret", ret).where(F.col("ret").isNotNull()).select(*ids, "ev_ms", "ev_seq", "ret"))
     hit = (F.col("ret") >= plan.take_profit) | (F.col("ret") <= plan.stop_loss)
-    # One pass: the first trigger, the best return over all rows, and the best non-trigger return before a stop needs
-    # the trigger position, so it is taken in a second aggregate over the same rows.
+    # The best return needs the trigger's position, so it is a second aggregate over the same rows.
     trig = marked.groupBy(*ids).agg(F.min(F.when(hit, F.struct("ev_ms", "ev_seq", "ret"))).alias("x"))
     pos = F.struct("ev_ms", "ev_seq")
     upto = F.col("x").isNull() | (pos <= F.struct(F.col("x.ev_ms"), F.col("x.ev_seq")))

@@ -6,6 +6,7 @@ from itertools import product
 
 from pyspark.sql import functions as F
 
+from tapelab.functions.exprs import floor_div
 from tapelab.operators import evaluate as V, ledger as L, outcomes as O, replay as R, signals as Sg, snapshots as N, wallets as J
 from tapelab.operators.asof import asof_forward
 from tapelab.plans import oracle_sql as S, replay as RQ, wallets as WQ
@@ -200,8 +201,8 @@ def size_replays(spark, d):
     spans = safe.select("pool", "account", F.col("entry_ms").alias("lo_ms"), F.col("exit_target_ms").alias("hi_ms"), F.col("entry_seq").alias("lo_seq"), F.col("exit_seq").alias("hi_seq"))
     n = R.competition(spans, sw, ["pool", "account"], CELL_MS).select("pool", F.col("observed_events").alias("external_swaps"))
     key = F.concat_ws(":", "pool", "entry_seq")
-    exits = safe.join(n, "pool").select(key.alias("id"), "pool", (F.floor(F.col("entry_ms") / 1000)).alias("entry_s"),
-                                        F.floor(F.col("exit_target_ms") / 1000).alias("exit_s"), "external_swaps", "pnl_sol")
+    exits = safe.join(n, "pool").select(key.alias("id"), "pool", floor_div(F.col("entry_ms"), 1000).alias("entry_s"),
+                                        floor_div(F.col("exit_target_ms"), 1000).alias("exit_s"), "external_swaps", "pnl_sol")
     st = F.col("entry_state")
     entries = safe.select(key.alias("id"), (st["base"] / 1e6).alias("base"), (st["quote"] / 1e9).alias("quote"), (F.col("tokens_raw") / 1e6).alias("tokens"), "size_sol")
     corr = safe.where(F.col("entry_seq") % 11 == 0).select(key.alias("id"), F.lit("EXCLUDED_EXIT").alias("type"))

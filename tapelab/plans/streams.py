@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tapelab.functions import curve_amm as K
+from tapelab.functions.exprs import floor_div
 from tapelab.functions.gates import BaseGate
 from tapelab.operators import models as M, replay as R
 from tapelab.operators.pools import event_features
@@ -40,7 +41,7 @@ def curve_rows(ev: DataFrame) -> DataFrame:
     v_sol = F.lit(A.START_LAMPORTS).cast("long") + cents * 500_000
     rows = ev.select(
         F.concat(F.lit("m"), k % 20, F.lit("-"), F.date_format("ts", "yyyyMMdd")).alias("mint"), F.timestamp_micros(t_us).alias("event_time"),
-        F.floor(t_us / 1000).alias("receivedAtMs"), F.col("event_id").alias("receivedSequence"), F.concat(F.lit("w"), F.col("user_id")).alias("user"),
+        floor_div(t_us, 1000).alias("receivedAtMs"), F.col("event_id").alias("receivedSequence"), F.concat(F.lit("w"), F.col("user_id")).alias("user"),
         F.col("event_type").isin("purchase", "click", "signup").alias("isBuy"), (cents * A.LAMPORTS_PER_CENT).alias("solAmountRaw"),
         v_sol.alias("virtualSolReservesRaw"), A.curve_tokens(v_sol).alias("virtualTokenReservesRaw"),
         (A.curve_tokens(v_sol) - A.CURVE_LOCKED_TOKENS).alias("realTokenReservesRaw"), F.lit(95).alias("feeBasisPoints"),

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tapelab.functions.exprs import cell_of
+from tapelab.functions.exprs import cell_of, floor_div
 from tapelab.operators.scan import Running, running
 
 # Fixed values of the adapter.
@@ -31,8 +31,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ntz_micros(ts: Column) -> Column:
-    """Epoch microseconds of a zone-less timestamp, whatever the session time zone."""
-    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
+    """Epoch microseconds of a zone-less timestamp from its calendar fields, whatever the session time zone."""
+    minutes = F.hour(ts) * 60 + F.minute(ts)
+    seconds = F.date_part(F.lit("SECOND"), ts)
+    return (F.unix_date(ts.cast("date")).cast("long") * F.lit(86_400_000_000).cast("long") + minutes.cast("long") * F.lit(60_000_000).cast("long")
+            + (seconds * 1_000_000).cast("long"))
 
 
 def div(a: Column, b: Column) -> Column:
@@ -135,11 +138,11 @@ def pool_swaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     amount = F.abs("delta")
     return b.select(
         F.concat(F.lit("s"), F.col("id")).alias("signature"),
-        F.floor(F.col("t_us") / 400000).alias("slot"),
-        F.floor(F.col("t_us") / 1000).alias("receivedAtMs"),
+        floor_div(F.col("t_us"), 400000).alias("slot"),
+        floor_div(F.col("t_us"), 1000).alias("receivedAtMs"),
         F.col("id").alias("receivedSequence"),
         F.when(F.col("is_buy"), F.lit("buy")).otherwise(F.lit("sell")).alias("side"),
-        F.floor(F.col("t_us") / 1000000).alias("timestamp"),
+        floor_div(F.col("t_us"), 1000000).alias("timestamp"),
         F.abs(F.col("v_tok") - F.col("v_tok_before")).alias("baseAmountRaw"),
         F.col("v_tok_before").alias("baseReserveRaw"),
         F.col("v_sol_before").alias("quoteReserveRaw"),
@@ -179,8 +182,8 @@ def curve_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = base_events(spark, sf_dir)
     return b.select(
         F.concat(F.lit("s"), F.col("id")).alias("signature"),
-        F.floor(F.col("t_us") / 400000).alias("slot"),
-        F.floor(F.col("t_us") / 1000).alias("receivedAtMs"),
+        floor_div(F.col("t_us"), 400000).alias("slot"),
+        floor_div(F.col("t_us"), 1000).alias("receivedAtMs"),
         F.col("id").alias("receivedSequence"),
         "mint",
         F.when(F.col("user_id") % 50 == 49, F.lit(SYSTEM_WALLET))
