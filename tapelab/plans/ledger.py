@@ -13,7 +13,7 @@ from tapelab.plans import oracle_sql as S, replay as RQ, wallets as WQ
 from tapelab.plans.oracle_sql import r
 from tapelab.plans.registry import query, r6
 from tapelab.plans.screen import HOLDS, METRIC_DOUBLES, METRIC_LONGS, SLS, TPS, TRAIN_D, VALID_D, _M_SQL, exit_case_sql, split_of, staged_features
-from tapelab.plans.tape import clean
+from tapelab.plans.tape import staged_tape
 from tapelab.session import cut_lineage
 from tapelab.sources import adapters as A
 
@@ -237,8 +237,9 @@ cohorts AS (SELECT * FROM (VALUES {_COHORT_VALUES}) v(cohort, top_n, k, w)), num
 
 
 def cohort_signals(spark, d):
-    sel = cut_lineage(WQ.selected(spark, d))
-    return Sg.cohort_signals(J.first_buys(clean(spark, d), sel), J.wallet_ranks(sel), COHORTS)
+    tape = staged_tape(spark, d)
+    sel = cut_lineage(WQ.selected(spark, d, tape))
+    return Sg.cohort_signals(J.first_buys(tape, sel), J.wallet_ranks(sel), COHORTS)
 
 
 @query("cohort_signals", f"WITH {_COHORT} SELECT cohort, mint, signal_us FROM cohort_signals")

@@ -10,7 +10,7 @@ from tapelab.plans import oracle_sql as S, wallets as WQ
 from tapelab.plans.oracle_sql import r
 from tapelab.plans.registry import query, r6
 from tapelab.plans.screen import HOLD_H, SL, TP, _GATE, split_of
-from tapelab.plans.tape import clean, derived_table, feature_table, token_table
+from tapelab.plans.tape import derived_table, feature_table, staged_tape, token_table
 from tapelab.session import cut_lineage
 from tapelab.sources import adapters as A
 
@@ -18,9 +18,9 @@ FIT = {"max_iter": 15, "max_depth": 4, "min_rows": 10}
 CELL_US = 24 * A.HOUR_US
 
 
-def candidate_trades(spark, d):
+def candidate_trades(spark, d, tape=None):
     """First gated bar per mint with its features and labelled outcome, and the split of its entry."""
-    feats = cut_lineage(feature_table(spark, d))
+    feats = cut_lineage(feature_table(spark, d, tape))
     hit = first_match(feats, {"base": _GATE.batch()}).select("mint", "bucket")
     cand = hit.join(feats, ["mint", "bucket"]).withColumn("signal_us", F.unix_micros("bucket"))
     labelled = O.label_trades(cand, feats, TP, SL, HOLD_H * A.HOUR_US)
@@ -76,8 +76,8 @@ def untouched_test(spark, d):
 @query("event_ownership_scores")
 def event_ownership_scores(spark, d):
     """The model on ownership rebuilt from trades as of the signal."""
-    tape = clean(spark, d)
-    frame = cut_lineage(candidate_trades(spark, d))
+    tape = staged_tape(spark, d)
+    frame = cut_lineage(candidate_trades(spark, d, tape))
     rich = cut_lineage(W.enrich_ownership(frame, token_table(tape), tape))
     model = M.fit_entry_model(rich.where(F.col("split") == "train"), M.EVENT_OWNERSHIP, **{**FIT, "min_rows": 3})
     return model.score(rich).select("mint", "split", "pnl_sol", "prediction")

@@ -10,6 +10,7 @@ from tapelab.operators import pools as O, signals as Sg
 from tapelab.plans import oracle_sql as S
 from tapelab.plans.oracle_sql import r
 from tapelab.plans.registry import query, r6
+from tapelab.session import cut_lineage
 from tapelab.sources import adapters as A
 
 CELL_MS = A.HOUR_MS // 2
@@ -126,7 +127,7 @@ _SELECT = _OPEN + """, gaps AS (SELECT m.pool, greatest(count(*) FILTER (WHERE s
 @query("opening_selector", f"""WITH {_SELECT} SELECT pool, array_to_string(reasons, ';') AS reasons,
   CASE WHEN len(reasons) = 0 THEN 'QUALIFY' ELSE 'SKIP' END AS decision FROM picked""")
 def opening_selector(spark, d):
-    return decided(spark, d).select("pool", F.array_join("reasons", ";").alias("reasons"), "decision")
+    return decided(spark, d, cut_lineage(A.pool_swaps(spark, d))).select("pool", F.array_join("reasons", ";").alias("reasons"), "decision")
 
 
 _DRAW = _AFTER + f""", priced AS (SELECT a.pool, receivedAtMs, receivedSequence, {S.spot_mcap_sql()} AS mcap
@@ -137,7 +138,7 @@ _DRAW = _AFTER + f""", priced AS (SELECT a.pool, receivedAtMs, receivedSequence,
 @query("running_drawdown", f"""WITH {_DRAW} SELECT receivedSequence, pool, {r('mcap', 'mcap_sol')}, {r('peak', 'peak_mcap_sol')},
   {r('100 * ((peak - mcap) / peak)', 'drawdown_pct')} FROM peaks""")
 def running_drawdown(spark, d):
-    sw = A.pool_swaps(spark, d)
+    sw = cut_lineage(A.pool_swaps(spark, d))
     return O.running_drawdown(sw, A.migrations(sw), CELL_MS).select(
         "receivedSequence", "pool", *[r6(c).alias(c) for c in ("mcap_sol", "peak_mcap_sol", "drawdown_pct")])
 
@@ -154,7 +155,7 @@ SELECT receivedSequence, pool, {r('buy_sol', 'buy_sol')}, {r('sell_sol', 'sell_s
     CASE WHEN sell_sol >= 0.1 AND (buy_sol = 0 OR sell_sol / buy_sol >= 2) THEN 'active_dump_pressure' END], lambda x: x IS NOT NULL), ';') AS dump_reasons
 FROM pressure""")
 def dump_guard(spark, d):
-    sw = A.pool_swaps(spark, d)
+    sw = cut_lineage(A.pool_swaps(spark, d))
     at = O.running_drawdown(sw, A.migrations(sw), CELL_MS).select("receivedSequence", "pool", "receivedAtMs", "drawdown_pct")
     out = O.with_dump_guard(O.flow_pressure(at, sw, "receivedAtMs", GUARD.window_ms, CELL_MS), GUARD)
     return out.select("receivedSequence", "pool", *[r6(c).alias(c) for c in ("buy_sol", "sell_sol", "sell_to_buy_ratio")],
@@ -186,5 +187,5 @@ LIVE = S.CURVE + """, live AS (
 @query("event_features", f"""WITH {LIVE} SELECT mint, receivedSequence, {r('age_seconds', 'age_seconds')}, {r('curve_close', 'curve_close')}, buys_2s,
   {r('buy_sol_5s', 'buy_sol_5s')}, {r('return_5s', 'return_5s')} FROM live_features""")
 def event_features(spark, d):
-    return O.event_features(live_curve(spark, d), CELL_MS, A.HOUR_MS).select(
+    return O.event_features(cut_lineage(live_curve(spark, d)), CELL_MS, A.HOUR_MS).select(
         "mint", "receivedSequence", "buys_2s", *[r6(c).alias(c) for c in ("age_seconds", "curve_close", "buy_sol_5s", "return_5s")])

@@ -10,7 +10,7 @@ from tapelab.plans import oracle_sql as S, pools as PQ
 from tapelab.plans.oracle_sql import r
 from tapelab.plans.registry import query, r6
 from tapelab.plans.screen import HOLD_H, SL, TP, _FIRST, _GATE, _GATE_SQL, signals_of, staged_features
-from tapelab.plans.tape import clean, feature_table
+from tapelab.plans.tape import feature_table, staged_tape
 from tapelab.operators import outcomes as O
 from tapelab.session import cut_lineage
 from tapelab.sources import adapters as A
@@ -55,9 +55,9 @@ steps AS (
 
 
 def stressed(spark, d):
-    sig = Sg.first_match(feature_table(spark, d), {"base": _GATE.batch()}).select("mint", F.unix_micros("bucket").alias("signal_us"))
-    tape = clean(spark, d)
-    return R.stress_replay(cut_lineage(sig), cut_lineage(tape), R.SCENARIOS, 0.5, S_TP, S_SL, S_HOLD_US, A.HOUR_US, 3_600_000, CELL_US)
+    tape = staged_tape(spark, d)
+    sig = Sg.first_match(feature_table(spark, d, tape), {"base": _GATE.batch()}).select("mint", F.unix_micros("bucket").alias("signal_us"))
+    return R.stress_replay(cut_lineage(sig), tape, R.SCENARIOS, 0.5, S_TP, S_SL, S_HOLD_US, A.HOUR_US, 3_600_000, CELL_US)
 
 
 @query("stress_replay", f"""WITH {_STRESS} SELECT mint, scenario, entry_us, exit_us, exit_reason, {r('pnl_sol', 'pnl_sol')}, {r('peak_pnl_sol', 'peak_pnl_sol')},

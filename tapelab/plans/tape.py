@@ -8,6 +8,7 @@ from tapelab.operators import bars as B, clean as C
 from tapelab.plans import oracle_sql as S
 from tapelab.plans.oracle_sql import r
 from tapelab.plans.registry import epoch_us, query, r6
+from tapelab.session import cut_lineage
 from tapelab.sources import adapters as A
 
 RULES = C.CleanRules(system_wallet=A.SYSTEM_WALLET)
@@ -22,16 +23,21 @@ def token_table(tape: DataFrame) -> DataFrame:
     return C.token_dim(A.token_source(tape), tape)
 
 
-def bar_table(spark: SparkSession, d: str) -> DataFrame:
-    return B.bars(clean(spark, d), A.HOUR_S, DAY_S)
+def bar_table(spark: SparkSession, d: str, tape: DataFrame | None = None) -> DataFrame:
+    return B.bars(clean(spark, d) if tape is None else tape, A.HOUR_S, DAY_S)
 
 
-def derived_table(spark: SparkSession, d: str) -> DataFrame:
-    return B.derived(B.trailing(bar_table(spark, d), A.HOUR_S))
+def derived_table(spark: SparkSession, d: str, tape: DataFrame | None = None) -> DataFrame:
+    return B.derived(B.trailing(bar_table(spark, d, tape), A.HOUR_S))
 
 
-def feature_table(spark: SparkSession, d: str) -> DataFrame:
-    tape = clean(spark, d)
+def staged_tape(spark: SparkSession, d: str) -> DataFrame:
+    """The clean tape written once, for plans that read it several times."""
+    return cut_lineage(clean(spark, d))
+
+
+def feature_table(spark: SparkSession, d: str, tape: DataFrame | None = None) -> DataFrame:
+    tape = staged_tape(spark, d) if tape is None else tape
     return B.feature_table(tape, token_table(tape), A.HOUR_S, DAY_S)
 
 
@@ -81,7 +87,7 @@ def bars_manifest(spark, d):
 @query("token_dim", f"""WITH {S.TOKEN_SOURCE}
 SELECT * REPLACE (round(initial_market_cap_sol, 6) + 0.0 AS initial_market_cap_sol) FROM tokens""")
 def token_dim(spark, d):
-    return token_table(clean(spark, d)).select(
+    return token_table(staged_tape(spark, d)).select(
         epoch_us("detected_at").alias("detected_us"), "*",
     ).drop("detected_at").withColumn("initial_market_cap_sol", r6("initial_market_cap_sol"))
 

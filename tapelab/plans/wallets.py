@@ -6,28 +6,32 @@ from pyspark.sql import functions as F
 
 from tapelab.operators import asof as AO, ownership as W, signals as Sg, wallets as J
 from tapelab.plans import oracle_sql as S
-from tapelab.plans.oracle_sql import r
-from tapelab.plans.registry import query, r6
+from tapelab.plans import oracle_sql, registry
+from tapelab.plans.registry import query
 from tapelab.plans.screen import _GATE, _GATE_SQL
-from tapelab.plans.tape import clean, derived_table, feature_table, token_table
+from tapelab.plans.tape import clean, derived_table, feature_table, staged_tape, token_table
 from tapelab.session import cut_lineage
 from tapelab.sources import adapters as A
 
+# Averages and medians of money and time end in a 5 at the seventh digit too often to round at six.
+r = lambda expr, alias: oracle_sql.r(expr, alias, 9)
+r6 = lambda c: registry.r6(c, 9)
+
 CELL_US = 3 * A.HOUR_US
 CELL_MS = 3 * A.HOUR_MS
 
 
-def wallet_tape(spark, d):
+def wallet_tape(spark, d, tape=None):
     """The tape with the day dropped from mints, so that wallets come back to them."""
-    return clean(spark, d).withColumn("mint", F.substring_index("mint", "-", 1))
+    return (clean(spark, d) if tape is None else tape).withColumn("mint", F.substring_index("mint", "-", 1))
 
 
 def _until(tape):
     return tape.agg(F.min("event_time")).scalar() + F.make_dt_interval(days=F.lit(20))
 
 
-def closed(spark, d):
-    tape = wallet_tape(spark, d)
+def closed(spark, d, tape=None):
+    tape = wallet_tape(spark, d, staged_tape(spark, d) if tape is None else tape)
     return J.closed_positions(J.positions(tape, _until(tape)), 0.2, 5.0)
 
 
@@ -81,8 +85,8 @@ def wallet_rollup(spark, d):
     return J.wallet_rollup(cut_lineage(closed(spark, d))).select("wallet", "closed_positions", "distinct_mints", *[r6(c).alias(c) for c in _R_D])
 
 
-def selected(spark, d):
-    return J.select_wallets(cut_lineage(closed(spark, d)), 3, 250, (3_600, 1_000_000), 0.10, 0.80, 250)
+def selected(spark, d, tape=None):
+    return J.select_wallets(cut_lineage(closed(spark, d, tape)), 3, 250, (3_600, 1_000_000), 0.10, 0.80, 250)
 
 
 _SEL_D = _R_D + ["largest_profit_share", "profit_factor"]
@@ -95,7 +99,8 @@ def selected_wallets(spark, d):
 
 @query("first_buys", f"WITH {_POS} SELECT wallet, mint, first_buy_us, {r('first_buy_sol', 'first_buy_sol')} FROM first_buys")
 def first_buys(spark, d):
-    return J.first_buys(clean(spark, d), selected(spark, d)).select(
+    tape = staged_tape(spark, d)
+    return J.first_buys(tape, selected(spark, d, tape)).select(
         "wallet", "mint", F.unix_micros("first_buy_at").alias("first_buy_us"), r6("first_buy_sol").alias("first_buy_sol"))
 
 
@@ -109,8 +114,9 @@ _MATCH_COLS = ["age_seconds", "curve_close", "buys_2s", "buyer_seconds_5s", "buy
 
 
 def matched(spark, d):
-    buys = J.first_buys(clean(spark, d), selected(spark, d))
-    return J.bars_at_first_buy(buys, derived_table(spark, d), 2 * A.HOUR_US, CELL_US, _MATCH_COLS, width_us=A.HOUR_US)
+    tape = staged_tape(spark, d)
+    buys = J.first_buys(tape, selected(spark, d, tape))
+    return J.bars_at_first_buy(buys, derived_table(spark, d, tape), 2 * A.HOUR_US, CELL_US, _MATCH_COLS, width_us=A.HOUR_US)
 
 
 @query("asof_first_buy_bars", f"WITH {_ASOF} SELECT wallet, mint, first_buy_us, bucket_s, buys_2s, {r('age_seconds', 'age_seconds')}, {r('curve_close', 'curve_close')} FROM matched")
@@ -139,8 +145,9 @@ SELECT s.mint, s.bucket_s, t.id AS event_id, t.event_us FROM sig s ASOF LEFT JOI
   ON s.mint = t.mint AND s.bucket_s * 1000000 + 3670000000 <= t.event_us""")
 def asof_next_event(spark, d):
     """First tape event at or after the close of each signal bar plus a delay."""
-    sig = derived_table(spark, d).where(F.col("buys_2s") >= 2).select("mint", F.unix_seconds("bucket").alias("bucket_s"))
-    tape = clean(spark, d).select("mint", "id", F.unix_micros("event_time").alias("event_us"))
+    staged = staged_tape(spark, d)
+    sig = derived_table(spark, d, staged).where(F.col("buys_2s") >= 2).select("mint", F.unix_seconds("bucket").alias("bucket_s"))
+    tape = staged.select("mint", "id", F.unix_micros("event_time").alias("event_us"))
     out = AO.asof_forward(sig, tape, ["mint"], F.col("bucket_s") * 1_000_000 + 3_670_000_000, F.col("event_us"), [F.col("id")],
                           "e", CELL_US)
     return out.select("mint", "bucket_s", F.col("e.id").alias("event_id"), F.col("e.event_us").alias("event_us"))
@@ -215,9 +222,9 @@ def swap_tape_summary(spark, d):
 
 # ---- ownership -------------------------------------------------------------------------------------------------
 
-def candidates(spark, d):
+def candidates(spark, d, tape=None):
     """First bar per mint passing the base gate, with its signal time."""
-    feats = feature_table(spark, d)
+    feats = cut_lineage(feature_table(spark, d, tape))
     hit = Sg.first_match(feats, {"base": _GATE.batch()})
     return hit.select("mint", "bucket").join(feats, ["mint", "bucket"]).withColumn("signal_us", F.unix_micros("bucket"))
 
@@ -244,14 +251,15 @@ _OWN_D = ["event_top1_pct", "event_top5_pct", "event_top10_pct", "event_dev_pct"
 
 @query("balances_at_signal", f"WITH {_OWN} SELECT mint, user_wallet, CAST(balance AS BIGINT) AS balance FROM balances")
 def balances_at_signal(spark, d):
-    return W.balances_at(candidates(spark, d), clean(spark, d)).select("mint", "user_wallet", F.col("balance").cast("long").alias("balance"))
+    tape = staged_tape(spark, d)
+    return W.balances_at(candidates(spark, d, tape), tape).select("mint", "user_wallet", F.col("balance").cast("long").alias("balance"))
 
 
 @query("ownership_concentration", f"""WITH {_OWN} SELECT mint, event_holder_count, {', '.join(r(c, c) for c in _OWN_D)} FROM ownership JOIN cand USING (mint)
 WHERE event_holder_count >= 2 AND event_gini IS NOT NULL""")
 def ownership_concentration(spark, d):
-    tape = clean(spark, d)
-    out = W.enrich_ownership(cut_lineage(candidates(spark, d)), token_table(tape), tape)
+    tape = staged_tape(spark, d)
+    out = W.enrich_ownership(candidates(spark, d, tape), token_table(tape), tape)
     return out.select("mint", "event_holder_count", *[r6(c).alias(c) for c in _OWN_D])
 
 

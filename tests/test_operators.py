@@ -316,7 +316,7 @@ def test_sources(spark, tmp_path):
     for _ in range(2):
         got = T.materialize(spark, make, str(tmp_path / "m"), ["k", "id"])
     assert got.count() == 100 and len(built) == 1
-    T.materialize(spark, make, str(tmp_path / "m"), ["k", "id"], rebuild=True)
+    got = T.materialize(spark, make, str(tmp_path / "m"), ["k", "id"], rebuild=True)
     assert len(built) == 2
     T.write_report(got.limit(2), str(tmp_path / "r"))
     assert "| id | k |" in T.markdown_table(got.orderBy("id"), 3)
