@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tapelab.functions.exprs import col, count_if, safe_div
+from tapelab.operators.asof import salted_join
 
 # Fixed value: the pseudo-wallet of the system program on the public tape.
 PUBLIC_SYSTEM_WALLET = "BwWK17cbHxwWBKZkUYvzxLcNQ1YVyaFezduWbtm2de6s"
@@ -88,10 +89,10 @@ def token_dim(tokens: DataFrame, tape: DataFrame) -> DataFrame:
 
 def wallet_history(events: DataFrame, wallets: DataFrame, start: Column, end: Column, ts: str | Column,
                    user: str = "user") -> DataFrame:
-    """Events of the given wallets with start <= time <= end."""
+    """Events of the given wallets with start <= time <= end. A busy wallet's events spread over salts."""
     t = col(ts)
     names = wallets.select(F.col("wallet").alias(user)).distinct()
-    return events.where((t >= start) & (t <= end)).join(names, user, "left_semi")
+    return salted_join(events.where((t >= start) & (t <= end)), names, [user], events.columns, how="left_semi")
 
 
 def unprocessed(events: DataFrame, done: DataFrame, key: str = "signature") -> DataFrame:

@@ -34,9 +34,9 @@ def stress_replay(signals: DataFrame, tape: DataFrame, scenarios: list[dict] = S
     Entry is the first event at or after bar close plus latency. ``signals``: mint, signal_us (one per mint).
     Each event meets at most one row per scenario; hot mints spread over salts, and exits are partial minima.
     """
-    ev = (tape.select("mint", F.unix_micros("event_time").alias("t"), "id", "curve_pct_depleted", "v_sol_bonding_curve",
-                      "v_tokens_bonding_curve", "market_cap_sol")
-          .join(signals.select("mint").distinct(), "mint", "left_semi"))
+    ev = tape.select("mint", F.unix_micros("event_time").alias("t"), "id", "curve_pct_depleted", "v_sol_bonding_curve",
+                     "v_tokens_bonding_curve", "market_cap_sol")
+    ev = salted_join(ev, signals.select("mint").distinct(), ["mint"], ["id"], salts, "left_semi")
     s = F.explode(literal_rows(scenarios))
     wanted = signals.select("mint", "signal_us", s.alias("s")).select("mint", "signal_us", "s.*")
     target = F.col("signal_us") + close_us + F.col("latency_ms") * latency_unit_us
@@ -100,7 +100,7 @@ def first_triggers(positions: DataFrame, events: DataFrame, keys: list[str], ids
     trig = marked.groupBy(*ids).agg(F.min(F.when(hit, F.struct("ev_ms", "ev_seq", "ret"))).alias("x"))
     pos = F.struct("ev_ms", "ev_seq")
     upto = F.col("x").isNull() | (pos <= F.struct(F.col("x.ev_ms"), F.col("x.ev_seq")))
-    best = marked.join(trig, ids).where(upto).groupBy(*ids).agg(F.max("ret").alias("path_best"))
+    best = salted_join(marked, trig, ids, ["ev_ms", "ev_seq"]).where(upto).groupBy(*ids).agg(F.max("ret").alias("path_best"))
     out = positions.join(trig, ids, "left").join(best, ids, "left")
     return out.withColumns({
         "trigger_ms": F.coalesce(F.col("x.ev_ms"), F.col("entry_ms") + plan.timeout_ms), "trigger_seq": F.col("x.ev_seq"),

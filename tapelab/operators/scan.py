@@ -33,13 +33,13 @@ class Running:
 
 
 def running(df: DataFrame, keys: list[str], order: list[Column], cell: Column, aggs: list[Running],
-            first: dict[str, Column] | None = None) -> DataFrame:
+            first: dict[str, Column] | None = None, totals: dict[str, Column] | None = None) -> DataFrame:
     """Add inclusive running aggregates per key in the given order.
 
     ``cell`` must be monotone in ``order``. ``first`` adds whole-key minima (such as the launch time of
-    a token), taken from the cell summaries at no further cost.
+    a token) and ``totals`` whole-key sums, taken from the cell summaries at no further cost.
     """
-    first = first or {}
+    first, totals = first or {}, totals or {}
     rows = df.withColumn(_CELL, cell)
     local = (Window.partitionBy(*keys, _CELL).orderBy(*order)
              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -51,12 +51,14 @@ def running(df: DataFrame, keys: list[str], order: list[Column], cell: Column, a
     cells = rows.groupBy(*keys, _CELL).agg(
         *[a.total().alias(f"__t_{a.name}") for a in aggs],
         *[F.min(c).alias(f"__f_{n}") for n, c in first.items()],
+        *[F.sum(c).alias(f"__w_{n}") for n, c in totals.items()],
     )
     kinds = {"sum": F.sum, "max": F.max, "min": F.min}
     carried = cells.select(
         *keys, _CELL,
         *[kinds[a.kind](f"__t_{a.name}").over(before).alias(f"__c_{a.name}") for a in aggs],
         *[F.min(f"__f_{n}").over(whole).alias(n) for n in first],
+        *[F.sum(f"__w_{n}").over(whole).alias(n) for n in totals],
     )
     out = scanned.join(carried, [*keys, _CELL], "inner")
     out = out.withColumns({a.name: a.merge(F.col(f"__l_{a.name}"), F.col(f"__c_{a.name}")) for a in aggs})
@@ -114,12 +116,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: Column, probs: dict[s
     counts = (df.select(*keys, value.cast("double").alias("__v")).where(F.col("__v").isNotNull())
               .groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__n")))
     ranked = running(counts, keys, [F.col("__v")], value_cell(F.col("__v")),
-                     [Running("__hi", "sum", F.col("__n"))])
-    totals = counts.groupBy(*keys).agg(F.sum("__n").alias("__total"))
-    if keys:
-        ranked = ranked.join(totals, keys)
-    else:
-        ranked = ranked.withColumn("__total", totals.select("__total").scalar())
+                     [Running("__hi", "sum", F.col("__n"))], totals={"__total": F.col("__n")})
     lo_rank = F.col("__hi") - F.col("__n")
 
     def pick(rank: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tapelab.functions.exprs import cell_of, count_if, safe_div, sum_if
 from tapelab.functions.pool_amm import LAMPORTS
-from tapelab.operators.asof import asof_backward
+from tapelab.operators.asof import asof_backward, salted_join
 from tapelab.operators.scan import arrival_rank, exact_quantiles
 
 TX_COST = 0.0032
@@ -84,7 +84,7 @@ def wallet_ranks(selected: DataFrame) -> DataFrame:
 def first_buys(tape: DataFrame, wallets: DataFrame) -> DataFrame:
     """First buy per (wallet, mint) of the given wallets."""
     names = wallets.select(F.col("wallet").alias("user_wallet")).distinct()
-    return (tape.where(F.col("is_buy")).join(names, "user_wallet", "left_semi")
+    return (salted_join(tape.where(F.col("is_buy")), names, ["user_wallet"], ["mint", "id"], how="left_semi")
             .groupBy(F.col("user_wallet").alias("wallet"), "mint").agg(
         F.min(F.struct("event_time", "id", "sol_amount")).alias("f"))
         .select("wallet", "mint", F.col("f.event_time").alias("first_buy_at"), F.col("f.sol_amount").alias("first_buy_sol")))
@@ -155,7 +155,7 @@ def wallet_tape_profile(swaps: DataFrame, cell_ms: int, tx_cost: float = TX_COST
         F.sum(F.when(sell, F.col("quote_sol")).otherwise(-F.col("quote_sol"))).alias("flow"))
     ranks = buyer_ranks(swaps, cell_ms).select("pool", "user", "rank")
     trip = F.col("last_sell_ms") >= F.col("first_buy_ms")
-    pp = (per_pool.join(ranks, ["pool", "user"], "left").join(pool_first, "pool")
+    pp = (salted_join(per_pool.join(ranks, ["pool", "user"], "left"), pool_first, ["pool"], ["user"])
           .withColumns({"delay_ms": F.col("first_buy_ms") - F.col("pool_first_ms"),
                         "hold_s": F.when(trip, (F.col("last_sell_ms") - F.col("first_buy_ms")) / 1000.0)}))
     base = pp.groupBy("user").agg(
