@@ -13,6 +13,7 @@ from tapelab.operators.asof import asof_backward, asof_forward, interval_join, s
 from tapelab.operators.outcomes import STOP_CURVE
 from tapelab.operators.pools import flow_totals, running_drawdown
 from tapelab.operators.scan import Running, running
+from tapelab.session import cut_lineage
 
 # Latency, fee and queue scenarios of the stress replay.
 SCENARIOS = [
@@ -48,7 +49,8 @@ def stress_replay(signals: DataFrame, tape: DataFrame, scenarios: list[dict] = S
     closing = ev.where(F.col("curve_pct_depleted") >= STOP_CURVE).select("mint", "t", "id")
     ent = asof_forward(ent, closing, ["mint"], F.col("entry_us"), F.col("t"), [F.col("id")], "stop", cell_us, strict=True,
                        left_tie=[F.col("entry_id")])
-    ent = ent.withColumns({"stop_t": F.col("stop.t"), "stop_id": F.col("stop.id")}).drop("stop")
+    # One row per (mint, scenario), read by both walks below: written once instead of repeating the as-of joins.
+    ent = cut_lineage(ent.withColumns({"stop_t": F.col("stop.t"), "stop_id": F.col("stop.id")}).drop("stop"))
 
     pos, first = F.struct("t", "id"), F.struct(F.col("entry_us").alias("t"), F.col("entry_id").alias("id"))
     stop = F.struct(F.col("stop_t").alias("t"), F.col("stop_id").alias("id"))
@@ -64,7 +66,7 @@ def stress_replay(signals: DataFrame, tape: DataFrame, scenarios: list[dict] = S
     fired = (F.col("ret") >= tp) | (F.col("ret") <= sl) | (F.col("t") - F.col("entry_us") >= hold_us)
     here = F.struct("t", "id", "pnl", "ret", "market_cap_sol")
     exits = path(ent).groupBy(*who).agg(F.min(F.when(fired, here)).alias("hit"), F.max(here).alias("last"))
-    out = ent.join(exits.select(*who, F.coalesce("hit", "last").alias("x")), who)
+    out = cut_lineage(ent.join(exits.select(*who, F.coalesce("hit", "last").alias("x")), who))
     swing = path(out, pos <= F.struct(F.col("x.t").alias("t"), F.col("x.id").alias("id"))).groupBy(*who).agg(
         F.max("pnl").alias("peak_pnl_sol"), F.min("pnl").alias("trough_pnl_sol"))
     reason = F.when(F.col("x.ret") >= tp, "TAKE_PROFIT").when(F.col("x.ret") <= sl, "STOP_LOSS").otherwise("TIMEOUT")
@@ -288,6 +290,7 @@ def curve_paper(passes: DataFrame, events: DataFrame, accounts: list[dict], size
     at = at.withColumn("buy", F.when(c.real_token > 0, K.curve_buy(c, size))).where(F.col("buy").isNotNull())
     pos = at.select("mint", "account", "ready_ms", F.col("e.receivedAtMs").alias("entry_ms"), F.col("e.receivedSequence").alias("entry_seq"),
                     "buy", F.lit(None).cast("double").alias("entry_ret"))
+    pos = cut_lineage(pos)  # one row per (mint, account)
     on = lambda state: K.curve_sell(K.Curve.from_struct(state), F.col("buy.internal_raw"), F.col("buy.tokens_raw"))
     pnl = lambda state: K.round_trip_pnl(on(state)["proceeds_sol"], F.col("buy.spend_sol"), tx_cost)
     basis = F.col("buy.spend_sol") + tx_cost

@@ -406,5 +406,5 @@ SELECT f.mint, f.account, f.ready_ms, f.entry_ms, f.entry_seq, coalesce(x.ms, y.
 FROM land f LEFT JOIN trig USING (mint, account) JOIN lastw USING (mint, account)""")
 def curve_fills(spark, d):
     ev = cut_lineage(PQ.live_curve(spark, d))
-    out = R.curve_paper(live_passes(spark, d, ev), ev, CURVE_ACCOUNTS, 0.5, COST, CURVE_PLAN, CELL_MS)
+    out = R.curve_paper(cut_lineage(live_passes(spark, d, ev)), ev, CURVE_ACCOUNTS, 0.5, COST, CURVE_PLAN, CELL_MS)
     return out.select("mint", "account", "ready_ms", "entry_ms", "entry_seq", "exit_ms", "exit_reason", r6("pnl_sol").alias("pnl_sol"), r6("return_pct").alias("return_pct"))
