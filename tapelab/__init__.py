@@ -1 +1,8 @@
-"""tapelab: market event tape analytics as Spark DataFrame operators."""
+"""Market event tapes on PySpark."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to executors by value, so workers need no copy of it on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
