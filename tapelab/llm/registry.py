@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from tapelab.llm import chat, heavy_dedup, mixing, sharding, url_cascade
+from tapelab.llm import chat, heavy_dedup, kd_search, language_id, mixing, packing, sharding, url_cascade
 
 QUERIES = {
     "op1_virtual_slot_sharding": sharding.query,
+    "op3_least_squares_packing": packing.query,
+    "op4_bitmask_language_id": language_id.query,
     "op5_prefix_target_chat": chat.query,
     "op6_heavy_hitter_dedup": heavy_dedup.query,
     "op8_bloom_cascade_urls": url_cascade.query,
+    "op9_kd_tree_top_k": kd_search.query,
     "op10_sainte_lague_mix": mixing.query,
 }
 
 ORACLES = {
     "op6_heavy_hitter_dedup": heavy_dedup.SQL,
     "op8_bloom_cascade_urls": url_cascade.SQL,
+    "op9_kd_tree_top_k": kd_search.SQL,
     "op10_sainte_lague_mix": mixing.SQL,
 }
