@@ -28,6 +28,8 @@ LEAST_COUNT = 3
 SLOT_BITS = 19
 PROBES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 UNDECIDED = "und"
+#: A text with a smaller share of known n-grams is in none of the languages.
+LEAST_SCORE = 0.3
 
 IS_LETTER = np.zeros(256, bool)
 IS_LETTER[ord("a"): ord("z") + 1] = True
@@ -164,6 +166,24 @@ def predict(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_co
         run, "doc_id long, lang_pred string, score double")
 
 
+def keep_identified(df: DataFrame, model: LanguageModel, least: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` whose text is in one of the model's languages with at least the score ``least``, all columns unchanged."""
+    names = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            has = batch.column(len(names) + 1).to_numpy(zero_copy_only=False).astype(bool)
+            keep = np.zeros(batch.num_rows, bool)
+            if model.languages:
+                for c in chunks(batch.column(len(names))):
+                    k = slice(c.first, c.first + len(c.end))
+                    keep[k] = has[k] & (model.judge(c)[1] >= least)
+            yield pa.RecordBatch.from_arrays(batch.columns[:len(names)], schema=pa.schema([batch.schema.field(i) for i in range(len(names))])).filter(pa.array(keep))
+
+    letters = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
+    return df.select(*[F.col(f"`{c}`") for c in names], padded(F.col(text_col)).alias("__padded"), letters.alias("__letters")).mapInArrow(run, df.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = train(docs.where(~held_out(F.col("doc_id"))))
