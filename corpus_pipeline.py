@@ -4,25 +4,44 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tapelab.llm import heavy_dedup, mixing
+from tapelab.llm import heavy_dedup, language_id, minhash_join, mixing, packing
 from tapelab.llm.common import stage, table
 
 
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, and those in none of the languages learned from the labelled ones, go."""
+    model = language_id.train(docs.where(~language_id.held_out(F.col("doc_id"))))
+    return language_id.keep_identified(docs, model, language_id.LEAST_SCORE)
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of identical texts the document with the largest doc_id stays."""
     return heavy_dedup.keep_one(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents connected by 5-gram Jaccard links the one with the smallest doc_id stays."""
+    return minhash_join.keep_one(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated, dropped or cut so that sources come near their target weights."""
     return mixing.mixed_documents(docs)
 
 
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The place of every piece of every document in sequences of 2048 tokens."""
+    return packing.pack(docs)
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", identify_language),
     ("exact_dedup", exact_dedup),
-    ("mix_sources", mix_sources),
+    ("ngram_jaccard", near_dedup),
+    ("source_mixing", mix_sources),
+    ("packing", pack_sequences),
 ]
 
 
