@@ -8,6 +8,7 @@ other shards, where boxes below that score are never opened.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,7 +52,7 @@ class KDTree:
         """The highest score that any vector of each node can have, per query."""
         return np.maximum(queries, 0) @ self.high.T + np.minimum(queries, 0) @ self.low.T
 
-    def search(self, query: np.ndarray, bound: np.ndarray, ids: np.ndarray, own_id: int, k: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, query: np.ndarray, bound: np.ndarray, ids: np.ndarray, own_id: int, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best rows but ``own_id``, best first, ties to smaller ids; rows below ``least`` may be left out."""
         heap, best_ids, best = [(-bound[0], 0)], np.zeros(0, np.int64), np.zeros(0, self.vectors.dtype)
         while heap:
@@ -94,7 +95,7 @@ def top_in_shard(shard: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataF
         tree, ids = KDTree(vectors), shard["vec_id"].to_numpy()
         for b in range(0, len(asked), 256):
             for q, bound, own, least in zip(asked[b: b + 256], tree.bounds(asked[b: b + 256]), queries["query_id"][b: b + 256], queries["least"][b: b + 256]):
-                found, score = tree.search(q, bound, ids, own, k, int(least))
+                found, score = tree.search(q, bound, ids, own, k, -math.inf if least <= NO_SCORE + 1 else int(least))
                 out_query += [own] * len(found)
                 out_id += found.tolist()
                 out_score += [min(max(int(s), NO_SCORE + 1), 2**63 - 1) for s in score]
@@ -132,7 +133,8 @@ def top_k(df: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_id", v
     run = lambda shard, asked: top_in_shard(shard, asked, k)
 
     def search(asked: DataFrame) -> DataFrame:
-        return candidates.groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(run, schema)
+        # New names for the same columns: both sides come from one table.
+        return candidates.groupBy(*key).cogroup(asked.toDF(*asked.columns).groupBy(*key)).applyInPandas(run, schema)
 
     home = stage(search(queries.withColumn("least", F.lit(int(NO_SCORE)).cast("long"))), "home")
     if shards == 1:
