@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once (one text is never cut).
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 IS_WORD = np.ones(256, bool)
 IS_WORD[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
@@ -45,7 +45,7 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(store.get(base, ((),))[0]) < n:
         made = []
         for b in (base, pow(base, -1, 2**64)):
-            p = np.full(1 << max(20, int(n).bit_length()), b, U)
+            p = np.full(1 << max(18, int(n).bit_length()), b, U)
             p[0] = 1
             made.append(np.multiply.accumulate(p))
         store[base] = made
