@@ -36,15 +36,18 @@ def opening_window(migrations: DataFrame, swaps: DataFrame, seconds: int, cell_s
             .withColumn("net_flow_sol", F.col("buys_sol") - F.col("sells_sol")))
 
 
-def tape_completeness(migrations: DataFrame, swaps: DataFrame, pre_cap: int = 500, candidate_cap: int = 5_000,
+def tape_completeness(migrations: DataFrame, swaps: DataFrame, decided_ms: Column, pre_cap: int = 500, candidate_cap: int = 5_000,
                       slack_s: int = 2) -> DataFrame:
-    """Events a bounded live buffer would have dropped per pool: before the migration, and from slack_s before it on."""
-    m = migrations.select("pool", "blockTime")
-    per_cell = (salted_join(swaps, m, ["pool"], ["receivedSequence"]).groupBy("pool").agg(
+    """Events that a bounded live buffer would have dropped per pool until its decision: before the migration, and from slack_s before it on.
+
+    A report only: nothing is dropped here, so the counts decide nothing. Events received after ``decided_ms`` do not count.
+    """
+    m = migrations.select("pool", "blockTime", decided_ms.alias("decided_ms"))
+    per_cell = (salted_join(swaps, m, ["pool"], ["receivedSequence"]).where(F.col("receivedAtMs") <= F.col("decided_ms")).groupBy("pool").agg(
         count_if(F.col("timestamp") < F.col("blockTime")).alias("pre"),
         count_if(F.col("timestamp") >= F.col("blockTime") - slack_s).alias("seen")))
     over = lambda c, cap: F.greatest(F.coalesce(F.col(c), F.lit(0)) - cap, F.lit(0))
-    return (m.join(per_cell, "pool", "left")
+    return (m.drop("decided_ms").join(per_cell, "pool", "left")
             .select("pool", over("pre", pre_cap).alias("pre_dropped"), over("seen", candidate_cap).alias("candidate_dropped"))
             .withColumn("dropped_events", F.col("pre_dropped") + F.col("candidate_dropped")))
 

@@ -49,30 +49,43 @@ def stress_replay(signals: DataFrame, tape: DataFrame, scenarios: list[dict] = S
     closing = ev.where(F.col("curve_pct_depleted") >= STOP_CURVE).select("mint", "t", "id")
     ent = asof_forward(ent, closing, ["mint"], F.col("entry_us"), F.col("t"), [F.col("id")], "stop", cell_us, strict=True,
                        left_tie=[F.col("entry_id")])
-    # One row per (mint, scenario), read by both walks below: written once instead of repeating the as-of joins.
+    here = ["t", "id", "v_sol_bonding_curve", "v_tokens_bonding_curve", "market_cap_sol"]
+    # The first event at or after the end of the hold closes whatever is still open.
+    ent = asof_forward(ent, ev.select("mint", *here), ["mint"], F.col("entry_us") + hold_us, F.col("t"), [F.col("id")], "close", cell_us)
+    # One row per (mint, scenario), read by the walk and the join below: written once instead of repeating the as-of joins.
     ent = cut_lineage(ent.withColumns({"stop_t": F.col("stop.t"), "stop_id": F.col("stop.id")}).drop("stop"))
 
+    who = ["mint", "scenario", "signal_us"]
     pos, first = F.struct("t", "id"), F.struct(F.col("entry_us").alias("t"), F.col("entry_id").alias("id"))
     stop = F.struct(F.col("stop_t").alias("t"), F.col("stop_id").alias("id"))
     pnl = B.liquidation_pnl(F.col("v_sol_bonding_curve"), F.col("v_tokens_bonding_curve"), F.col("tokens"), size, F.col("fee_rate"), F.col("tx_cost"))
-
-    def path(ents: DataFrame, upto: Column | None = None) -> DataFrame:
-        rows = salted_join(ev, ents, ["mint"], ["id"], salts).where((pos > first) & (F.col("stop_t").isNull() | (pos < stop)))
-        rows = rows if upto is None else rows.where(upto)
-        rows = rows.withColumn("pnl", pnl).where(F.col("pnl").isNotNull())
-        return rows.withColumn("ret", F.col("pnl") / (F.lit(size) + F.col("tx_cost")))
-
-    who = ["mint", "scenario", "signal_us"]
-    fired = (F.col("ret") >= tp) | (F.col("ret") <= sl) | (F.col("t") - F.col("entry_us") >= hold_us)
-    here = F.struct("t", "id", "pnl", "ret", "market_cap_sol")
-    exits = path(ent).groupBy(*who).agg(F.min(F.when(fired, here)).alias("hit"), F.max(here).alias("last"))
-    out = cut_lineage(ent.join(exits.select(*who, F.coalesce("hit", "last").alias("x")), who))
-    swing = path(out, pos <= F.struct(F.col("x.t").alias("t"), F.col("x.id").alias("id"))).groupBy(*who).agg(
-        F.max("pnl").alias("peak_pnl_sol"), F.min("pnl").alias("trough_pnl_sol"))
+    terms = [*who, "entry_us", "entry_id", "tokens", "fee_rate", "tx_cost", "stop_t", "stop_id"]
+
+    def walk(rows: DataFrame) -> DataFrame:
+        """Exit, peak and trough per position from its events in order."""
+        open_rows = rows.where((pos > first) & (F.col("stop_t").isNull() | (pos < stop))).withColumn("pnl", pnl).where(F.col("pnl").isNotNull())
+        upto = Window.partitionBy(*who).orderBy("t", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        seen = open_rows.withColumns({"ret": F.col("pnl") / (F.lit(size) + F.col("tx_cost")), "peak": F.max("pnl").over(upto), "trough": F.min("pnl").over(upto)})
+        fired = (F.col("ret") >= tp) | (F.col("ret") <= sl) | (F.col("t") - F.col("entry_us") >= hold_us)
+        row = F.struct("t", "id", "pnl", "ret", "market_cap_sol", "peak", "trough")
+        return seen.groupBy(*who).agg(F.min(F.when(fired, row)).alias("hit"), F.max(row).alias("last"))
+
+    # A path is the events inside the hold, which meet their position through time cells, and the closing event.
+    inside = interval_join(ent.select(*terms), ev.select("mint", *here), ["mint"], F.col("entry_us"), F.col("entry_us") + (hold_us - 1), F.col("t"), cell_us)
+    closes = ent.where(F.col("close").isNotNull()).select(*terms, *[F.col(f"close.{c}").alias(c) for c in here])
+    exits = walk(inside.select(*terms, *here).unionByName(closes))
+    # A closing event that cannot be quoted closes nothing: such positions (normally none) walk on to the end of their token.
+    shut = closes.where((F.col("stop_t").isNull() | (pos < stop)) & pnl.isNull()).select(*who)
+    odd = ent.select(*terms).join(shut, who, "left_semi")
+    late = walk(salted_join(ev.select("mint", *here), odd, ["mint"], ["id"], salts).select(*terms, *here))
+    both = exits.join(late.withColumnsRenamed({"hit": "late_hit", "last": "late_last"}), who, "left").select(
+        *who, F.coalesce("hit", "late_hit", "late_last", "last").alias("x"))
+    out = ent.join(both, who)
     reason = F.when(F.col("x.ret") >= tp, "TAKE_PROFIT").when(F.col("x.ret") <= sl, "STOP_LOSS").otherwise("TIMEOUT")
-    return out.join(swing, who).select(
-        *who, "entry_us", F.col("x.t").alias("exit_us"), F.col("x.pnl").alias("pnl_sol"), "peak_pnl_sol", "trough_pnl_sol",
-        reason.alias("exit_reason"), F.col("entry_mc").alias("entry_market_cap_sol"), F.col("x.market_cap_sol").alias("exit_market_cap_sol"))
+    return out.select(
+        *who, "entry_us", F.col("x.t").alias("exit_us"), F.col("x.pnl").alias("pnl_sol"), F.col("x.peak").alias("peak_pnl_sol"),
+        F.col("x.trough").alias("trough_pnl_sol"), reason.alias("exit_reason"), F.col("entry_mc").alias("entry_market_cap_sol"),
+        F.col("x.market_cap_sol").alias("exit_market_cap_sol"))
 
 
 # ---- delayed entries and exits on event streams ----------------------------------------------------------------

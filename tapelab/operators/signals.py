@@ -24,15 +24,20 @@ def first_match(rows: DataFrame, rules: dict[str, Column], key: str = "mint", or
             .select(F.col("hit.config").alias("config"), key, F.col("hit.at").alias(order)))
 
 
+def _base(grids: dict[str, dict[str, tuple]]) -> int:
+    """Base of the level codes: above every level number, so that no dimension runs into the next."""
+    return 1 + max(len(values) for short, grid in grids.items() for _, values, _ in families()[short].levels(grid))
+
+
 def _level_codes(rows: DataFrame, grids: dict[str, dict[str, tuple]], gate: Column, keep: list[str]) -> DataFrame:
-    """Rows passing the gate, once per family they pass: (family, code), code = level numbers in base 16."""
-    fams = families()
+    """Rows passing the gate, once per family they pass: (family, code), code = level numbers in one base."""
+    fams, base = families(), _base(grids)
     codes = []
     for short, grid in grids.items():
         parts = fams[short].levels(grid)
         code, passes = F.lit(0), fams[short].fixed
         for _, _, level in parts:
-            code = code * 16 + level
+            code = code * base + level
             passes = passes & (level > 0)
         codes.append(F.when(passes, F.struct(F.lit(short).alias("family"), code.alias("code"))))
     gated = rows.where(gate)
@@ -42,7 +47,7 @@ def _level_codes(rows: DataFrame, grids: dict[str, dict[str, tuple]], gate: Colu
 
 def _configs_of(grids: dict[str, dict[str, tuple]]) -> Column:
     """Array of configurations met by a (family, code): all whose thresholds lie at or below the levels."""
-    fams = families()
+    fams, base = families(), _base(grids)
     by_code: dict[str, list[str]] = {}
     for short, grid in grids.items():
         ordered = {dim: values for dim, values, _ in fams[short].levels(grid)}
@@ -51,7 +56,7 @@ def _configs_of(grids: dict[str, dict[str, tuple]]) -> Column:
         for levels in product(*[range(1, len(v) + 1) for v in ordered.values()]):
             code = 0
             for level in levels:
-                code = code * 16 + level
+                code = code * base + level
             by_code[f"{short}:{code}"] = [n for n, need in names if all(a >= b for a, b in zip(levels, need))]
     pairs = [x for k, v in by_code.items() for x in (F.lit(k), F.array(*[F.lit(n) for n in v]))]
     return F.element_at(F.create_map(*pairs), F.concat_ws(":", "family", F.col("code").cast("string")))
@@ -108,10 +113,8 @@ def cohort_signals(first_buys: DataFrame, ranks: DataFrame, cohorts: list[dict])
 def selector_reasons(cfg: dict) -> Column:
     """Why an opening is skipped; an empty array qualifies it."""
     reserve = F.col("quote_reserve_sol")
-    dropped = F.coalesce(F.col("dropped_events"), F.lit(0))
     return reason_list([
         (reserve.isNull(), "no_reserve_state"),
-        (dropped > 0, "incomplete_tape"),
         (reserve < cfg["min_quote_reserve_sol"], "reserve_below_minimum"),
         (reserve > cfg["max_quote_reserve_sol"], "reserve_above_maximum"),
         (F.col("largest_opening_swap_sol") > cfg["max_largest_opening_swap_sol"], "opening_swap_too_large"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["tape", "screen", "pools", "wallets", "replay", "ledger", "models", "streams"]
+MODULES = ["tape", "files", "screen", "pools", "wallets", "replay", "ledger", "models", "streams"]
 
 
 def load_registry():

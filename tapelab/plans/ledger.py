@@ -27,7 +27,7 @@ _LEDGER = RQ.CLOSED + """, l_dec AS (
 l_exits AS (
   SELECT pool || ':' || entry_seq AS id, pool, pnl_sol FROM closed WHERE account = 'SAFE-1000'
   UNION ALL SELECT 'ghost:' || pool, pool, pnl_sol FROM closed WHERE account = 'FAST-170' AND entry_seq % 5 = 0
-), l_void AS (SELECT id FROM l_entries WHERE entry_seq % 7 = 0), l_skips AS (SELECT pool FROM landed WHERE account = 'SAFE-1000' AND status <> 'FILLED'),
+), l_void AS (SELECT id FROM l_entries WHERE entry_seq % 7 = 0), l_skips AS (SELECT pool FROM taken WHERE account = 'SAFE-1000' AND status <> 'FILLED'),
 l_first AS (SELECT pool, arg_min(decision, struct_pack(a := at_ms, b := seq)) AS decision, min(at_ms) AS at_ms, count(*) - 1 AS duplicates FROM l_dec GROUP BY pool),
 l_split AS (
   SELECT x.*, coalesce(f.decision = 'QUALIFY', false) AND x.id IN (SELECT id FROM l_entries) AND x.id NOT IN (SELECT id FROM l_void) AS valid
@@ -38,9 +38,12 @@ l_split AS (
 def ledgers(spark, d):
     sw = RQ.staged_swaps(spark, d)
     dec = cut_lineage(RQ.decided(spark, d, sw))
-    land = cut_lineage(R.land_entries(dec, sw, RQ.ACCOUNTS[:2], RQ.SAFE_MS, RQ.WAIT_MS, RQ.COST, CELL_MS, RQ.guards(sw)))
+    tried = cut_lineage(RQ.land(dec, sw, RQ.ACCOUNTS[:2]))
+    closed = cut_lineage(RQ.within_capacity(cut_lineage(RQ.exited(tried.where(F.col("status") == "FILLED"), sw))))
+    took = closed.select("pool", "account", F.lit(True).alias("took"))
+    refused = (F.col("status") == "FILLED") & F.col("took").isNull()
+    land = tried.join(took, ["pool", "account"], "left").withColumn("status", F.when(refused, "CAPACITY").otherwise(F.col("status"))).drop("took")
     fills = land.where(F.col("status") == "FILLED")
-    closed = cut_lineage(R.delayed_exits(fills, sw, ["pool", "account"], RQ.PLAN, F.col("exit_delay_ms"), F.col("size_sol"), RQ.COST, CELL_MS))
     first = dec.select("pool", F.col("submitted_ms").alias("at"), F.lit(0).alias("decision_seq"), "decision")
     flip = F.when(F.col("decision") == "QUALIFY", "SKIP").otherwise("QUALIFY")
     again = dec.where(F.col("decision_seq") % 6 == 0).select("pool", (F.col("submitted_ms") + 1000).alias("at"), F.lit(1).alias("decision_seq"), flip.alias("decision"))
@@ -52,7 +55,7 @@ def ledgers(spark, d):
             "skips": land.where((F.col("account") == "SAFE-1000") & (F.col("status") != "FILLED")).select("pool"), "landed": land, "closed": closed, "dec": dec, "swaps": sw}
 
 
-@query("first_decisions", f"WITH {_LEDGER} SELECT pool, at_ms AS at, decision, duplicates FROM l_first")
+@query("first_decisions", f"WITH RECURSIVE {_LEDGER} SELECT pool, at_ms AS at, decision, duplicates FROM l_first")
 def first_decisions(spark, d):
     return L.first_decisions(ledgers(spark, d)["decisions"]).select("pool", "at", "decision", "duplicates")
 
@@ -61,17 +64,17 @@ def split(g):
     return L.split_exits(g["exits"], L.first_decisions(g["decisions"]), g["entries"], g["invalidated"])
 
 
-@query("valid_exits", f"WITH {_LEDGER} SELECT id, pool, valid, {r('pnl_sol', 'pnl_sol')} FROM l_split")
+@query("valid_exits", f"WITH RECURSIVE {_LEDGER} SELECT id, pool, valid, {r('pnl_sol', 'pnl_sol')} FROM l_split")
 def valid_exits(spark, d):
     return split(ledgers(spark, d)).select("id", "pool", "valid", r6("pnl_sol").alias("pnl_sol"))
 
 
-@query("corrections", f"WITH {_LEDGER} SELECT CAST(0 AS BIGINT) AS at, 'EXCLUDED_EXIT' AS type, id, pool, {r('pnl_sol', 'pnl_sol')}, 'DUPLICATE_MIGRATION_REDECISION' AS reason FROM l_split WHERE NOT valid")
+@query("corrections", f"WITH RECURSIVE {_LEDGER} SELECT CAST(0 AS BIGINT) AS at, 'EXCLUDED_EXIT' AS type, id, pool, {r('pnl_sol', 'pnl_sol')}, 'DUPLICATE_MIGRATION_REDECISION' AS reason FROM l_split WHERE NOT valid")
 def corrections(spark, d):
     return L.corrections(split(ledgers(spark, d)), F.lit(0).cast("long")).withColumn("pnl_sol", r6("pnl_sol"))
 
 
-@query("rebuilt_account", f"""WITH {_LEDGER} SELECT count(*) AS completed_trades, {r('coalesce(sum(pnl_sol), 0)', 'realized_pnl_sol')}, count(*) FILTER (WHERE pnl_sol > 0) AS wins,
+@query("rebuilt_account", f"""WITH RECURSIVE {_LEDGER} SELECT count(*) AS completed_trades, {r('coalesce(sum(pnl_sol), 0)', 'realized_pnl_sol')}, count(*) FILTER (WHERE pnl_sol > 0) AS wins,
   count(*) FILTER (WHERE pnl_sol <= 0) AS losses, {r('3.0 + coalesce(sum(pnl_sol), 0)', 'available_bankroll_sol')}, (SELECT count(*) FROM l_first) AS decisions,
   (SELECT CAST(sum(duplicates) AS BIGINT) FROM l_first) AS duplicate_decisions, (SELECT count(DISTINCT pool) FROM l_entries) AS entered,
   (SELECT count(*) FROM l_first WHERE decision = 'SKIP') + (SELECT count(*) FROM l_skips) AS skipped,
@@ -82,13 +85,14 @@ def rebuilt_account(spark, d):
     return out.withColumns({c: r6(c) for c in ("realized_pnl_sol", "available_bankroll_sol")})
 
 
-@query("open_positions", f"WITH {_LEDGER} SELECT id, pool FROM l_entries WHERE id NOT IN (SELECT id FROM l_exits WHERE pool NOT LIKE 'm3%') AND id NOT IN (SELECT id FROM l_void)")
+@query("open_positions", f"WITH RECURSIVE {_LEDGER} SELECT id, pool FROM l_entries WHERE id NOT IN (SELECT id FROM l_exits WHERE id NOT IN (SELECT id FROM l_entries WHERE entry_seq % 5 = 0)) AND id NOT IN (SELECT id FROM l_void)")
 def open_positions(spark, d):
     g = ledgers(spark, d)
-    return L.open_positions(g["entries"], g["exits"].where(~F.col("pool").startswith("m3")), g["invalidated"]).select("id", "pool")
+    pending = g["entries"].where(F.col("entry_seq") % 5 == 0)
+    return L.open_positions(g["entries"], g["exits"].join(pending, "id", "left_anti"), g["invalidated"]).select("id", "pool")
 
 
-@query("size_shadow_report", f"""WITH {RQ.CLOSED}, t AS (SELECT size_sol, pnl_sol, entry_seq % 7 = 0 AS void FROM closed WHERE account <> 'FAST-170'), rep AS (
+@query("size_shadow_report", f"""WITH RECURSIVE {RQ.CLOSED}, t AS (SELECT size_sol, pnl_sol, entry_seq % 7 = 0 AS void FROM closed WHERE account <> 'FAST-170'), rep AS (
   SELECT size_sol, count(*) FILTER (WHERE NOT void) AS completed_trades, CAST(0 AS BIGINT) AS open_positions, count(*) FILTER (WHERE NOT void AND pnl_sol > 0) AS wins,
     count(*) FILTER (WHERE NOT void AND pnl_sol <= 0) AS losses, coalesce(sum(pnl_sol) FILTER (WHERE NOT void), 0.0) AS realized_pnl_sol,
     avg(pnl_sol) FILTER (WHERE NOT void) AS average_pnl_sol, count(*) FILTER (WHERE void) AS invalidated_trades FROM t GROUP BY size_sol)
@@ -102,8 +106,8 @@ def size_shadow_report(spark, d):
     return out.withColumns({c: r6(c) for c in ("realized_pnl_sol", "average_pnl_sol", "win_rate_pct", "minimum_progress_pct", "target_progress_pct")})
 
 
-@query("latency_report", f"""WITH {RQ.CLOSED}, a AS (SELECT account, entry_delay_ms AS target_delay_ms, count(*) AS matched_signals, count(*) FILTER (WHERE status = 'FILLED') AS entered,
-    count(*) FILTER (WHERE status <> 'FILLED') AS skipped FROM landed WHERE size_sol = 0.5 GROUP BY ALL),
+@query("latency_report", f"""WITH RECURSIVE {RQ.CLOSED}, a AS (SELECT account, entry_delay_ms AS target_delay_ms, count(*) AS matched_signals, count(*) FILTER (WHERE status = 'FILLED') AS entered,
+    count(*) FILTER (WHERE status <> 'FILLED') AS skipped FROM taken WHERE size_sol = 0.5 GROUP BY ALL),
 t AS (SELECT account, count(*) AS n, sum(pnl_sol) AS p, count(*) FILTER (WHERE pnl_sol > 0) AS w, count(*) FILTER (WHERE pnl_sol <= 0) AS l FROM closed GROUP BY account)
 SELECT account, target_delay_ms, matched_signals, entered, skipped, coalesce(n, 0) AS completed_trades, coalesce(w, 0) AS wins, coalesce(l, 0) AS losses,
   {r('coalesce(p, 0)', 'realized_pnl_sol')}, {r('3 + coalesce(p, 0)', 'bankroll_sol')}, entered - coalesce(n, 0) AS open_positions FROM a LEFT JOIN t USING (account)""")
@@ -112,7 +116,7 @@ def latency_report(spark, d):
     return L.latency_report(g["closed"], g["landed"], 3.0).withColumns({c: r6(c) for c in ("realized_pnl_sol", "bankroll_sol")})
 
 
-@query("daily_account_summary", f"""WITH {RQ.CLOSED}, dly AS (SELECT account, exit_target_ms // 86400000 AS d, count(*) AS n, sum(pnl_sol) AS p, count(*) FILTER (WHERE pnl_sol > 0) AS w
+@query("daily_account_summary", f"""WITH RECURSIVE {RQ.CLOSED}, dly AS (SELECT account, exit_target_ms // 86400000 AS d, count(*) AS n, sum(pnl_sol) AS p, count(*) FILTER (WHERE pnl_sol > 0) AS w
   FROM closed WHERE size_sol = 0.5 GROUP BY ALL)
 SELECT account, CAST(CAST(DATE '1970-01-01' + CAST(d AS INTEGER) AS DATE) AS VARCHAR) AS day, n AS completed_trades, {r('p', 'realized_pnl_sol')}, {r('100 * w / n', 'win_rate_pct')},
   {r('3 + sum(p) OVER (PARTITION BY account ORDER BY d)', 'bankroll_sol')} FROM dly""")
@@ -122,7 +126,7 @@ def daily_account_summary(spark, d):
     return out.withColumns({c: r6(c) for c in ("realized_pnl_sol", "win_rate_pct", "bankroll_sol")})
 
 
-@query("case_studies", f"""WITH {RQ.CLOSED} SELECT c.pool, c.account, m.symbol, m.blockTime * 1000 AS migration_block_ms, m.blockTime * 1000 + 200 AS log_received_ms,
+@query("case_studies", f"""WITH RECURSIVE {RQ.CLOSED} SELECT c.pool, c.account, m.symbol, m.blockTime * 1000 AS migration_block_ms, m.blockTime * 1000 + 200 AS log_received_ms,
   m.blockTime * 1000 + 450 AS resolved_ms, submitted_ms, entry_ms, trigger_ms, exit_target_ms AS exit_ms, 200 AS block_to_log_ms, 250 AS log_to_resolved_ms,
   submitted_ms - m.blockTime * 1000 - 450 AS resolved_to_signal_ms, entry_ms - submitted_ms AS signal_to_entry_ms, exit_target_ms - trigger_ms AS trigger_to_exit_ms,
   {r('(exit_target_ms - entry_ms) / 1000.0', 'hold_seconds')}, trigger_reason, {r('pnl_sol', 'pnl_sol')}, {r('return_pct', 'return_pct')}
@@ -133,7 +137,7 @@ def case_studies(spark, d):
     return out.withColumns({c: r6(c) for c in ("hold_seconds", "pnl_sol", "return_pct")})
 
 
-@query("skip_summary", f"""WITH {RQ.SKIPPED} SELECT account, count(*) AS skipped_candidates, count(*) FILTER (WHERE status = 'CLOSED') AS closed,
+@query("skip_summary", f"""WITH RECURSIVE {RQ.SKIPPED} SELECT account, count(*) AS skipped_candidates, count(*) FILTER (WHERE status = 'CLOSED') AS closed,
   count(*) FILTER (WHERE status = 'CLOSED' AND pnl_sol > 0) AS wins, count(*) FILTER (WHERE status = 'CLOSED' AND pnl_sol <= 0) AS losses,
   count(*) FILTER (WHERE status <> 'CLOSED') AS not_closed, {r("coalesce(sum(round(pnl_sol, 6)) FILTER (WHERE status = 'CLOSED'), 0)", 'total_pnl_sol')}
 FROM skipped WHERE status <> 'ACTUALLY_ENTERED' GROUP BY account""")
@@ -141,14 +145,14 @@ def skip_summary(spark, d):
     return L.skip_summary(RQ.skipped(spark, d, RQ.staged_swaps(spark, d))).withColumn("total_pnl_sol", r6("total_pnl_sol"))
 
 
-@query("skip_statuses", f"WITH {RQ.SKIPPED} SELECT account, status, count(*) AS n FROM skipped WHERE status <> 'ACTUALLY_ENTERED' GROUP BY ALL")
+@query("skip_statuses", f"WITH RECURSIVE {RQ.SKIPPED} SELECT account, status, count(*) AS n FROM skipped WHERE status <> 'ACTUALLY_ENTERED' GROUP BY ALL")
 def skip_statuses(spark, d):
     return L.skip_statuses(RQ.skipped(spark, d, RQ.staged_swaps(spark, d)))
 
 
-@query("skip_winners", f"""WITH {RQ.SKIPPED} SELECT s.pool, s.account, m.symbol, CASE WHEN l.status IS NOT NULL THEN 'LANDING_GUARD' ELSE 'SELECTOR' END AS skip_stage,
+@query("skip_winners", f"""WITH RECURSIVE {RQ.SKIPPED} SELECT s.pool, s.account, m.symbol, CASE WHEN l.status IS NOT NULL THEN 'LANDING_GUARD' ELSE 'SELECTOR' END AS skip_stage,
   CASE WHEN l.status IS NOT NULL THEN l.status ELSE array_to_string(d.reasons, '; ') END AS skip_reason, {r('s.pnl_sol', 'pnl_sol')}
-FROM skipped s JOIN dec2 d USING (pool) JOIN migrations m USING (pool) LEFT JOIN (SELECT pool, account, status FROM landed WHERE status <> 'FILLED') l
+FROM skipped s JOIN dec2 d USING (pool) JOIN migrations m USING (pool) LEFT JOIN (SELECT pool, account, status FROM taken WHERE status <> 'FILLED') l
   ON l.pool = s.pool AND l.account = s.account WHERE s.status = 'CLOSED' AND s.pnl_sol > 0""")
 def skip_winners(spark, d):
     g = ledgers(spark, d)
@@ -157,7 +161,7 @@ def skip_winners(spark, d):
     return out.select("pool", "account", "symbol", "skip_stage", "skip_reason", r6("pnl_sol").alias("pnl_sol"))
 
 
-@query("promotion_gate", f"""WITH {RQ.CLOSED}, t AS (SELECT account, pnl_sol, entry_seq % 7 = 0 AS void FROM closed WHERE size_sol = 0.5), a AS (
+@query("promotion_gate", f"""WITH RECURSIVE {RQ.CLOSED}, t AS (SELECT account, pnl_sol, entry_seq % 7 = 0 AS void FROM closed WHERE size_sol = 0.5), a AS (
   SELECT count(*) FILTER (WHERE account = 'SAFE-1000' AND NOT void) AS signals, sum(pnl_sol) FILTER (WHERE account = 'SAFE-1000' AND NOT void) AS b,
     sum(pnl_sol) FILTER (WHERE account = 'FAST-170' AND NOT void) AS s, max(pnl_sol) FILTER (WHERE account = 'SAFE-1000' AND NOT void) AS m, count(*) FILTER (WHERE void) AS gaps FROM t)
 SELECT signals, {r('b', 'base_pnl_sol')}, {r('s', 'shadow_pnl_sol')}, {r('CASE WHEN b > 0 THEN m / b END', 'largest_profit_share')}, gaps AS data_gaps, signals >= 200 AS enough_signals,

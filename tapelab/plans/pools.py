@@ -15,7 +15,7 @@ from tapelab.sources import adapters as A
 
 CELL_MS = A.HOUR_MS // 2
 WINDOW_S = 7_200
-SELECTOR = {"min_quote_reserve_sol": 29.9, "max_quote_reserve_sol": 30.5, "max_largest_opening_swap_sol": 0.6,
+SELECTOR = {"min_quote_reserve_sol": 29.9, "max_quote_reserve_sol": 30.5, "max_largest_opening_swap_sol": 1.5,
             "min_independent_buyers": 1, "min_opening_swaps": 2}
 GUARD = DumpGuard(window_ms=A.HOUR_MS, max_peak_drawdown_pct=1.0, min_sell_pressure_sol=0.1, max_sell_to_buy_ratio=2)
 
@@ -98,29 +98,26 @@ def opening_window(spark, d):
 
 
 @query("tape_completeness", f"""WITH {S.SWAPS}, c AS (SELECT m.pool, count(*) FILTER (WHERE s.ts_s < m.blockTime) AS pre,
-    count(*) FILTER (WHERE s.ts_s >= m.blockTime - 2) AS seen FROM migrations m JOIN swaps s USING (pool) GROUP BY m.pool)
+    count(*) FILTER (WHERE s.ts_s >= m.blockTime - 2) AS seen FROM migrations m LEFT JOIN swaps s
+    ON s.pool = m.pool AND s.receivedAtMs <= 1000 * m.blockTime + 7200000 GROUP BY m.pool)
 SELECT pool, greatest(pre - 500, 0) AS pre_dropped, greatest(seen - 12, 0) AS candidate_dropped,
   greatest(pre - 500, 0) + greatest(seen - 12, 0) AS dropped_events FROM c""")
 def tape_completeness(spark, d):
     sw = A.pool_swaps(spark, d)
-    return O.tape_completeness(A.migrations(sw), sw, 500, 12)
+    return O.tape_completeness(A.migrations(sw), sw, (F.col("blockTime") + WINDOW_S) * 1000, 500, 12)
 
 
-def decided(spark, d, swaps=None, candidate_cap: int = 12):
-    sw = A.pool_swaps(spark, d) if swaps is None else swaps
-    gaps = O.tape_completeness(A.migrations(sw), sw, 500, candidate_cap)
-    return Sg.select_openings(openings(spark, d, sw).join(gaps, "pool"), SELECTOR)
+def decided(spark, d, swaps=None):
+    return Sg.select_openings(openings(spark, d, swaps), SELECTOR)
 
 
-_SELECT = _OPEN + """, gaps AS (SELECT m.pool, greatest(count(*) FILTER (WHERE s.ts_s >= m.blockTime - 2) - 12, 0) AS dropped
-    FROM migrations m JOIN swaps s USING (pool) GROUP BY m.pool
-), picked AS (
+_SELECT = _OPEN + """, picked AS (
   SELECT o.*, list_filter([
-    CASE WHEN quote_reserve_sol IS NULL THEN 'no_reserve_state' END, CASE WHEN dropped > 0 THEN 'incomplete_tape' END,
+    CASE WHEN quote_reserve_sol IS NULL THEN 'no_reserve_state' END, 
     CASE WHEN quote_reserve_sol < 29.9 THEN 'reserve_below_minimum' END, CASE WHEN quote_reserve_sol > 30.5 THEN 'reserve_above_maximum' END,
-    CASE WHEN largest_opening_swap_sol > 0.6 THEN 'opening_swap_too_large' END, CASE WHEN independent_buyers < 1 THEN 'too_few_buyers' END,
+    CASE WHEN largest_opening_swap_sol > 1.5 THEN 'opening_swap_too_large' END, CASE WHEN independent_buyers < 1 THEN 'too_few_buyers' END,
     CASE WHEN opening_swaps < 2 THEN 'too_few_swaps' END], lambda x: x IS NOT NULL) AS reasons
-  FROM openings o JOIN gaps USING (pool)
+  FROM openings o
 )"""
 
 

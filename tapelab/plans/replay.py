@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from tapelab.functions.gates import BaseGate
 from tapelab.operators import admission as AD, pools as PO, replay as R, signals as Sg
@@ -12,6 +14,7 @@ from tapelab.plans.registry import query, r6
 from tapelab.plans.screen import HOLD_H, SL, TP, _FIRST, _GATE, _GATE_SQL, signals_of, staged_features
 from tapelab.plans.tape import feature_table, staged_tape
 from tapelab.operators import outcomes as O
+from tapelab.operators.asof import salted_join
 from tapelab.session import cut_lineage
 from tapelab.sources import adapters as A
 
@@ -124,7 +127,7 @@ def stress_accounts(spark, d):
     for cost in sorted({x["tx_cost"] for x in R.SCENARIOS}):
         names = [x["scenario"] for x in R.SCENARIOS if x["tx_cost"] == cost]
         parts.append(AD.admit(trades.where(F.col("scenario").isin(names)), ["scenario"], 3.0, 3, 0.5 + cost, 48 * A.HOUR_US, extra=["exit_reason"]))
-    admitted = parts[0].unionByName(parts[1])
+    admitted = reduce(DataFrame.unionByName, parts)
     return report_cols(AD.account_report(cut_lineage(admitted), ["scenario"], 3.0, CELL_US), ["scenario"])
 
 
@@ -156,15 +159,42 @@ def guards(swaps):
     return R.guard_at_events(swaps, A.migrations(swaps), PQ.GUARD, CELL_MS)
 
 
+def land(dec, swaps, accounts):
+    """Landings of qualified pools; only their swaps are looked up and guarded."""
+    theirs = salted_join(swaps, dec.where(F.col("decision") == "QUALIFY").select("pool"), ["pool"], ["receivedSequence"], how="left_semi")
+    return R.land_entries(dec, theirs, accounts, SAFE_MS, WAIT_MS, COST, CELL_MS, guards(theirs))
+
+
 def landed(spark, d, swaps, accounts=ACCOUNTS):
-    dec = cut_lineage(decided(spark, d, swaps))
-    return R.land_entries(dec, swaps, accounts, SAFE_MS, WAIT_MS, COST, CELL_MS, guards(swaps))
+    return land(cut_lineage(decided(spark, d, swaps)), swaps, accounts)
+
+
+def exited(fills, swaps):
+    """Filled positions with their exits, whatever the account could pay for."""
+    return R.delayed_exits(fills, swaps, ["pool", "account"], PLAN, F.col("exit_delay_ms"), F.col("size_sol"), COST, CELL_MS)
+
+
+def admissions(trades):
+    """Trades of the two matched accounts with ``accepted``; positions of other sizes are shadows and take no capacity."""
+    base = trades.where(F.col("size_sol") == 0.5).select(
+        "account", F.col("pool").alias("mint"), (F.col("entry_ms") * 1000).alias("entry_us"), (F.col("exit_target_ms") * 1000).alias("exit_us"), "pnl_sol",
+        F.col("trigger_reason").alias("exit_reason"))
+    return AD.admit(base, ["account"], 3.0, 3, 0.5032, 48 * A.HOUR_US, extra=["exit_reason"])
+
+
+def within_capacity(trades):
+    """Trades the account took: its own admitted ones, and the size shadows of those that SAFE-1000 took."""
+    ok = cut_lineage(admissions(trades)).where("accepted")
+    shadows = F.array(*[F.lit(x["account"]) for x in ACCOUNTS if x["size_sol"] != 0.5])
+    kept = ok.select("account", F.col("mint").alias("pool")).unionByName(
+        ok.where(F.col("account") == "SAFE-1000").select(F.explode(shadows).alias("account"), F.col("mint").alias("pool")))
+    return trades.join(kept, ["account", "pool"], "left_semi")
 
 
 def closed_trades(spark, d, swaps, accounts=ACCOUNTS):
-    """Filled positions of all accounts with their exits."""
+    """Positions that all accounts took, with their exits."""
     fills = cut_lineage(landed(spark, d, swaps, accounts)).where(F.col("status") == "FILLED")
-    return R.delayed_exits(fills, swaps, ["pool", "account"], PLAN, F.col("exit_delay_ms"), F.col("size_sol"), COST, CELL_MS)
+    return within_capacity(cut_lineage(exited(fills, swaps)))
 
 
 def staged_swaps(spark, d):
@@ -207,31 +237,38 @@ landq AS (
 )"""
 
 
-def exit_ctes(fills: str, delay: str, size: str, ids: str = "pool, account", prefix: str = "") -> str:
-    """closed: trigger and delayed exit for fills(ids, pool, entry_ms, entry_seq, tokens, size)."""
-    return f""", walk AS (
+def exit_ctes(fills: str, delay: str, size: str, name: str) -> str:
+    """``name``: trigger and delayed exit for fills(pool, account, entry_ms, entry_seq, tokens, size)."""
+    return f""", {name}_walk AS (
   SELECT f.pool, f.account, s.receivedAtMs AS ms, s.receivedSequence AS seq, 100 * {_MARK('f.' + size, 'f.tokens', 's.')} / f.{size} AS ret
   FROM {fills} f JOIN st s ON s.pool = f.pool AND s.receivedAtMs BETWEEN f.entry_ms AND f.entry_ms + {PLAN.timeout_ms}
     AND (s.receivedAtMs, s.receivedSequence) > (f.entry_ms, f.entry_seq)
-), trig AS (
-  SELECT pool, account, min(struct_pack(ms := ms, seq := seq, ret := ret)) AS x FROM walk WHERE ret >= {PLAN.take_profit} OR ret <= {PLAN.stop_loss} GROUP BY ALL
-), best AS (
-  SELECT w.pool, w.account, max(w.ret) AS b FROM walk w LEFT JOIN trig t USING (pool, account) WHERE t.x IS NULL OR (w.ms, w.seq) <= (t.x.ms, t.x.seq) GROUP BY ALL
-), trg AS (
+), {name}_trig AS (
+  SELECT pool, account, min(struct_pack(ms := ms, seq := seq, ret := ret)) AS x FROM {name}_walk WHERE ret >= {PLAN.take_profit} OR ret <= {PLAN.stop_loss} GROUP BY ALL
+), {name}_best AS (
+  SELECT w.pool, w.account, max(w.ret) AS b FROM {name}_walk w LEFT JOIN {name}_trig t USING (pool, account) WHERE t.x IS NULL OR (w.ms, w.seq) <= (t.x.ms, t.x.seq) GROUP BY ALL
+), {name}_trg AS (
   SELECT f.*, coalesce(t.x.ms, f.entry_ms + {PLAN.timeout_ms}) AS trigger_ms, t.x.ret AS trigger_ret,
     CASE WHEN t.x.ret >= {PLAN.take_profit} THEN 'TAKE_PROFIT' WHEN t.x.ret <= {PLAN.stop_loss} THEN 'STOP_LOSS' ELSE 'TIMEOUT' END AS trigger_reason,
     greatest(100 * {_MARK('f.' + size, 'f.tokens', 'f.')} / f.{size}, b.b) AS max_ret
-  FROM {fills} f LEFT JOIN trig t USING (pool, account) LEFT JOIN best b USING (pool, account)
-), closed AS (
+  FROM {fills} f LEFT JOIN {name}_trig t USING (pool, account) LEFT JOIN {name}_best b USING (pool, account)
+), {name} AS (
   SELECT t.* EXCLUDE (base, quote, vq, supply), t.trigger_ms + t.{delay} AS exit_target_ms, s.receivedSequence AS exit_seq,
     {_MARK('t.' + size, 't.tokens', 's.')} AS pnl_sol, 100 * {_MARK('t.' + size, 't.tokens', 's.')} / t.{size} AS return_pct,
     ({S.sell_net_sql('t.tokens', 's.base', 's.quote', 's.vq')} / 1e9) / (t.tokens / 1e6) * 1e9 AS exit_mcap
-  FROM trg t JOIN st s ON s.pool = t.pool AND s.receivedAtMs <= t.trigger_ms + t.{delay}
+  FROM {name}_trg t JOIN st s ON s.pool = t.pool AND s.receivedAtMs <= t.trigger_ms + t.{delay}
   QUALIFY row_number() OVER (PARTITION BY t.pool, t.account ORDER BY s.receivedAtMs DESC, s.receivedSequence DESC) = 1
 )"""
 
 
-CLOSED = LANDED + ", fills AS (SELECT * FROM landed WHERE status = 'FILLED')" + exit_ctes("fills", "exit_delay_ms", "size_sol")
+_MATCH_TRADES = "(SELECT pool AS mint, account, entry_ms * 1000 AS entry_us, exit_target_ms * 1000 AS exit_us, pnl_sol, trigger_reason AS exit_reason FROM exits_all WHERE size_sol = 0.5)"
+# What an account refuses for want of slots or cash has no exit, no shadow and no PnL.
+CLOSED = (LANDED + ", filled AS (SELECT * FROM landed WHERE status = 'FILLED')" + exit_ctes("filled", "exit_delay_ms", "size_sol", "exits_all")
+          + admit_ctes(_MATCH_TRADES, ["account"], 3.0, 3, "0.5032::DOUBLE") + """, kept AS (
+  SELECT account, mint AS pool FROM admitted WHERE accepted
+  UNION ALL SELECT e.account, e.pool FROM exits_all e JOIN admitted a ON a.mint = e.pool AND a.account = 'SAFE-1000' AND a.accepted WHERE e.size_sol <> 0.5
+), closed AS (SELECT * FROM exits_all SEMI JOIN kept USING (account, pool)), fills AS (SELECT * FROM filled SEMI JOIN kept USING (account, pool)),
+taken AS (SELECT l.* REPLACE (CASE WHEN l.status = 'FILLED' AND k.pool IS NULL THEN 'CAPACITY' ELSE l.status END AS status) FROM landed l LEFT JOIN kept k USING (account, pool))""")
 
 
 @query("landed_entries", f"""WITH {LANDED} SELECT pool, account, submitted_ms, decision_seq, status, entry_ms, entry_seq, CASE WHEN entry_ms IS NOT NULL THEN tokens END AS tokens_raw,
@@ -241,29 +278,23 @@ def landed_entries(spark, d):
         "pool", "account", "submitted_ms", "decision_seq", "status", "entry_ms", "entry_seq", "tokens_raw", "landing_delay_ms", r6("entry_mcap_sol").alias("entry_mcap_sol"))
 
 
-@query("matched_accounts", f"""WITH {CLOSED} SELECT pool, account, entry_seq, trigger_reason, trigger_ms, exit_target_ms, exit_seq, {r('pnl_sol', 'pnl_sol')},
+@query("matched_accounts", f"""WITH RECURSIVE {CLOSED} SELECT pool, account, entry_seq, trigger_reason, trigger_ms, exit_target_ms, exit_seq, {r('pnl_sol', 'pnl_sol')},
   {r('return_pct', 'return_pct')}, {r('max_ret', 'max_ret')} FROM closed""")
 def matched_accounts(spark, d):
     return closed_trades(spark, d, staged_swaps(spark, d)).select(
         "pool", "account", "entry_seq", "trigger_reason", "trigger_ms", "exit_target_ms", "exit_seq", *[r6(c).alias(c) for c in ("pnl_sol", "return_pct", "max_ret")])
 
 
-_MATCH_TRADES = "(SELECT pool AS mint, account, entry_ms * 1000 AS entry_us, exit_target_ms * 1000 AS exit_us, pnl_sol, trigger_reason AS exit_reason FROM closed WHERE size_sol = 0.5)"
-
-
-@query("matched_account_capacity", f"""WITH RECURSIVE {CLOSED} {admit_ctes(_MATCH_TRADES, ['account'], 3.0, 3, '0.5032::DOUBLE')} {_REPORT.format(k='account', cap=3.0)}
-SELECT account, {', '.join(_REP_L)}, {', '.join(r(c, c) for c in _REP_D)} FROM report""")
+@query("matched_account_capacity", f"""WITH RECURSIVE {CLOSED} {_REPORT.format(k='account', cap=3.0)} SELECT account, {', '.join(_REP_L)}, {', '.join(r(c, c) for c in _REP_D)} FROM report""")
 def matched_account_capacity(spark, d):
-    trades = closed_trades(spark, d, staged_swaps(spark, d), ACCOUNTS[:2]).select(
-        "account", F.col("pool").alias("mint"), (F.col("entry_ms") * 1000).alias("entry_us"), (F.col("exit_target_ms") * 1000).alias("exit_us"), "pnl_sol",
-        F.col("trigger_reason").alias("exit_reason"))
-    admitted = cut_lineage(AD.admit(trades, ["account"], 3.0, 3, 0.5032, 48 * A.HOUR_US, extra=["exit_reason"]))
-    return report_cols(AD.account_report(admitted, ["account"], 3.0, CELL_US), ["account"])
+    sw = staged_swaps(spark, d)
+    fills = landed(spark, d, sw, ACCOUNTS[:2]).where(F.col("status") == "FILLED")
+    return report_cols(AD.account_report(cut_lineage(admissions(exited(fills, sw))), ["account"], 3.0, CELL_US), ["account"])
 
 
 # ---- skipped signals -------------------------------------------------------------------------------------------
 DELAYS = [{"account": "FAST-170", "delay_ms": FAST_MS}, {"account": "SAFE-1000", "delay_ms": SAFE_MS}]
-SKIPPED = LANDED + f""", entered AS (SELECT pool, account FROM landed WHERE status = 'FILLED'), cands AS (
+SKIPPED = CLOSED + f""", entered AS (SELECT pool, account FROM closed WHERE size_sol = 0.5), cands AS (
   SELECT d.pool, d.submitted_ms AS signal_ms, a.account, a.delay_ms, 0.5::DOUBLE AS size_sol, e.account IS NOT NULL AS was_entered
   FROM dec2 d CROSS JOIN (VALUES ('FAST-170', {FAST_MS}), ('SAFE-1000', {SAFE_MS})) a(account, delay_ms) LEFT JOIN entered e ON e.pool = d.pool AND e.account = a.account
 ), sk AS (
@@ -272,27 +303,27 @@ SKIPPED = LANDED + f""", entered AS (SELECT pool, account FROM landed WHERE stat
   FROM cands c LEFT JOIN st s ON s.pool = c.pool AND s.receivedAtMs >= c.signal_ms + c.delay_ms
   QUALIFY row_number() OVER (PARTITION BY c.pool, c.account ORDER BY s.receivedAtMs, s.receivedSequence) = 1
 ), live AS (SELECT * FROM sk WHERE NOT was_entered AND entry_ms IS NOT NULL)
-""" + exit_ctes("live", "delay_ms", "size_sol") + """, cap AS (SELECT max(receivedAtMs) AS capture_end FROM swaps), skipped AS (
+""" + exit_ctes("live", "delay_ms", "size_sol", "skip_exits") + """, cap AS (SELECT max(receivedAtMs) AS capture_end FROM swaps), skipped AS (
   SELECT k.pool, k.account, k.signal_ms, k.entry_ms, k.tokens, k.supply, c.trigger_reason, c.max_ret, c.exit_target_ms, c.exit_mcap, c.pnl_sol, c.return_pct,
     CASE WHEN k.was_entered THEN 'ACTUALLY_ENTERED' WHEN k.entry_ms IS NULL THEN 'NO_EXECUTABLE_POST_TARGET_EVENT'
       WHEN c.trigger_ret IS NULL AND capture_end < k.entry_ms + %d + k.delay_ms THEN 'INCOMPLETE_FORWARD_WINDOW'
       WHEN capture_end < c.exit_target_ms THEN 'INCOMPLETE_EXIT_WINDOW' ELSE 'CLOSED' END AS status
-  FROM sk k CROSS JOIN cap LEFT JOIN closed c ON c.pool = k.pool AND c.account = k.account
+  FROM sk k CROSS JOIN cap LEFT JOIN skip_exits c ON c.pool = k.pool AND c.account = k.account
 )""" % PLAN.timeout_ms
 
 
 def skipped(spark, d, swaps):
     dec = cut_lineage(decided(spark, d, swaps))
-    land = R.land_entries(dec, swaps, ACCOUNTS[:2], SAFE_MS, WAIT_MS, COST, CELL_MS, guards(swaps))
+    fills = land(dec, swaps, ACCOUNTS[:2]).where(F.col("status") == "FILLED")
     # At most one name per account enters this list.
-    entered = land.where(F.col("status") == "FILLED").groupBy("pool").agg(F.collect_set("account").alias("entered"))
+    entered = within_capacity(cut_lineage(exited(fills, swaps))).groupBy("pool").agg(F.collect_set("account").alias("entered"))
     cands = dec.join(entered, "pool", "left").select("pool", F.col("submitted_ms").alias("signal_ms"),
                                                       F.coalesce("entered", F.array().cast("array<string>")).alias("entered"))
     end = swaps.agg(F.max("receivedAtMs")).scalar()
     return R.replay_skipped(cut_lineage(cands), swaps, DELAYS, end, 0.5, COST, PLAN, CELL_MS)
 
 
-@query("skipped_replay", f"""WITH {SKIPPED} SELECT pool, account, status, entry_ms, entry_ms - signal_ms AS entry_delay_ms, trigger_reason,
+@query("skipped_replay", f"""WITH RECURSIVE {SKIPPED} SELECT pool, account, status, entry_ms, entry_ms - signal_ms AS entry_delay_ms, trigger_reason,
   {r("max_ret", 'maximum_return_pct')}, CASE WHEN status = 'CLOSED' THEN exit_target_ms END AS exit_ms,
   {r("CASE WHEN status = 'CLOSED' THEN pnl_sol END", 'pnl_sol')}, {r("CASE WHEN status = 'CLOSED' THEN return_pct END", 'return_pct')},
   {r("CASE WHEN status = 'CLOSED' THEN exit_mcap END", 'exit_mcap_sol')} FROM skipped""")
@@ -347,7 +378,7 @@ def competition_before_entry(spark, d):
     return comp_out(R.competition(spans, sw, ["pool", "account"], CELL_MS))
 
 
-@query("holding_flow", f"WITH {CLOSED} {comp_ctes('closed', 'entry_seq', 'exit_seq')} {_COMP_SELECT}")
+@query("holding_flow", f"WITH RECURSIVE {CLOSED} {comp_ctes('closed', 'entry_seq', 'exit_seq')} {_COMP_SELECT}")
 def holding_flow(spark, d):
     sw = staged_swaps(spark, d)
     done = cut_lineage(closed_trades(spark, d, sw))
@@ -359,7 +390,7 @@ def holding_flow(spark, d):
 _GAPS = ", gaps AS (SELECT DISTINCT receivedAtMs AS gap_ms FROM swaps WHERE receivedSequence % 97 = 0)"
 
 
-@query("gap_invalidation", f"""WITH {CLOSED} {_GAPS.replace('gaps AS', 'outages AS')}, x AS (SELECT c.pool, c.account, c.entry_ms, c.exit_target_ms, min(g.gap_ms) AS gap_ms FROM closed c
+@query("gap_invalidation", f"""WITH RECURSIVE {CLOSED} {_GAPS.replace('gaps AS', 'outages AS')}, x AS (SELECT c.pool, c.account, c.entry_ms, c.exit_target_ms, min(g.gap_ms) AS gap_ms FROM closed c
   LEFT JOIN outages g ON g.gap_ms >= c.entry_ms AND g.gap_ms < c.exit_target_ms GROUP BY ALL) SELECT pool, account, gap_ms IS NOT NULL AS invalidated, gap_ms FROM x""")
 def gap_invalidation(spark, d):
     sw = staged_swaps(spark, d)

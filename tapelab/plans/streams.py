@@ -64,7 +64,7 @@ _SEV = """sev AS (
 def stream_first_seen(spark, d):
     rows = curve_rows(events_stream(spark, d)).select("mint", "receivedAtMs", "receivedSequence")
     w = work_dir(spark)
-    J.run_batches(rows, J.first_seen_sink(f"{w}/out", "mint", ["receivedAtMs", "receivedSequence"], rows.schema), f"{w}/ckpt")
+    J.run_batches(rows, J.first_seen_sink(f"{w}/out", "mint", ["receivedAtMs", "receivedSequence"], rows.schema, f"{w}/ckpt"), f"{w}/ckpt")
     return spark.read.parquet(f"{w}/out").select("mint", "receivedAtMs", "receivedSequence")
 
 
@@ -120,9 +120,24 @@ def stream_gate_once(spark, d):
     return fired_rows(spark, d).select("mint", "receivedAtMs", "receivedSequence", "buys_2s", *[r6(c).alias(c) for c in ("age_seconds", "curve_close", "buy_sol_5s", "return_5s")])
 
 
-@query("feature_parity", f"""WITH {_FIRED}, c AS (SELECT count(*) AS n, count(return_5s) AS m FROM fired)
-SELECT f AS feature, CASE WHEN f = 'return_5s' THEN m ELSE n END AS compared, 0.0::DOUBLE AS max_abs_diff, CAST(0 AS BIGINT) AS one_sided
-FROM c, (SELECT unnest(['age_seconds', 'buys_2s', 'buy_sol_5s', 'return_5s']) AS f)""")
+# The second side is looked up event by event in ordered lists of a mint's receipts.
+@query("feature_parity", f"""WITH {_FIRED}, receipts AS (
+  SELECT mint, list(struct_pack(t := receivedAtMs, q := receivedSequence, b := isBuy, l := solAmountRaw, c := mcap) ORDER BY receivedAtMs, receivedSequence) AS l FROM sc GROUP BY mint
+), upto AS (
+  SELECT f.*, l[1].t AS first_ms, [x FOR x IN l IF x.t > f.receivedAtMs - 18000000 AND (x.t < f.receivedAtMs OR (x.t = f.receivedAtMs AND x.q <= f.receivedSequence))] AS near
+  FROM fired f JOIN receipts USING (mint)
+), again AS (
+  SELECT mint, receivedSequence, (receivedAtMs - first_ms) / 1000.0 AS age_seconds, len([x FOR x IN near IF x.b AND x.t > receivedAtMs - 7200000]) AS buys_2s,
+    coalesce(list_sum([x.l FOR x IN near IF x.b]), 0) / 1e9 AS buy_sol_5s, near[-1].c / near[1].c - 1 AS return_5s FROM upto
+), both_sides AS (
+  UNPIVOT (SELECT mint, receivedSequence, age_seconds::DOUBLE AS age_seconds, buys_2s::DOUBLE AS buys_2s, buy_sol_5s::DOUBLE AS buy_sol_5s, return_5s::DOUBLE AS return_5s FROM fired)
+  ON age_seconds, buys_2s, buy_sol_5s, return_5s INTO NAME feature VALUE a
+), other AS (
+  UNPIVOT (SELECT mint, receivedSequence, age_seconds::DOUBLE AS age_seconds, buys_2s::DOUBLE AS buys_2s, buy_sol_5s::DOUBLE AS buy_sol_5s, return_5s::DOUBLE AS return_5s FROM again)
+  ON age_seconds, buys_2s, buy_sol_5s, return_5s INTO NAME feature VALUE b
+)
+SELECT feature, count(*) FILTER (WHERE a IS NOT NULL AND b IS NOT NULL) AS compared, {r('max(abs(a - b))', 'max_abs_diff')}, count(*) FILTER (WHERE (a IS NULL) <> (b IS NULL)) AS one_sided
+FROM both_sides FULL JOIN other USING (mint, receivedSequence, feature) GROUP BY feature""")
 def feature_parity(spark, d):
     """Features as the stream saw them against the batch operator on the same events."""
     batch = event_features(cut_lineage(curve_rows(A.table(spark, d, "events"))), 3 * A.HOUR_MS, A.HOUR_MS)

@@ -41,11 +41,11 @@ def feature_table(spark: SparkSession, d: str, tape: DataFrame | None = None) ->
     return B.feature_table(tape, token_table(tape), A.HOUR_S, DAY_S)
 
 
-@query("clean_tape", f"""WITH {S.RAW}
+@query("clean_tape", f"""WITH {S.TAPE}
 SELECT id, mint, tx_signature, event_us, {r('seconds_since_launch', 'seconds_since_launch')}, is_buy,
   {r('sol_amount', 'sol_amount')}, {r('token_amount', 'token_amount')}, user_wallet, v_tokens_bonding_curve,
   v_sol_bonding_curve, {r('market_cap_sol', 'market_cap_sol')}, {r('curve_pct_depleted', 'curve_pct_depleted')}
-FROM raw_tape WHERE event_us >= (SELECT max(event_us) - 7 * 86400000000 FROM raw_tape) AND {S.CLEAN_WHERE}""")
+FROM tape WHERE event_us >= (SELECT max(event_us) - 7 * 86400000000 FROM raw_tape)""")
 def clean_tape(spark, d):
     tape = C.clean_tape(C.last_window(A.raw_tape(spark, d), 7), RULES)
     return tape.select(

@@ -33,13 +33,16 @@ def local_session(cpus: int | None = None, app: str = "tapelab", shuffle_partiti
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is configured (tests)."""
+    """The folder in ``spark.checkpoint.dir``, which all executors share. A temporary one only in local mode, where driver and executors are one."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    target = configured or tempfile.mkdtemp(prefix="tapelab-ckpt-")
+    target = spark.conf.get("spark.checkpoint.dir", None)
+    if not target:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        target = tempfile.mkdtemp(prefix="tapelab-ckpt-")
     sc.setCheckpointDir(target)
     return target
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def path_exists(spark: SparkSession, path: str) -> bool:
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
 
@@ -22,7 +22,7 @@ def read_ledger(spark: SparkSession, path: str, schema: T.StructType, on_malform
 
     ``on_malformed``: "fail" stops on a bad line, "drop" leaves such lines out.
     """
-    if not _exists(spark, path):
+    if not path_exists(spark, path):
         return spark.createDataFrame([], schema)
     mode = {"fail": "FAILFAST", "drop": "DROPMALFORMED"}[on_malformed]
     return spark.read.schema(schema).option("mode", mode).json(path)
@@ -54,7 +54,7 @@ def write_sorted(df: DataFrame, path: str, keys: list[str], partitions: int | No
 def materialize(spark: SparkSession, build: Callable[[], DataFrame], path: str, keys: list[str] | None = None,
                 rebuild: bool = False) -> DataFrame:
     """Read ``path`` if a finished copy is there, else build and write it first."""
-    if rebuild or not _exists(spark, path.rstrip("/") + "/_SUCCESS"):
+    if rebuild or not path_exists(spark, path.rstrip("/") + "/_SUCCESS"):
         if keys:
             write_sorted(build(), path, keys)
         else:
@@ -67,10 +67,11 @@ def write_report(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").json(path)
 
 
-def markdown_table(df: DataFrame, limit: int = 50) -> str:
-    """Markdown for a ranked report; only the top ``limit`` rows of an ordered report leave the cluster."""
+def markdown_table(df: DataFrame, limit: int) -> str:
+    """Markdown for the first ``limit`` rows of an ordered report, with a last line that says how many rows there are."""
     def text(v: object) -> str:
         return f"{v:.4f}" if isinstance(v, float) else "" if v is None else str(v)
     head = df.limit(limit).collect()
     lines = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
-    return "\n".join(lines + ["| " + " | ".join(text(v) for v in row) + " |" for row in head]) + "\n"
+    return "\n".join(lines + ["| " + " | ".join(text(v) for v in row) + " |" for row in head]
+                     + ["", f"{len(head)} of {df.count()} rows"]) + "\n"

@@ -5,6 +5,7 @@ Files and Kafka differ only in the source; every job takes a streaming DataFrame
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -14,6 +15,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tapelab.functions.gates import BaseGate
 from tapelab.operators.models import EntryModel
 from tapelab.operators.snapshots import first_seen
+from tapelab.sources.tables import path_exists
 
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "json", glob: str | None = None,
@@ -45,17 +47,21 @@ def run_batches(df: DataFrame, handle: Callable[[DataFrame, int], None], checkpo
     q.awaitTermination()
 
 
-def first_seen_sink(target: str, key: str, order: list[str], schema: T.StructType) -> Callable[[DataFrame, int], None]:
+def first_seen_sink(target: str, key: str, order: list[str], schema: T.StructType, checkpoint: str) -> Callable[[DataFrame, int], None]:
     """foreachBatch handler that keeps one immutable first row per key, forever.
 
-    Each batch owns one folder and overwrites it, so a batch that is run again after a failure leaves the same rows.
+    Each batch of each query owns one folder and overwrites only that, so a batch that is run again after a failure leaves the same rows.
+    The query is known by the id in its checkpoint: a new checkpoint over an old target adds to what is stored, and never replaces it.
     """
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        stored = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])).option(
-            "ignoreMissingFiles", "true").parquet(target) if batch_id > 0 else None
-        seen = None if stored is None else stored.where(F.col("batch_id") < batch_id)
-        first_seen(batch, key, order, seen).write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+        query = F.get_json_object("value", "$.id").alias("id")
+        run = spark.read.text(f"{checkpoint.rstrip('/')}/metadata").select(query).head()["id"]
+        seen = None
+        if path_exists(spark, target):
+            stored = spark.read.schema(T.StructType([*schema.fields, T.StructField("run", T.StringType()), T.StructField("batch_id", T.LongType())]))
+            seen = stored.parquet(target).where(~((F.col("run") == run) & (F.col("batch_id") == batch_id)))
+        first_seen(batch, key, order, seen).write.mode("overwrite").parquet(f"{target}/run={run}/batch_id={batch_id}")
     return handle
 
 
@@ -107,8 +113,9 @@ _TRAIL = T.StructType([T.StructField("first_ms", T.LongType()), T.StructField("e
 def gate_once(events: DataFrame, gate: BaseGate = BaseGate(), unit_ms: int = 1_000, delay: str = "1 minute") -> DataFrame:
     """Trailing features at each event in receipt order; emits the first event per mint that passes the gate.
 
-    State per mint is the rows of the last five time units, the first receipt and an evaluated flag; it is dropped once
-    the mint is past the gate's highest age. A mint that has fired or aged out keeps no rows.
+    State per mint is the rows of the last five time units, the first receipt and an evaluated flag. A mint that has fired or is past the
+    gate's highest age keeps only the first receipt and the flag, for ever: later events neither fire again nor start it anew. The rows of
+    one mint in one micro-batch are sorted in one worker; the source's rate limit (``max_files``) bounds them.
     ``events``: mint, event_time (watermark), receivedAtMs, receivedSequence, isBuy, solAmountRaw, market_cap_sol, curve_close.
     """
     cols = ["receivedAtMs", "receivedSequence", "isBuy", "solAmountRaw", "market_cap_sol", "curve_close"]
@@ -119,30 +126,44 @@ def gate_once(events: DataFrame, gate: BaseGate = BaseGate(), unit_ms: int = 1_0
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
-            state.remove()
+            state.update((state.get[0], True, [], [], [], []))
+            return
+        if state.exists and state.get[1]:
+            for _ in batches:  # nothing can fire any more
+                pass
             return
         rows = pd.concat(list(batches)).sort_values(["receivedAtMs", "receivedSequence"])
-        first, done, ms, buy, raw, mc = state.get if state.exists else (int(rows["receivedAtMs"].iloc[0]), False, [], [], [], [])
-        ms, buy, raw, mc = list(ms), list(buy), list(raw), list(mc)
+        first, done, *kept = state.get if state.exists else (int(rows["receivedAtMs"].iloc[0]), False, [], [], [], [])
+        trail = deque(zip(*kept))
+        lamports_5 = sum(raw for _, is_buy, raw, _ in trail if is_buy)
+        young = deque()  # receipt times of buys inside two units
+        for t, is_buy, _, _ in trail:
+            if is_buy:
+                young.append(t)
         fired = None
         for now, seq, is_buy, lamports, cap, curve in zip(*(rows[c] for c in cols)):
-            if done:
-                break
-            ms.append(int(now)); buy.append(bool(is_buy)); raw.append(int(lamports)); mc.append(float(cap))
-            cut = next(i for i, t in enumerate(ms) if now - t < 5 * unit_ms)
-            ms, buy, raw, mc = ms[cut:], buy[cut:], raw[cut:], mc[cut:]
-            age = (now - first) / 1000.0
-            buys = sum(b for b, t in zip(buy, ms) if now - t < 2 * unit_ms)
-            sol = sum(r for r, b in zip(raw, buy) if b) / 1e9
-            ret = cap / mc[0] - 1 if mc[0] > 0 else None
+            now, is_buy, lamports = int(now), bool(is_buy), int(lamports)
+            trail.append((now, is_buy, lamports, float(cap)))
+            if is_buy:
+                young.append(now)
+                lamports_5 += lamports
+            while now - trail[0][0] >= 5 * unit_ms:
+                _, was_buy, raw, _ = trail.popleft()
+                lamports_5 -= raw if was_buy else 0
+            while young and now - young[0] >= 2 * unit_ms:
+                young.popleft()
+            age, buys, sol = (now - first) / 1000.0, len(young), lamports_5 / 1e9
+            ret = cap / trail[0][3] - 1 if trail[0][3] > 0 else None
             if passes(age, curve, buys, sol, ret):
-                fired, done = (key[0], int(now), int(seq), age, float(curve), buys, sol, ret), True
+                fired, done = (key[0], now, int(seq), age, float(curve), buys, sol, ret), True
             elif age > gate.age_high:
                 done = True
-        if done:
-            ms, buy, raw, mc = [], [], [], []
-        state.update((first, done, ms, buy, raw, mc))
-        state.setTimeoutTimestamp(max(int(first + (gate.age_high + 1) * 1000), state.getCurrentWatermarkMs() + 1))
+            if done:
+                trail.clear()
+                break
+        state.update((first, done, *([list(c) for c in zip(*trail)] if trail else [[], [], [], []])))
+        if not done:
+            state.setTimeoutTimestamp(max(int(first + (gate.age_high + 1) * 1000), state.getCurrentWatermarkMs() + 1))
         if fired:
             yield pd.DataFrame([fired], columns=FIRED.fieldNames())
 

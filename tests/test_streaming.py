@@ -20,7 +20,7 @@ def test_first_seen_survives_restarts_and_repeats(spark, tmp_path):
     src, out = tmp_path / "in", str(tmp_path / "out")
     one = [{"pool": "a", "at": 5, "v": 1}, {"pool": "a", "at": 3, "v": 2}, {"pool": "b", "at": 4, "v": 3}]
     two = [{"pool": "a", "at": 1, "v": 9}, {"pool": "c", "at": 8, "v": 4}]
-    sink = J.first_seen_sink(out, "pool", ["at"], SCHEMA)
+    sink = J.first_seen_sink(out, "pool", ["at"], SCHEMA, str(tmp_path / "ck"))
     for name, rows in (("1.json", one), ("2.json", two)):
         write(src, name, rows)
         J.run_batches(J.file_stream(spark, str(src), SCHEMA), sink, str(tmp_path / "ck"))
@@ -30,6 +30,10 @@ def test_first_seen_survives_restarts_and_repeats(spark, tmp_path):
     sink(spark.createDataFrame([("a", 1, 9), ("c", 8, 4)], SCHEMA), 1)  # the same batch delivered again
     assert rows() == want
     assert first_seen(spark.createDataFrame([("a", 1, 9)], SCHEMA), "pool", ["at"]).count() == 1
+    # A new checkpoint over the stored rows reads all files again, and a later one: nothing stored is lost or dated anew.
+    write(src, "3.json", [{"pool": "b", "at": 0, "v": 7}, {"pool": "d", "at": 2, "v": 8}])
+    J.run_batches(J.file_stream(spark, str(src), SCHEMA), J.first_seen_sink(out, "pool", ["at"], SCHEMA, str(tmp_path / "ck2")), str(tmp_path / "ck2"))
+    assert rows() == [*want, ("d", 2, 8)]
 
 
 def test_gate_fires_once_across_files(spark, tmp_path):
@@ -37,8 +41,9 @@ def test_gate_fires_once_across_files(spark, tmp_path):
                                                             ("isBuy", T.BooleanType()), ("solAmountRaw", T.LongType()), ("market_cap_sol", T.DoubleType()), ("curve_close", T.DoubleType()))])
     src = tmp_path / "in"
     ev = [{"mint": "m", "receivedAtMs": T0 + t, "receivedSequence": i, "isBuy": True, "solAmountRaw": 400_000_000, "market_cap_sol": 50.0 + i, "curve_close": 40.0}
-          for i, t in enumerate([0, 7_000, 8_100, 8_500, 8_900, 9_000, 20_000])]
-    for k, part in enumerate((ev[:3], ev[3:5], ev[5:])):
+          for i, t in enumerate([0, 7_000, 8_100, 8_500, 8_900, 9_000, 20_000, 600_000, 607_000, 608_100, 608_500, 608_900, 1_300_000])]
+    # The last files cross the watermark at which the trail is dropped; the same burst again must not fire.
+    for k, part in enumerate((ev[:3], ev[3:5], ev[5:7], ev[7:8], ev[8:10], ev[10:12], ev[12:])):
         write(src, f"{k}.json", part)
         rows = J.file_stream(spark, str(src), schema, max_files=1).withColumn("event_time", F.timestamp_millis("receivedAtMs"))
         J.run_to_files(J.gate_once(rows), str(tmp_path / "out"), str(tmp_path / "ck"))
