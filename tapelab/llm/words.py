@@ -110,11 +110,13 @@ class Chunk:
 
 def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
     """Cuts a string column into chunks of whole texts; null counts as empty."""
-    texts = texts.cast(pa.large_string()).fill_null("")
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
+    if texts.null_count:
+        texts = texts.fill_null("")
     _, offsets, data = texts.buffers()
-    at = np.frombuffer(offsets, np.int64)[texts.offset: texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    wide = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    at = np.frombuffer(offsets, wide)[texts.offset: texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
     raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     i = 0
     while i < len(texts):
