@@ -283,8 +283,11 @@ def competition(spans: DataFrame, swaps: DataFrame, ids: list[str], cell_ms: int
 
 
 def invalidate_gaps(trades: DataFrame, gaps: DataFrame, cell_ms: int, entry: str = "entry_ms", leave: str = "exit_ms") -> DataFrame:
-    """Marks trades that were open when the data feed broke: entry <= gap < exit. ``gaps``: gap_ms."""
-    out = asof_forward(trades, gaps.select("gap_ms"), [], F.col(entry), F.col("gap_ms"), [], "g", cell_ms)
+    """Marks trades that were open when the data feed broke: entry <= gap < exit. ``gaps``: gap_ms.
+
+    There is no key here, so cells are short (a minute at most): all trades of the market that enter within one meet in a task.
+    """
+    out = asof_forward(trades, gaps.select("gap_ms"), [], F.col(entry), F.col("gap_ms"), [], "g", min(cell_ms, 60_000))
     hit = F.coalesce(F.col("g.gap_ms") < F.col(leave), F.lit(False))
     return out.withColumns({"invalidated": hit, "gap_ms": F.when(hit, F.col("g.gap_ms"))}).drop("g")
 

@@ -97,14 +97,15 @@ def arrival_rank(df: DataFrame, keys: list[str], order: list[Column], cell: Colu
     return running(df, keys, order, cell, [Running(name, "sum", F.lit(1).cast("long"))])
 
 
-def value_cell(v: Column) -> Column:
-    """A cell number monotone in v: sign and binary order of magnitude, 64 steps per doubling.
+def with_value_cell(values: DataFrame, name: str, cell: str, cuts: int = 64) -> DataFrame:
+    """Adds a cell number monotone in column ``name``; cells hold about equal shares of ``values`` whatever range they lie in.
 
-    Equal values share a cell, and callers count equal values once first, so a repeated value costs one row.
+    Cut points are approximate quantiles of the whole column, one small array. Equal values share a cell, and callers count equal
+    values once first, so a repeated value costs one row.
     """
-    v = v.cast("double")
-    mag = F.floor(F.log2(F.abs(v)) * 64).cast("long") + F.lit(80_000).cast("long")
-    return F.when(v > 0, mag).when(v < 0, -mag).otherwise(F.lit(0).cast("long"))
+    at = values.agg(F.percentile_approx(name, [i / cuts for i in range(1, cuts)], 1_000)).scalar()
+    below = F.size(F.filter(F.coalesce("__cuts", F.array().cast("array<double>")), lambda c: c < F.col(name))).cast("long")
+    return values.withColumn("__cuts", at).withColumn(cell, below).drop("__cuts")
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: Column, probs: dict[str, float]) -> DataFrame:
@@ -115,7 +116,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: Column, probs: dict[s
     """
     counts = (df.select(*keys, value.cast("double").alias("__v")).where(F.col("__v").isNotNull())
               .groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__n")))
-    ranked = running(counts, keys, [F.col("__v")], value_cell(F.col("__v")),
+    ranked = running(with_value_cell(counts, "__v", "__vc"), keys, [F.col("__v")], F.col("__vc"),
                      [Running("__hi", "sum", F.col("__n"))], totals={"__total": F.col("__n")})
     lo_rank = F.col("__hi") - F.col("__n")
 
@@ -130,3 +131,15 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: Column, probs: dict[s
     out = ranked.groupBy(*keys).agg(*aggs)
     return out.select(*keys, *[
         (F.col(f"__a_{n}") + (F.col(f"__b_{n}") - F.col(f"__a_{n}")) * F.col(f"__w_{n}")).alias(n) for n in probs])
+
+
+def quantiles_of(df: DataFrame, keys: list[str], metrics: dict[str, tuple[Column, dict[str, float]]]) -> DataFrame:
+    """Exact quantiles of several columns per key in one pass: metric -> (value, {output name: probability}).
+
+    Values are laid out as (key, metric, value), so all metrics share one scan. Keys without any value are absent.
+    """
+    probs = {f"p{i}": p for i, p in enumerate(sorted({p for _, names in metrics.values() for p in names.values()}))}
+    of = {p: n for n, p in probs.items()}
+    long = df.select(*keys, F.explode(F.array(*[F.struct(F.lit(m).alias("__m"), v.cast("double").alias("__x")) for m, (v, _) in metrics.items()])).alias("s"))
+    found = exact_quantiles(long.select(*keys, F.col("s.__m").alias("__m"), F.col("s.__x").alias("__x")), [*keys, "__m"], F.col("__x"), probs)
+    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("__m") == m, F.col(of[p]))).alias(n) for m, (_, names) in metrics.items() for n, p in names.items()])

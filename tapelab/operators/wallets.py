@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tapelab.functions.exprs import cell_of, count_if, safe_div, sum_if
 from tapelab.functions.pool_amm import LAMPORTS
 from tapelab.operators.asof import asof_backward, salted_join
-from tapelab.operators.scan import arrival_rank, exact_quantiles
+from tapelab.operators.scan import arrival_rank, quantiles_of
 
 TX_COST = 0.0032
 
@@ -51,9 +51,9 @@ def wallet_rollup(closed: DataFrame) -> DataFrame:
     A closed position is one (wallet, mint), so positions count distinct mints as well.
     """
     base = closed.groupBy("wallet").agg(*_totals()).withColumn("distinct_mints", F.col("closed_positions"))
-    hold = exact_quantiles(closed, ["wallet"], F.col("hold_seconds"), {"median_hold_seconds": 0.5})
-    size = exact_quantiles(closed, ["wallet"], F.col("average_buy_sol"), {"median_buy_sol": 0.5})
-    return base.join(hold, "wallet").join(size, "wallet")
+    middle = quantiles_of(closed, ["wallet"], {"hold": (F.col("hold_seconds"), {"median_hold_seconds": 0.5}),
+                                               "size": (F.col("average_buy_sol"), {"median_buy_sol": 0.5})})
+    return base.join(middle, "wallet")
 
 
 def select_wallets(closed: DataFrame, min_positions: int = 10, max_positions: int = 250, hold_s: tuple = (3, 900),
@@ -106,13 +106,14 @@ def bars_at_first_buy(buys: DataFrame, bars: DataFrame, tolerance_us: int, cell_
 
 def behavior_profile(matched: DataFrame, medians: list[str], quantiles: dict[str, tuple]) -> DataFrame:
     """One row: count, medians and quantile arrays, exact without gathering the values in one place."""
-    out = matched.agg(F.count(F.lit(1)).alias("first_buys"))
-    for c in medians:
-        out = out.withColumn(f"median_{c}", exact_quantiles(matched, [], F.col(c), {"q": 0.5}).scalar())
+    names = {c: {f"median_{c}": 0.5} for c in medians}
     for c, probs in quantiles.items():
-        q = exact_quantiles(matched, [], F.col(c), {f"q{i}": p for i, p in enumerate(probs)})
-        out = out.withColumn(f"{c}_quantiles", q.select(F.array(*[f"q{i}" for i in range(len(probs))])).scalar())
-    return out
+        names.setdefault(c, {}).update({f"{c}_{i}": p for i, p in enumerate(probs)})
+    # Without any row all quantiles are NULL and the count is 0.
+    count = matched.agg(F.count(F.lit(1)).alias("first_buys"))
+    row = quantiles_of(matched, [], {c: (F.col(c), n) for c, n in names.items()})
+    arrays = [F.array(*[f"{c}_{i}" for i in range(len(probs))]).alias(f"{c}_quantiles") for c, probs in quantiles.items()]
+    return row.select(count.scalar().alias("first_buys"), *[f"median_{c}" for c in medians], *arrays)
 
 
 # ---- pool swap tapes -------------------------------------------------------------------------------------------
@@ -162,11 +163,14 @@ def wallet_tape_profile(swaps: DataFrame, cell_ms: int, tx_cost: float = TX_COST
         F.sum("events").alias("events"), F.count(F.lit(1)).alias("distinct_pools"), F.sum("buys").alias("buys"),
         F.sum("sells").alias("sells"), F.count("hold_s").alias("round_trips"), count_if(F.col("rank") <= early_rank).alias("early_pools"),
         F.sum("flow").alias("gross_quote_flow_sol"))
-    med = lambda src, c, name: exact_quantiles(src, ["user"], F.col(c), {name: 0.5})
-    out = (base.join(med(pp, "rank", "median_first_buy_rank"), "user", "left")
-           .join(med(pp, "delay_ms", "median_first_buy_delay_ms"), "user", "left")
-           .join(med(swaps.where(buy), "quote_sol", "median_buy_sol"), "user", "left")
-           .join(med(pp, "hold_s", "median_hold_seconds"), "user", "left")
+    # Per-pool metrics and buy sizes as rows of one table, so that all medians are one scan.
+    per_user = pp.select("user", "rank", "delay_ms", "hold_s", F.lit(None).cast("double").alias("buy_sol")).unionByName(
+        swaps.where(buy).select("user", F.lit(None).cast("long").alias("rank"), F.lit(None).cast("long").alias("delay_ms"),
+                                F.lit(None).cast("double").alias("hold_s"), F.col("quote_sol").alias("buy_sol")))
+    middle = quantiles_of(per_user, ["user"], {
+        "rank": (F.col("rank"), {"median_first_buy_rank": 0.5}), "delay": (F.col("delay_ms"), {"median_first_buy_delay_ms": 0.5}),
+        "size": (F.col("buy_sol"), {"median_buy_sol": 0.5}), "hold": (F.col("hold_s"), {"median_hold_seconds": 0.5})})
+    out = (base.join(middle, "user", "left")
            .join(size_entropy(swaps), "user", "left").fillna({"buy_size_entropy_bits": 0.0}))
     return out.withColumns({
         "early_pool_rate": F.when(F.col("buys") > 0, F.col("early_pools") / F.col("distinct_pools")).otherwise(F.lit(0.0)),

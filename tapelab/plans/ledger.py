@@ -26,7 +26,7 @@ _LEDGER = RQ.CLOSED + """, l_dec AS (
 ), l_entries AS (SELECT pool || ':' || entry_seq AS id, pool, entry_seq FROM fills WHERE account = 'SAFE-1000'),
 l_exits AS (
   SELECT pool || ':' || entry_seq AS id, pool, pnl_sol FROM closed WHERE account = 'SAFE-1000'
-  UNION ALL SELECT 'ghost:' || pool, pool, pnl_sol FROM closed WHERE account = 'FAST-170' AND entry_seq % 5 = 0
+  UNION ALL SELECT 'ghost:' || pool, pool, pnl_sol FROM closed WHERE account = 'FAST-170' AND entry_seq % 2 = 0
 ), l_void AS (SELECT id FROM l_entries WHERE entry_seq % 7 = 0), l_skips AS (SELECT pool FROM taken WHERE account = 'SAFE-1000' AND status <> 'FILLED'),
 l_first AS (SELECT pool, arg_min(decision, struct_pack(a := at_ms, b := seq)) AS decision, min(at_ms) AS at_ms, count(*) - 1 AS duplicates FROM l_dec GROUP BY pool),
 l_split AS (
@@ -49,7 +49,7 @@ def ledgers(spark, d):
     again = dec.where(F.col("decision_seq") % 6 == 0).select("pool", (F.col("submitted_ms") + 1000).alias("at"), F.lit(1).alias("decision_seq"), flip.alias("decision"))
     key = F.concat_ws(":", "pool", "entry_seq")
     entries = fills.where(F.col("account") == "SAFE-1000").select(key.alias("id"), "pool", "entry_seq")
-    ghosts = closed.where((F.col("account") == "FAST-170") & (F.col("entry_seq") % 5 == 0)).select(F.concat(F.lit("ghost:"), F.col("pool")).alias("id"), "pool", "pnl_sol")
+    ghosts = closed.where((F.col("account") == "FAST-170") & (F.col("entry_seq") % 2 == 0)).select(F.concat(F.lit("ghost:"), F.col("pool")).alias("id"), "pool", "pnl_sol")
     exits = closed.where(F.col("account") == "SAFE-1000").select(key.alias("id"), "pool", "pnl_sol").unionByName(ghosts)
     return {"decisions": first.unionByName(again), "entries": entries, "exits": exits, "invalidated": entries.where(F.col("entry_seq") % 7 == 0).select("id"),
             "skips": land.where((F.col("account") == "SAFE-1000") & (F.col("status") != "FILLED")).select("pool"), "landed": land, "closed": closed, "dec": dec, "swaps": sw}
@@ -85,10 +85,10 @@ def rebuilt_account(spark, d):
     return out.withColumns({c: r6(c) for c in ("realized_pnl_sol", "available_bankroll_sol")})
 
 
-@query("open_positions", f"WITH RECURSIVE {_LEDGER} SELECT id, pool FROM l_entries WHERE id NOT IN (SELECT id FROM l_exits WHERE id NOT IN (SELECT id FROM l_entries WHERE entry_seq % 5 = 0)) AND id NOT IN (SELECT id FROM l_void)")
+@query("open_positions", f"WITH RECURSIVE {_LEDGER} SELECT id, pool FROM l_entries WHERE id NOT IN (SELECT id FROM l_exits WHERE id NOT IN (SELECT id FROM l_entries WHERE entry_seq % 3 = 0)) AND id NOT IN (SELECT id FROM l_void)")
 def open_positions(spark, d):
     g = ledgers(spark, d)
-    pending = g["entries"].where(F.col("entry_seq") % 5 == 0)
+    pending = g["entries"].where(F.col("entry_seq") % 3 == 0)
     return L.open_positions(g["entries"], g["exits"].join(pending, "id", "left_anti"), g["invalidated"]).select("id", "pool")
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from tapelab.operators import models as M, outcomes as O, ownership as W
 from tapelab.operators.signals import first_match
-from tapelab.plans import oracle_sql as S, wallets as WQ
+from tapelab.plans import oracle_sql as S, replay as RQ, wallets as WQ
 from tapelab.plans.oracle_sql import r
 from tapelab.plans.registry import query, r6
 from tapelab.plans.screen import HOLD_H, SL, TP, _GATE, split_of
@@ -69,7 +71,7 @@ def untouched_test(spark, d):
     train, val, test = splits(frame)
     model = M.fit_entry_model(train, M.OWNERSHIP, **FIT)
     sweep = M.sweep_thresholds(model.score(val), cut_lineage(M.threshold_grid(model.score(train), 0.0, 0.9, 10)), cell_us=CELL_US)
-    best = cut_lineage(sweep.orderBy(F.col("pnl_sol").desc(), "k").limit(1))
+    best = cut_lineage(M.choose(sweep, **LOOSE))
     return M.evaluate(model.score(test), best, cell_us=CELL_US)
 
 
@@ -105,3 +107,47 @@ def threshold_quantiles(spark, d):
     """Exact quantile thresholds of a score column, here the five-bar return."""
     scored = cut_lineage(derived_table(spark, d).select(F.col("return_5s").alias("prediction")))
     return M.threshold_grid(scored).select(F.col("k").cast("long").alias("k"), r6("threshold", 9).alias("threshold"))
+
+
+# ---- the stages after the score, on a score that SQL can compute ----------------------------------------------------
+_LINEAR = "3.0 * coalesce(buys_2s, 0) + coalesce(buyer_seconds_5s, 0)"
+_SCORED = _CAND + f""", scored AS (
+  SELECT l.mint, l.entry_s * 1000000 AS entry_us, l.exit_s * 1000000 AS exit_us, pnl_sol, exit_reason, {_LINEAR} AS prediction,
+    {S.split_case('l.entry_s', '(SELECT min(bucket_s) FROM bars)', 16, 4)} AS split
+  FROM labelled l JOIN cand c ON c.mint = l.mint AND c.bucket_s = l.signal_s
+), grid AS (SELECT row_number() OVER (ORDER BY t) - 1 AS k, t AS threshold FROM (
+  SELECT DISTINCT unnest(quantile_cont(prediction, [i / 9.0 * 0.9 FOR i IN range(10)])) AS t FROM scored WHERE split = 'train'))"""
+_SWEPT = _SCORED + RQ.admit_ctes("(SELECT grid.k, scored.* FROM scored JOIN grid ON prediction >= threshold WHERE split = 'validation')", ["k"], 3.0, 3, "0.5032::DOUBLE") + RQ._REPORT.format(k="k", cap=3.0)
+_CHOSEN = _SWEPT + """, chosen AS (
+  SELECT k, threshold, accepted_trades, pnl_sol FROM report JOIN grid USING (k)
+  WHERE accepted_trades >= 1 AND pnl_sol > 0 AND coalesce(largest_profit_share, 0) <= 1 AND max_drawdown_sol <= 100 ORDER BY pnl_sol DESC, k LIMIT 1)"""
+_TESTED = _CHOSEN + re.sub(r"\b(ordered|acct|admitted|acc_eq|acc_dd|report)\b", r"\1_test", RQ.admit_ctes(
+    "(SELECT scored.* FROM scored, chosen WHERE prediction >= chosen.threshold AND split = 'test')", ["split"], 3.0, 3, "0.5032::DOUBLE") + RQ._REPORT.format(k="split", cap=3.0))
+LOOSE = {"min_trades": 1, "max_share": 1.0, "max_drawdown": 100.0}
+
+
+def linear(spark, d):
+    """Candidate trades with the linear score, and validation results per threshold."""
+    score = 3.0 * F.coalesce("buys_2s", F.lit(0.0)) + F.coalesce("buyer_seconds_5s", F.lit(0.0))
+    frame = cut_lineage(candidate_trades(spark, d).withColumn("prediction", score))
+    train, val, test = splits(frame)
+    grid = cut_lineage(M.threshold_grid(train, 0.0, 0.9, 10))
+    return cut_lineage(M.sweep_thresholds(val, grid, cell_us=CELL_US)), test
+
+
+@query("linear_threshold_sweep", f"WITH RECURSIVE {_SWEPT} SELECT k, {r('threshold', 'threshold')}, {', '.join(RQ._REP_L)}, {', '.join(r(c, c) for c in RQ._REP_D)} FROM report JOIN grid USING (k)")
+def linear_threshold_sweep(spark, d):
+    swept, _ = linear(spark, d)
+    return RQ.report_cols(swept, [F.col("k").cast("long").alias("k"), r6("threshold").alias("threshold")])
+
+
+@query("linear_choice", f"WITH RECURSIVE {_CHOSEN} SELECT k, {r('threshold', 'threshold')}, accepted_trades, {r('pnl_sol', 'pnl_sol')} FROM chosen")
+def linear_choice(spark, d):
+    return M.choose(linear(spark, d)[0], **LOOSE).select(F.col("k").cast("long").alias("k"), r6("threshold").alias("threshold"), "accepted_trades", r6("pnl_sol").alias("pnl_sol"))
+
+
+@query("linear_untouched_test", f"WITH RECURSIVE {_TESTED} SELECT split, {', '.join(RQ._REP_L)}, {', '.join(r(c, c) for c in RQ._REP_D)} FROM report_test")
+def linear_untouched_test(spark, d):
+    """The threshold chosen on validation, then one run on the test split."""
+    swept, test = linear(spark, d)
+    return RQ.report_cols(M.evaluate(test, cut_lineage(M.choose(swept, **LOOSE)), cell_us=CELL_US), ["split"])

@@ -336,3 +336,25 @@ def test_reconciliation_refuses_open_positions(spark):
     with pytest.raises(RuntimeError):
         L.require_closed(e, x, spark.createDataFrame([], "id string"))
     L.require_closed(e, x, spark.createDataFrame([("2",)], "id string"))
+
+
+def test_value_cells_split_a_narrow_range(spark):
+    from tapelab.operators import scan
+
+    rows = spark.range(5_000).select(F.lit("k").alias("k"), (0.010 + F.col("id") / 5e6).alias("v"))
+    cells = scan.with_value_cell(rows, "v", "c").groupBy("c").count().collect()
+    assert len(cells) > 50 and max(r["count"] for r in cells) < 300
+    got = scan.quantiles_of(rows, ["k"], {"a": (F.col("v"), {"q1": 0.25, "q2": 0.5}), "b": (-F.col("v"), {"n2": 0.5}), "c": (F.lit(None).cast("double"), {"none": 0.5})}).first()
+    assert abs(got["q1"] - (0.010 + 0.25 * 4999 / 5e6)) < 1e-12 and abs(got["q2"] + got["n2"]) < 1e-12 and got["none"] is None
+
+
+def test_dropped_events_stop_at_the_decision_and_decide_nothing(spark):
+    from tapelab.operators import pools, signals
+
+    m = spark.createDataFrame([("p", 100)], "pool string, blockTime long")
+    sw = spark.createDataFrame([("p", 100 + i, (100 + i) * 1000, i) for i in range(50)], "pool string, timestamp long, receivedAtMs long, receivedSequence long")
+    got = pools.tape_completeness(m, sw, (F.col("blockTime") + 9) * 1000, 500, 4).first()
+    assert (got["candidate_dropped"], got["dropped_events"]) == (6, 6)
+    opening = spark.createDataFrame([("p", 30.0, 0.1, 5, 50, 6)], "pool string, quote_reserve_sol double, largest_opening_swap_sol double, independent_buyers long, opening_swaps long, dropped_events long")
+    cfg = {"min_quote_reserve_sol": 29.0, "max_quote_reserve_sol": 31.0, "max_largest_opening_swap_sol": 1.0, "min_independent_buyers": 1, "min_opening_swaps": 2}
+    assert signals.select_openings(opening, cfg).first()["decision"] == "QUALIFY"
