@@ -17,7 +17,9 @@ SHARE = 1.5
 REPEATS = 2.0
 SEED = "mix-1"
 BLOCK_WORDS = 16
-ROWS_PER_SHARD = 20_000
+ROWS_PER_SHARD = 4_000
+#: Quotas of a source go to so many groups of shards first, then to the shards of a group, so no list of shards is ever ranked whole.
+SHARD_GROUPS = 1_024
 
 
 def n_words(text: Column) -> Column:
@@ -82,7 +84,7 @@ def apportion(df: DataFrame, value: str, seats: Column, name: str, within: list[
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS,
         share: float = SHARE, repeats: float = REPEATS, seed: str = SEED, block_words: int = BLOCK_WORDS,
-        rows_per_shard: int = ROWS_PER_SHARD, payload: tuple[str, ...] = ()) -> DataFrame:
+        rows_per_shard: int = ROWS_PER_SHARD, shard_groups: int = SHARD_GROUPS, payload: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of ``df``: id, size, source_size, target, taken, and ``rounds``, ``spans`` that say which words are taken:
     all words ``rounds`` times, and once more those in ``spans`` (two [from, to) ranges, empty ones included).
 
@@ -99,7 +101,10 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     sources = targets(cells.groupBy("key", "source").agg(F.sum("words").alias("source_size")), weights, share, repeats)
     everyone = W.partitionBy()
     sources = apportion(sources, "target", F.round(F.sum("target").over(everyone) / block_words).cast("long"), "quota", [], ["rank", "key"])
-    plan = apportion(cells.join(sources.drop("source"), "key"), "words", F.col("quota"), "blocks_taken", ["key"], ["shard"])
+    cells = cells.withColumn("group", F.col("shard") % shard_groups)
+    groups = cells.groupBy("key", "group").agg(F.sum("words").alias("group_words")).join(sources.select("key", "source_size", "target", "quota"), "key")
+    groups = apportion(groups, "group_words", F.col("quota"), "group_blocks", ["key"], ["group"]).drop("group_words", "quota")
+    plan = apportion(cells.join(groups, ["key", "group"]), "words", F.col("group_blocks"), "blocks_taken", ["key", "group"], ["shard"])
     blocks = F.ceil(F.col("words") / block_words).cast("long")
     taken = F.least(F.col("blocks_taken"), (F.lit(float(repeats)) * blocks).cast("long"))
     plan = plan.withColumns({"blocks": blocks, "rounds": F.when(blocks > 0, F.floor(taken / blocks)).otherwise(F.lit(0)).cast("long"),
@@ -151,7 +156,7 @@ WITH RECURSIVE rows AS (
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size, md5('mix-1:' || coalesce(doc_id::VARCHAR, '')) AS draw
   FROM documents),
 dealt AS (
-  SELECT *, ('0x' || substr(draw, 1, 8))::BIGINT % greatest(1, (SELECT ceil(count(*) / 20000.0)::BIGINT FROM rows)) AS shard FROM rows),
+  SELECT *, ('0x' || substr(draw, 1, 8))::BIGINT % greatest(1, (SELECT ceil(count(*) / 4000.0)::BIGINT FROM rows)) AS shard FROM rows),
 sizes AS (SELECT key, any_value(source) AS source, sum(size)::BIGINT AS source_size FROM dealt GROUP BY key),
 weighed AS (
   SELECT *, [3, 1, 2][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::BIGINT] AS weight,
