@@ -29,7 +29,7 @@ RECALL = 0.99999
 #: More MinHash values than this per text are not made; within it, rows per band are as many as possible.
 MAX_HASHES = 160
 #: Members of a bucket in one block.
-BLOCK = 1024
+BLOCK = 512
 
 
 def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, most: int = MAX_HASHES) -> tuple[int, int]:
