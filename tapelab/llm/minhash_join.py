@@ -246,3 +246,18 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_rows(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
+SQL = r"""
+WITH RECURSIVE docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+grams AS (
+  SELECT DISTINCT doc_id, array_to_string(words[i:i + 4], ' ') AS g FROM docs, range(1, greatest(len(words) - 4, least(len(words), 1)) + 1) t(i)),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+half AS (
+  SELECT x, y FROM shared JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE 5 * c >= 4 * (a.n + b.n - c)),
+links AS (SELECT x, y FROM half UNION ALL SELECT y, x FROM half),
+reach AS (SELECT x, y FROM links UNION SELECT reach.x, links.y FROM reach JOIN links ON links.x = reach.y)
+SELECT doc_id, least(doc_id, (SELECT min(y) FROM reach WHERE x = doc_id)) AS class_id, (SELECT count(*) FROM links WHERE x = doc_id) AS n_links
+FROM documents
+"""

@@ -18,7 +18,10 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_minhash_jaccard_join": minhash_join.SQL,
+    "op5_prefix_target_chat": chat.SQL,
     "op6_heavy_hitter_dedup": heavy_dedup.SQL,
+    "op7_debruijn_span_dedup": repeated_spans.SQL,
     "op8_bloom_cascade_urls": url_cascade.SQL,
     "op9_kd_tree_top_k": kd_search.SQL,
     "op10_sainte_lague_mix": mixing.SQL,

@@ -208,3 +208,16 @@ def cut_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut_repeats(table(spark, sf_dir, "documents"))
+
+
+SQL = r"""
+WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+windows AS (
+  SELECT doc_id, i, md5(array_to_string(words[i:i + 34], ' ')) AS h FROM docs, range(1, len(words) - 33) t(i)),
+again AS (SELECT h FROM windows GROUP BY h HAVING count(*) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS spot FROM windows SEMI JOIN again USING (h)),
+cut AS (SELECT doc_id, list(spot) AS spots FROM gone GROUP BY doc_id)
+SELECT doc_id, len(words) AS n_words, len(coalesce(spots, [])) AS n_removed,
+       sha256(array_to_string(CASE WHEN spots IS NULL THEN words ELSE [words[j] FOR j IN range(1, len(words) + 1) IF NOT list_contains(spots, j)] END, ' ')) AS kept_sha256
+FROM docs LEFT JOIN cut USING (doc_id)
+"""
