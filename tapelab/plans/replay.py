@@ -108,12 +108,12 @@ def report_cols(df, keys):
 
 @query("account_admission", f"""WITH RECURSIVE {_FIRST} {S.label_ctes('first_hits', TP, SL, HOLD_H * A.HOUR_S)}, acct_trades AS (
   SELECT h.config, l.mint, l.entry_s * 1000000 AS entry_us, l.exit_s * 1000000 AS exit_us, l.pnl_sol, l.exit_reason FROM first_hits h JOIN labelled l
-    ON l.mint = h.mint AND l.signal_s = h.signal_s WHERE h.config LIKE 'crowd%')
+    ON l.mint = h.mint AND l.signal_s = h.signal_s)
 {admit_ctes('acct_trades', ['config'], 3.0, 3, '0.5032::DOUBLE')} {_REPORT.format(k='config', cap=3.0)}
 SELECT config, {', '.join(_REP_L)}, {', '.join(r(c, c) for c in _REP_D)} FROM report""")
 def account_admission(spark, d):
     feats = staged_features(spark, d)
-    sig = signals_of(feats, "crowd")
+    sig = signals_of(feats)
     trades = sig.join(O.label_trades(sig, feats, TP, SL, HOLD_H * A.HOUR_US), ["mint", "signal_us"])
     admitted = cut_lineage(AD.admit(trades, ["config"], 3.0, 3, 0.5032, 48 * A.HOUR_US, extra=["exit_reason"]))
     return report_cols(AD.account_report(admitted, ["config"], 3.0, CELL_US), ["config"])
