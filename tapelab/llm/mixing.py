@@ -1,8 +1,9 @@
 """Mixing sources to target weights: Sainte-Lague quotas of equal blocks per source and shard, then seeded block selection.
 
 Every source is cut into shards; inside a shard its documents lie in an order drawn by the seed and form one stream of words, cut into
-blocks of equal length. Blocks are never written out: the blocks taken are whole rounds through the stream plus one run of blocks from
-a seeded start, so what a document gives is arithmetic on its place in the stream, and nearly every document is taken whole.
+blocks of equal length. A source has as many shards as its own rows call for, so that a cell holds many blocks. Blocks are never
+written out: the blocks taken are whole rounds through the stream plus one run of blocks from a seeded start, so what a document gives
+is arithmetic on its place in the stream, and nearly every document is taken whole.
 """
 
 from __future__ import annotations
@@ -84,20 +85,26 @@ def apportion(df: DataFrame, value: str, seats: Column, name: str, within: list[
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS,
         share: float = SHARE, repeats: float = REPEATS, seed: str = SEED, block_words: int = BLOCK_WORDS,
-        rows_per_shard: int = ROWS_PER_SHARD, shard_groups: int = SHARD_GROUPS, payload: tuple[str, ...] = ()) -> DataFrame:
+        rows_per_shard: int = ROWS_PER_SHARD, shard_groups: int = SHARD_GROUPS, payload: tuple[str, ...] = (), own_shards: bool = True) -> DataFrame:
     """One row per row of ``df``: id, size, source_size, target, taken, and ``rounds``, ``spans`` that say which words are taken:
     all words ``rounds`` times, and once more those in ``spans`` (two [from, to) ranges, empty ones included).
 
     ``payload`` columns are carried along as struct ``payload``. Null and empty texts have size 0 and give nothing. Repeated rows count
-    each. An empty table gives an empty result.
+    each. An empty table gives an empty result. A source has one shard per ``rows_per_shard`` of its own rows with words; without
+    ``own_shards``, as in the registered query's SQL, every source is spread over one shard per ``rows_per_shard`` rows of the table.
     """
     carried = F.struct(*[F.col(f"`{c}`") for c in payload]) if payload else F.lit(None).cast("string")
     rows = stage(df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), source_key(F.col(source_col)).alias("key"),
                            n_words(F.col(text_col)).alias("size"), F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))).alias("draw"),
                            carried.alias("payload")), "mix-rows")
-    shards = max(1, -(-rows.count() // rows_per_shard))
-    rows = rows.withColumn("shard", F.pmod(F.conv(F.substring("draw", 1, 8), 16, 10).cast("long"), F.lit(shards)))
-    cells = stage(rows.groupBy("key", "source", "shard").agg(F.sum("size").alias("words")), "mix-cells")
+    slots = max(1, -(-rows.count() // rows_per_shard))
+    rows = rows.withColumn("slot", F.pmod(F.conv(F.substring("draw", 1, 8), 16, 10).cast("long"), F.lit(slots)))
+    # A shard is a run of slots; a source's rows in one slot are few, so rows find their shard by (key, slot) and no source meets in one task.
+    fine = stage(rows.groupBy("key", "source", "slot").agg(F.sum("size").alias("words"), F.sum((F.col("size") > 0).cast("long")).alias("rows")), "mix-slots")
+    shards = F.greatest(F.lit(1), F.least(F.lit(slots), F.ceil(F.col("rows") / rows_per_shard))) if own_shards else F.lit(slots)
+    shards = fine.groupBy("key").agg(F.sum("rows").alias("rows")).select("key", shards.cast("long").alias("shards"))
+    fine = stage(fine.join(shards, "key").withColumn("shard", F.floor(F.col("slot") * F.col("shards") / slots)), "mix-places")
+    cells = stage(fine.groupBy("key", "source", "shard").agg(F.sum("words").alias("words")), "mix-cells")
     sources = targets(cells.groupBy("key", "source").agg(F.sum("words").alias("source_size")), weights, share, repeats)
     everyone = W.partitionBy()
     sources = apportion(sources, "target", F.round(F.sum("target").over(everyone) / block_words).cast("long"), "quota", [], ["rank", "key"])
@@ -111,7 +118,10 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
                              "more": F.when(blocks > 0, taken % blocks).otherwise(F.lit(0)),
                              "first": F.when(blocks > 0, number_of(F.concat_ws(":", F.lit(seed), "key", F.col("shard").cast("string"))) % blocks).otherwise(F.lit(0))})
     plan = stage(plan.select("key", "shard", "source_size", "target", "blocks", "rounds", "more", "first"), "mix-plan")
-    stream = W.partitionBy("key", "shard").orderBy("draw", F.col("id").asc_nulls_first(), "size").rowsBetween(W.unboundedPreceding, 0)
+    # Rows without words take no place in a stream, and a shard may have many: they stay in their slots.
+    aside = F.when(F.col("size") == 0, F.col("slot"))
+    stream = W.partitionBy("key", "shard", aside).orderBy("draw", F.col("id").asc_nulls_first(), "size").rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.join(fine.select("key", "slot", "shard"), ["key", "slot"])
     placed = rows.withColumn("end", F.sum("size").over(stream)).withColumn("begin", F.col("end") - F.col("size")).join(plan, ["key", "shard"])
 
     def inside(lo: Column, hi: Column) -> Column:
@@ -147,7 +157,7 @@ def mixed_documents(df: DataFrame, text_col: str = "text", length_col: str | Non
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(table(spark, sf_dir, "documents"), own_shards=False).select("doc_id", "size", "source_size", "target", "taken")
 
 
 SQL = r"""

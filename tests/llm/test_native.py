@@ -6,6 +6,7 @@ import random
 import re
 from fractions import Fraction
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -143,3 +144,26 @@ def test_mix(spark):
     assert out.columns == df.columns
     assert sum(len(re.findall(r"[^\x20\x09-\x0D]+", r.text)) for r in out.collect()) == sum(r.taken for r in got)
     assert mixing.mix(df.limit(0)).count() == 0
+
+
+def test_small_sources_reach_their_targets(spark):
+    """One text a cell would round 5 words up to a block of 16 and leave a short source at half its target."""
+    rows = [(i, "a b c d e", "en", "short", 1) for i in range(60)] + [(100 + i, "", "en", "short", 0) for i in range(300)]
+    rows += [(1000 + i, "x " * 40, "en", "long", 1) for i in range(1500)]
+    got = mixing.mix(messy(spark, rows), weights=(1,), share=3.0, rows_per_shard=60).collect()
+    assert len(got) == len(rows)
+    for source in (range(60), range(1000, 2500)):
+        own = [r for r in got if r.doc_id in source]
+        assert own[0].target == 2 * own[0].source_size
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 0.03 * own[0].target
+    assert all(r.taken == 0 for r in got if r.size == 0)
+
+
+def test_registered_mix_keeps_the_shards_of_its_sql(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(i, "w " * rng.randrange(1, 9), "en", rng.choice(["a", "b", "b", "b", None]), 1) for i in range(9000)]
+    messy(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = sorted((i, taken) for i, _, _, _, taken in con.execute(mixing.SQL).fetchall())
+    assert sorted((r.doc_id, r.taken) for r in mixing.query(spark, str(tmp_path)).collect()) == want
