@@ -190,11 +190,12 @@ def text_hash(text: Column) -> Column:
 
 def similar_rows(df: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, recall: float = RECALL, id_col: str = "doc_id",
                  text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """One row per row of ``df``: doc_id, sig, class_id, n_links, n.
+    """One row per row of ``df``: doc_id, sig, class_id, n_links, n, label.
 
     ``class_id``: the smallest doc_id of all documents connected by links; ``n_links``: other documents whose n-gram sets reach the
-    threshold with this one, copies counted each. Null, empty and blank texts have no n-gram, no link and a class of their own. Repeated
-    rows are documents too. An empty table gives an empty result.
+    threshold with this one, copies counted each; ``label``: the class itself, also where ids are null or repeat. Null, empty and
+    blank texts have no n-gram, no link, no label and a class of their own. Repeated rows are documents too. An empty table gives an
+    empty result.
     """
     bands, rows = choose_bands(threshold, recall)
     exact = Fraction(str(threshold))
@@ -223,20 +224,21 @@ def similar_rows(df: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, re
               .withColumn("label", F.coalesce("label", "node")))
     joined = stage(joined, "classes")
     least = stage(joined.groupBy("label").agg(F.min("least_id").alias("class_id")), "least")
-    verdict = stage(joined.join(least, "label").select("h1", "h2", "n", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "verdict")
+    verdict = stage(joined.join(least, "label").select("h1", "h2", "n", "label", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "verdict")
     return sigs.select("doc_id", "sig", "h1", "h2", "n").join(verdict, ["h1", "h2", "n"], "left").select(
         "doc_id", "sig", F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n")
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n", "label")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kwargs) -> DataFrame:
     """Rows of ``df`` without the documents whose class has a smaller doc_id; texts without n-grams all stay.
 
-    Other columns may have any name. Where the smallest id repeats, the row with the smallest text hash stays, once.
+    Other columns may have any name. Where the smallest id repeats in a class, the row with the smallest text hash stays, once. Classes
+    are told apart by their label, so unlinked documents with null or equal ids all stay.
     """
     rows = similar_rows(df, id_col=id_col, text_col=text_col, **kwargs)
-    own = rows.where("n > 0").where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_id", "sig").agg(F.count(F.lit(1)).alias("same"))
-    best = own.groupBy("class_id").agg(F.min(F.struct("sig", "same")).alias("b")).select(F.col("class_id").alias("__id"), F.col("b.sig").alias("__sig"), F.col("b.same").alias("__same"))
+    own = rows.where("n > 0").where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("label", "doc_id", "sig").agg(F.count(F.lit(1)).alias("same"))
+    best = own.groupBy("label").agg(F.min(F.struct("sig", "same", "doc_id")).alias("b")).select(F.col("b.doc_id").alias("__id"), F.col("b.sig").alias("__sig"), F.col("b.same").alias("__same"))
     blank = rows.where("n = 0").select(F.col("doc_id").alias("__id"), F.col("sig").alias("__sig"), F.lit(1).cast("long").alias("__same")).distinct()
     chosen = stage(best.unionByName(blank), "kept")
     kept = df.withColumn("__hash", text_hash(F.col(text_col))).join(chosen, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__sig")))

@@ -85,6 +85,15 @@ def test_one_of_each_group_stays(spark):
     assert minhash_join.keep_one(df.limit(0)).count() == 0
 
 
+def test_unlinked_documents_with_null_or_equal_ids_stay(spark):
+    rng = random.Random(12)
+    alone = [(i, words(rng, 30, 9000), "en", "a", 1) for i in [None] * 6 + [5] * 4 + [7]]
+    copies = [(i, f"{t} end{k}", "en", "a", 1) for i, t in ((None, words(rng, 100, 9000)), (5, words(rng, 100, 9000))) for k in range(4)]
+    got = [(r.doc_id, r.text) for r in minhash_join.keep_one(messy(spark, alone + copies + alone[:2])).collect()]
+    assert len(got) == len(set(got)) == len(alone) + 2
+    assert {(i, t) for i, t, *_ in alone} <= set(got)
+
+
 def test_bands_reach_the_recall():
     for t, recall in ((0.8, 0.99999), (0.5, 0.99), (0.95, 0.999)):
         b, r = minhash_join.choose_bands(t, recall)
