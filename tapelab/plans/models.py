@@ -16,7 +16,6 @@ from tapelab.plans.tape import derived_table, feature_table, staged_tape, token_
 from tapelab.session import cut_lineage
 from tapelab.sources import adapters as A
 
-FIT = {"max_iter": 15, "max_depth": 4, "min_rows": 10}
 CELL_US = 24 * A.HOUR_US
 
 
@@ -51,7 +50,7 @@ def splits(frame):
 @query("entry_model_scores")
 def entry_model_scores(spark, d):
     frame = cut_lineage(candidate_trades(spark, d))
-    model = M.fit_entry_model(splits(frame)[0], [*M.DYNAMIC, *M.STATIC], **FIT)
+    model = M.fit_entry_model(splits(frame)[0], [*M.DYNAMIC, *M.STATIC])
     return M.with_pass(model.score(frame), 0.0).select("mint", "split", "pnl_sol", "prediction", "passed")
 
 
@@ -59,7 +58,7 @@ def entry_model_scores(spark, d):
 def threshold_sweep(spark, d):
     frame = cut_lineage(candidate_trades(spark, d))
     train, val, _ = splits(frame)
-    model = M.fit_entry_model(train, M.OWNERSHIP, **FIT)
+    model = M.fit_entry_model(train, M.OWNERSHIP)
     grid = cut_lineage(M.threshold_grid(model.score(train)))
     return M.sweep_thresholds(model.score(val), grid, cell_us=CELL_US)
 
@@ -69,7 +68,7 @@ def untouched_test(spark, d):
     """Threshold chosen on validation (loosely, for the small tables), then one run on the test split."""
     frame = cut_lineage(candidate_trades(spark, d))
     train, val, test = splits(frame)
-    model = M.fit_entry_model(train, M.OWNERSHIP, **FIT)
+    model = M.fit_entry_model(train, M.OWNERSHIP)
     sweep = M.sweep_thresholds(model.score(val), cut_lineage(M.threshold_grid(model.score(train), 0.0, 0.9, 10)), cell_us=CELL_US)
     best = cut_lineage(M.choose(sweep, **LOOSE))
     return M.evaluate(model.score(test), best, cell_us=CELL_US)
@@ -81,7 +80,7 @@ def event_ownership_scores(spark, d):
     tape = staged_tape(spark, d)
     frame = cut_lineage(candidate_trades(spark, d, tape))
     rich = cut_lineage(W.enrich_ownership(frame, token_table(tape), tape))
-    model = M.fit_entry_model(rich.where(F.col("split") == "train"), M.EVENT_OWNERSHIP, **{**FIT, "min_rows": 3})
+    model = M.fit_entry_model(rich.where(F.col("split") == "train"), M.EVENT_OWNERSHIP)
     return model.score(rich).select("mint", "split", "pnl_sol", "prediction")
 
 
@@ -89,13 +88,13 @@ def event_ownership_scores(spark, d):
 def permutation_importance(spark, d):
     frame = cut_lineage(candidate_trades(spark, d))
     train, val, _ = splits(frame)
-    return M.permutation_importance(M.fit_entry_model(train, M.OWNERSHIP, **FIT), val)
+    return M.permutation_importance(M.fit_entry_model(train, M.OWNERSHIP), val)
 
 
 @query("feature_ablation")
 def feature_ablation(spark, d):
     train, val, test = splits(cut_lineage(candidate_trades(spark, d)))
-    return M.ablate(train, val, test, M.FEATURE_SETS, CELL_US, **{**FIT, "max_iter": 5})
+    return M.ablate(train, val, test, M.FEATURE_SETS, CELL_US)
 
 
 _GRID_LIST = "[" + ", ".join(str(0.80 + (0.995 - 0.80) * i / 29) for i in range(30)) + "]"

@@ -150,7 +150,7 @@ def feature_parity(spark, d):
 def stream_scores(spark, d):
     """Stream scoring with a model trained on the batch candidates; ownership rows are missing for some mints."""
     frame = cut_lineage(MQ.candidate_trades(spark, d))
-    model = M.fit_entry_model(frame.where(F.col("split") == "train"), M.OWNERSHIP, **MQ.FIT)
+    model = M.fit_entry_model(frame.where(F.col("split") == "train"), M.OWNERSHIP)
     w = work_dir(spark)
     fired = J.gate_once(curve_rows(events_stream(spark, d)), GATE, A.HOUR_MS, "1 hour")
     scored = J.health_counters(J.score_stream(fired, frame, model, 0.0))

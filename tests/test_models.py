@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from tapelab.operators import models as M
 
 
@@ -65,3 +66,18 @@ def test_ablation_and_parity(frame):
     p = M.feature_parity(frame, frame.where("mint <> 'm0000'").withColumn("a", F.col("a") + 0.5), ["mint"], ["a", "b"])
     got = {r["feature"]: r for r in p.collect()}
     assert got["a"]["max_abs_diff"] == pytest.approx(0.5) and got["b"]["max_abs_diff"] == 0 and got["a"]["one_sided"] == 1
+
+
+@pytest.mark.parametrize("name", ["entry_model_scores", "threshold_sweep", "untouched_test", "event_ownership_scores", "permutation_importance", "feature_ablation", "stream_scores"])
+def test_registered_queries_fit_in_full(spark, monkeypatch, name):
+    class Reached(Exception):
+        pass
+
+    def stop(**params):
+        raise Reached(params)
+
+    monkeypatch.setattr(M, "GBTRegressor", stop)
+    with pytest.raises(Reached) as e:
+        entry.queries()[name](spark, "/root/testdata/sf0.001")
+    params = e.value.args[0]
+    assert (params["maxIter"], params["minInstancesPerNode"], params["maxDepth"], params["stepSize"]) == (250, 40, 4, 0.05)
