@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tapelab.operators import models as M
+from tapelab.plans import models as Q
 
 
 @pytest.fixture(scope="module")
@@ -81,3 +82,13 @@ def test_registered_queries_fit_in_full(spark, monkeypatch, name):
         entry.queries()[name](spark, "/root/testdata/sf0.001")
     params = e.value.args[0]
     assert (params["maxIter"], params["minInstancesPerNode"], params["maxDepth"], params["stepSize"]) == (250, 40, 4, 0.05)
+
+
+def test_untouched_test_needs_ten_validation_trades(spark, frame, model, monkeypatch):
+    split = F.when(F.col("entry_us") < 500_000_000, "train").when(F.col("entry_us") < 700_000_000, "validation").otherwise("test")
+    whole = frame.withColumn("split", split)
+    few = whole.where("split <> 'validation' OR entry_us < 512000000")
+    monkeypatch.setattr(M, "fit_entry_model", lambda *a, **k: model)
+    for rows, tested in ((whole, True), (few, False)):
+        monkeypatch.setattr(Q, "candidate_trades", lambda *a, rows=rows: rows)
+        assert entry.queries()["untouched_test"](spark, "").isEmpty() != tested
