@@ -36,3 +36,17 @@ def number_within(df: DataFrame, group: str, part: str, order: list[str], name:
              .select(group, part, F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__before")))
     return (local.join(sizes, [group, part]).withColumn(name, (F.col("__before") + F.col("__n")).cast("long"))
             .drop("__n", "__before"))
+
+
+def join_split(left: DataFrame, right: DataFrame, key: str, support: int = 1000) -> DataFrame:
+    """``left`` inner-joined with ``right`` (one row per ``key``), where some keys may hold a large part of ``left``.
+
+    Keys with at least 1 / support of all rows are at most ``support`` many: their rows of ``right`` are broadcast. The other keys
+    are joined by a shuffle. Null keys match nothing. Both sides are read twice and should be staged.
+    """
+    counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("__c"))
+    total = counts.agg(F.sum("__c").alias("__t"))
+    hot = counts.join(F.broadcast(total), F.col("__c") * support >= F.col("__t")).select(key)
+    known = F.broadcast(stage(hot.where(F.col(key).isNotNull()), "hot"))
+    frequent = left.join(F.broadcast(right.join(known, key, "left_semi")), key)
+    return frequent.unionByName(left.join(known, key, "left_anti").join(right, key))

@@ -179,15 +179,22 @@ def locate(plan: Plan, length: np.ndarray, number: np.ndarray, own_grains: int,
     return sequence, offset
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[tuple[pa.Array, list[str]]]:
+    """Ids and texts (null: empty) of a few rows at a time, so that only these stand in memory as Python strings."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            part = batch.slice(i, rows)
+            yield part.column(0), [t or "" for t in part.column(1).to_pylist()]
+
+
 def pieces(df: DataFrame, path: str, id_col: str, text_col: str, end_id: int = END_ID) -> DataFrame:
     """Cuts every document; pieces are numbered per length within their task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, numbers = encoder(path), TaskContext.get().partitionId(), {}
-        for batch in batches:
-            docs, texts = batch.column(0), batch.column(1).to_pylist()
+        for docs, texts in slices(batches):
             at = 0
-            for ids, ends in encode.batches([t or "" for t in texts]):
+            for ids, ends in encode.batches(texts):
                 rows, begin = [], 0
                 for end in ends.tolist():
                     own = np.append(ids[begin:end], end_id).astype("<u4")

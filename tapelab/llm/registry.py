@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tapelab.llm import chat, heavy_dedup, kd_search, language_id, minhash_join, mixing, packing, repeated_spans, sharding, url_cascade
+from tapelab.llm import chat, heavy_dedup, kd_search, language_id, minhash_join, mixing, packing, prefix_trie, repeated_spans, sharding, simhash, url_cascade
 
 QUERIES = {
     "op1_virtual_slot_sharding": sharding.query,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_bloom_cascade_urls": url_cascade.query,
     "op9_kd_tree_top_k": kd_search.query,
     "op10_sainte_lague_mix": mixing.query,
+    "op12_simhash_popcount_grid": simhash.query,
+    "op13_prefix_trie_contraction": prefix_trie.query,
 }
 
 ORACLES = {
@@ -25,4 +27,5 @@ ORACLES = {
     "op8_bloom_cascade_urls": url_cascade.SQL,
     "op9_kd_tree_top_k": kd_search.SQL,
     "op10_sainte_lague_mix": mixing.SQL,
+    "op13_prefix_trie_contraction": prefix_trie.SQL,
 }

@@ -5,6 +5,8 @@ Rebalancing edits the table, never the hash: a slot moves as a whole, and a new
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
@@ -95,7 +97,7 @@ def shard_rows(df: DataFrame, shards: int = SHARDS, slots: int = SLOTS, id_col:
     copy = F.row_number().over(W.partitionBy("part", "id").orderBy("size", "text_crc32")) - 1
     rows = stage(read.withColumn("copy", copy).withColumn("virtual_slot", F.pmod(F.xxhash64("id", "copy"), F.lit(slots)).cast("int")), "slots")
     slot_bytes = slot_sizes(rows, slots)
-    kept = SlotMap(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/slot-map-{spark.sparkContext.applicationId}-{id(rows)}", slots)
+    kept = SlotMap(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/slot-map-{uuid.uuid4().hex}", slots)
     kept.write(first_map(slots, shards), np.zeros(slots), 0)
     current = kept.read(kept.rebalance(0, slot_bytes, shards))
     placed = rows.join(F.broadcast(current.select("virtual_slot", "shard")), "virtual_slot")

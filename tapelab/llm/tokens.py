@@ -18,10 +18,10 @@ from tapelab.llm.words import BASE, U, mix, run_sums, worker_store
 #: Code points below this are cut here.
 LATIN = 0x250
 SPACE, LETTER, DIGIT, OTHER, ODD = 0, 1, 2, 3, 4
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 1 << 18
 #: Pieces kept per worker process; beyond it the store starts anew, which changes no result.
-KEPT_PIECES = 1_000_000
-SLOT_BITS = 22
+KEPT_PIECES = 400_000
+SLOT_BITS = 20
 
 
 def _classes() -> np.ndarray:
