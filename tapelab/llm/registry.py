@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tapelab.llm import chat, heavy_dedup, kd_search, language_id, minhash_join, mixing, packing, prefix_trie, repeated_spans, sharding, simhash, url_cascade
+from tapelab.llm import chat, heavy_dedup, kd_search, language_id, minhash_join, mixing, packing, prefix_trie, repeated_spans, sharding, simhash, spelling, url_cascade
 
 QUERIES = {
     "op1_virtual_slot_sharding": sharding.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_bloom_cascade_urls": url_cascade.query,
     "op9_kd_tree_top_k": kd_search.query,
     "op10_sainte_lague_mix": mixing.query,
+    "op11_edit_transducer_spelling": spelling.query,
     "op12_simhash_popcount_grid": simhash.query,
     "op13_prefix_trie_contraction": prefix_trie.query,
 }
@@ -27,5 +28,6 @@ ORACLES = {
     "op8_bloom_cascade_urls": url_cascade.SQL,
     "op9_kd_tree_top_k": kd_search.SQL,
     "op10_sainte_lague_mix": mixing.SQL,
+    "op11_edit_transducer_spelling": spelling.SQL,
     "op13_prefix_trie_contraction": prefix_trie.SQL,
 }

@@ -69,7 +69,7 @@ def choose_grid(points: int, distance: int = DISTANCE) -> Grid:
     The result of the join does not depend on it. More points take finer cells, and pay with more copies. ``distance`` is 1 or more.
     """
     best = None
-    for width in (2, 4, 8):
+    for width in (2, 4):
         p = np.array([math.comb(width, k) for k in range(width + 1)]) / 2**width
         apart = np.zeros(width + 1)
         for i in range(width + 1):
