@@ -1,15 +1,16 @@
-"""Entry models with MLlib: features, training, thresholds, evaluation, importance, ablation, parity."""
+"""Entry models: features, training, thresholds, evaluation, importance, ablation, parity."""
 
 from __future__ import annotations
 
 import json
 from dataclasses import dataclass
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tapelab.functions.exprs import cell_of
+from tapelab.operators.boosting import Booster, Params, Tree, fit
 from tapelab.operators.admission import account_report, admit
 from tapelab.operators.scan import arrival_rank, exact_quantiles
 from tapelab.session import cut_lineage
@@ -45,44 +46,64 @@ def numeric_features(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.withColumns({c: clean(c) for c in cols})
 
 
-def to_features(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Adds the ``features`` vector: each value (0 where missing) and its missing flag, since tree learners refuse NaN."""
-    numeric = numeric_features(df, cols)
-    filled = numeric.withColumns({
-        **{f"__x_{c}": F.coalesce(F.col(c), F.lit(0.0)) for c in cols},
-        **{f"__m_{c}": F.col(c).isNull().cast("double") for c in cols}})
-    parts = [f"__x_{c}" for c in cols] + [f"__m_{c}" for c in cols]
-    return VectorAssembler(inputCols=parts, outputCol="features").transform(filled).drop(*parts)
-
-
 @dataclass
 class EntryModel:
     features: list[str]
-    model: GBTRegressionModel
+    model: Booster
 
     def score(self, df: DataFrame, out: str = "prediction") -> DataFrame:
-        """Batch or streaming scores."""
-        return self.model.setPredictionCol(out).transform(to_features(df, self.features)).drop("features")
+        """Batch or streaming scores. Anything missing or not a number is missing to the model."""
+        return df.withColumn(out, F.get(predictions([self.model])(values_of(self.features)), F.lit(0)))
+
+
+def values_of(cols: list[str]) -> Column:
+    return F.array(*[F.col(c).cast("double") for c in cols])
+
+
+def rows_of(values: pd.Series) -> np.ndarray:
+    """Rows of an array column as a matrix; null becomes NaN."""
+    return np.stack(values.to_numpy()).astype(float) if len(values) else np.zeros((0, 0))
+
+
+def predictions(models: list[Booster], columns: list[list[int]] | None = None):
+    """A function of one array of feature values to an array with one prediction per model; ``columns`` picks each model's features."""
+    def run(values: pd.Series) -> pd.Series:
+        if not len(values):
+            return pd.Series([], dtype=object)
+        x = rows_of(values)
+        return pd.Series(list(np.stack([m.predict(x if columns is None else x[:, columns[i]]) for i, m in enumerate(models)], 1)))
 
+    return F.pandas_udf(run, "array<double>")
 
-def fit_entry_model(train: DataFrame, features: list[str], label: str = "pnl_sol", max_iter: int = 250, max_depth: int = 4,
-                    min_rows: int = 40, seed: int = SEED) -> EntryModel:
-    """Boosted regression trees on PnL, step 0.05. Training rows are written once: boosting reads them every iteration."""
-    data = cut_lineage(to_features(train, features).select("features", F.col(label).cast("double").alias("label")))
-    gbt = GBTRegressor(stepSize=0.05, maxIter=max_iter, maxDepth=max_depth, minInstancesPerNode=min_rows, seed=seed)
-    return EntryModel(features, gbt.fit(data))
+
+def fit_entry_models(train: DataFrame, sets: dict[str, list[str]], label: str = "pnl_sol", params: Params = Params()) -> dict[str, EntryModel]:
+    """Boosted regression trees on PnL for several feature sets, fitted together; see ``boosting``."""
+    return {name: EntryModel(sets[name], booster) for name, booster in fit(train, sets, label, params).items()}
+
+
+def fit_entry_model(train: DataFrame, features: list[str], label: str = "pnl_sol", params: Params = Params()) -> EntryModel:
+    return fit_entry_models(train, {"model": features}, label, params)["model"]
+
+
+def score_all(models: dict[str, EntryModel], df: DataFrame, keep: list[str]) -> DataFrame:
+    """feature_set, ``keep`` and prediction: every row once per model, scored in one pass."""
+    union = list(dict.fromkeys(c for m in models.values() for c in m.features))
+    columns = [[union.index(c) for c in m.features] for m in models.values()]
+    names = F.array(*[F.lit(n) for n in models])
+    scored = df.select(*keep, F.arrays_zip(names.alias("feature_set"), predictions([m.model for m in models.values()], columns)(values_of(union)).alias("prediction")).alias("s"))
+    return scored.select(*keep, F.explode("s").alias("s")).select("s.feature_set", *keep, "s.prediction")
 
 
 def with_pass(scored: DataFrame, threshold: float | Column) -> DataFrame:
     return scored.withColumn("passed", F.col("prediction") >= threshold)
 
 
-def threshold_grid(scored: DataFrame, low: float = 0.80, high: float = 0.995, count: int = 30) -> DataFrame:
-    """Distinct exact quantiles of the predictions: at most ``count`` rows (k, threshold)."""
+def threshold_grid(scored: DataFrame, low: float = 0.80, high: float = 0.995, count: int = 30, by: list[str] | None = None) -> DataFrame:
+    """Distinct exact quantiles of the predictions: at most ``count`` rows (k, threshold), per model when ``by`` is given."""
     probs = {f"q{i}": low + (high - low) * i / (count - 1) for i in range(count)}
-    wide = exact_quantiles(scored, [], F.col("prediction"), probs)
+    wide = exact_quantiles(scored, by or [], F.col("prediction"), probs)
     arr = F.array_sort(F.array_distinct(F.array(*[F.col(n) for n in probs])))
-    return wide.select(F.posexplode(arr).alias("k", "threshold"))
+    return wide.select(*(by or []), F.posexplode(arr).alias("k", "threshold"))
 
 
 def sweep_thresholds(scored: DataFrame, thresholds: DataFrame, by: list[str] | None = None, capital: float = 3.0, max_open: int = 3,
@@ -127,45 +148,50 @@ def permutation_importance(model: EntryModel, df: DataFrame, key: str = "mint",
                            seed: int = SEED) -> DataFrame:
     """Rise of the mean squared error when one feature is shuffled, averaged over repeats.
 
-    A shuffle pairs the rows' ranks under two hash orders; ranks come from cells, so no task orders all rows.
+    A shuffle pairs the rows' ranks under two hash orders; ranks come from cells, so no task orders all rows. A row meets the values
+    of its partner once; all its variants are made and scored where they meet, never as rows.
     """
-    cols = model.features
-    base = cut_lineage(numeric_features(df, cols).select(key, F.col(label).cast("double").alias("label"), *cols))
-    copies = []
+    cols, booster = model.features, model.model
+    base = cut_lineage(df.select(key, F.col(label).cast("double").alias("label"), values_of(cols).alias("own")))
+
+    def errors(own: pd.Series, other: pd.Series, y: pd.Series) -> pd.Series:
+        x, z = rows_of(own), rows_of(other)
+        out = [(booster.predict(x) - y.to_numpy()) ** 2] if len(own) else [np.zeros(0)] * (len(cols) + 1)
+        for j in range(len(cols)) if len(own) else ():
+            mixed = x.copy()
+            mixed[:, j] = z[:, j]
+            out.append((booster.predict(mixed) - y.to_numpy()) ** 2)
+        return pd.Series(list(np.stack(out, 1)), dtype=object)
+
+    squared = F.pandas_udf(errors, "array<double>")
+    reps = []
     for rep in range(repeats):
         def ranked(salt: int) -> DataFrame:
             h = F.xxhash64(F.col(key), F.lit(seed + salt))
             return arrival_rank(base.withColumn("__h", h), [], [F.col("__h"), F.col(key)], cell_of(F.shiftright("__h", 52), 1), "__r").drop("__h")
-        mine, other = ranked(2 * rep), ranked(2 * rep + 1).select("__r", F.struct(*cols).alias("o"))
-        pair = mine.join(other, "__r")
-        variants = F.explode(F.array(F.lit(None).cast("string"), *[F.lit(c) for c in cols]))
-        mixed = pair.withColumn("feature", variants).withColumn("rep", F.lit(rep))
-        copies.append(mixed.withColumns({c: F.when(F.col("feature") == c, F.col("o")[c]).otherwise(F.col(c)) for c in cols})
-                      .select("rep", "feature", "label", *cols))
-    rows = copies[0]
-    for c in copies[1:]:
-        rows = rows.unionByName(c)
-    mse = model.score(rows).groupBy("rep", "feature").agg(F.avg((F.col("prediction") - F.col("label")) ** 2).alias("mse"))
-    plain = mse.where(F.col("feature").isNull()).select("rep", F.col("mse").alias("base"))
-    return (mse.where(F.col("feature").isNotNull()).join(plain, "rep").groupBy("feature")
-            .agg(F.avg(F.col("mse") - F.col("base")).alias("importance")))
+        pair = ranked(2 * rep).join(ranked(2 * rep + 1).select("__r", F.col("own").alias("other")), "__r")
+        reps.append(pair.select(F.posexplode(squared("own", "other", "label")).alias("i", "e")).groupBy("i").agg(F.avg("e").alias("mse")).withColumn("rep", F.lit(rep)))
+    mse = reps[0]
+    for more in reps[1:]:
+        mse = mse.unionByName(more)
+    mse = cut_lineage(mse)  # a row per repeat and feature
+    plain = mse.where("i = 0").select("rep", F.col("mse").alias("base"))
+    name = F.element_at(F.array(*[F.lit(c) for c in cols]), F.col("i"))
+    return mse.where("i > 0").join(plain, "rep").groupBy(name.alias("feature")).agg(F.avg(F.col("mse") - F.col("base")).alias("importance"))
 
 
 def ablate(train: DataFrame, validation: DataFrame, test: DataFrame, sets: dict[str, list[str]] = FEATURE_SETS, cell_us: int = 3_600_000_000,
-           **fit) -> DataFrame:
+           params: Params = Params()) -> DataFrame:
     """Per feature set: the threshold chosen on validation and the untouched test at it.
 
-    The driver loops over the few models only; thresholds, sweeps and tests of all sets run as one job each.
+    All models are fitted in the same passes, and each frame is scored once for all; grids, sweeps and tests run per set as keys.
     """
     by = ["feature_set"]
-    trade = ["mint", "entry_us", "exit_us", "pnl_sol", "exit_reason", "prediction"]
-    val, tst, grids = None, None, None
-    for name, cols in sets.items():
-        model = fit_entry_model(train, cols, **fit)
-        tag = lambda df, keep: df.select(F.lit(name).alias("feature_set"), *keep)
-        v, t, g = tag(model.score(validation), trade), tag(model.score(test), trade), tag(threshold_grid(model.score(train)), ["k", "threshold"])
-        val, tst, grids = (v, t, g) if val is None else (val.unionByName(v), tst.unionByName(t), grids.unionByName(g))
-    chosen = cut_lineage(choose(sweep_thresholds(val, cut_lineage(grids), by, cell_us=cell_us), by))
+    trade = ["mint", "entry_us", "exit_us", "pnl_sol", "exit_reason"]
+    models = fit_entry_models(train, sets, params=params)
+    val, tst = (score_all(models, df, trade) for df in (validation, test))
+    grids = cut_lineage(threshold_grid(cut_lineage(score_all(models, train, [])), by=by))
+    chosen = cut_lineage(choose(sweep_thresholds(val, grids, by, cell_us=cell_us), by))
     tested = evaluate(tst, chosen, by, cell_us=cell_us)
     names = train.sparkSession.createDataFrame([(n, len(c)) for n, c in sets.items()], "feature_set string, features int")
     return (names.join(chosen.select("feature_set", "threshold", F.col("accepted_trades").alias("validation_trades"),
@@ -173,16 +199,29 @@ def ablate(train: DataFrame, validation: DataFrame, test: DataFrame, sets: dict[
             .join(tested.select("feature_set", F.col("accepted_trades").alias("test_trades"), F.col("pnl_sol").alias("test_pnl_sol")), by, "left"))
 
 
+NODE = "tree int, node int, feature int, bin int, missing_left boolean, left int, right int, value double"
+
+
 def save_model(spark: SparkSession, model: EntryModel, config: dict, path: str) -> None:
-    """The trained trees and the frozen configuration beside them."""
-    model.model.write().overwrite().save(f"{path}/model")
-    body = json.dumps({**config, "features": model.features})
+    """The trees as a table of nodes, and the frozen configuration with features and cut points beside them."""
+    m = model.model
+    nodes = [(i, j, int(t.feature[j]), int(t.bin[j]), bool(t.missing_left[j]), int(t.left[j]), int(t.right[j]), float(t.value[j]))
+             for i, t in enumerate(m.trees) for j in range(len(t.feature))]  # rounds x 29 rows at most
+    spark.createDataFrame(nodes, NODE).coalesce(1).write.mode("overwrite").parquet(f"{path}/model")
+    body = json.dumps({"config": config, "features": m.features, "cuts": m.cuts, "base": m.base})
     spark.createDataFrame([(body,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/config")
 
 
 def load_model(spark: SparkSession, path: str) -> tuple[EntryModel, dict]:
-    config = json.loads(spark.read.text(f"{path}/config").first()["value"])
-    return EntryModel(config["features"], GBTRegressionModel.load(f"{path}/model")), config
+    saved = json.loads(spark.read.text(f"{path}/config").first()["value"])
+    trees: list[list] = []
+    for r in spark.read.schema(NODE).parquet(f"{path}/model").orderBy("tree", "node").collect():
+        if r["node"] == 0:
+            trees.append([])
+        trees[-1].append(r)
+    column = lambda t, c: np.array([r[c] for r in t])
+    made = [Tree(*[column(t, c) for c in ("feature", "bin", "missing_left", "left", "right", "value")]) for t in trees]
+    return EntryModel(saved["features"], Booster(saved["features"], saved["cuts"], saved["base"], made)), saved["config"]
 
 
 def feature_parity(batch: DataFrame, live: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
