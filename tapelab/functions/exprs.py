@@ -36,11 +36,6 @@ def floor_div(t: Column, width: int) -> Column:
     return F.call_function("div", t - F.pmod(t, w), w)
 
 
-def cell_of(t: Column, width: int) -> Column:
-    """Integer time cell of a BIGINT time."""
-    return floor_div(t.cast("long"), width)
-
-
 def order_key(t_us: Column, tie: Column) -> Column:
     """(time, id) as one number. Unlike a struct it fits an aggregation buffer, so min_by/max_by stay hash aggregates."""
     return t_us.cast("decimal(19,0)") * F.lit("1" + "0" * 19).cast("decimal(20,0)") + tie.cast("decimal(19,0)")

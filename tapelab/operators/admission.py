@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from tapelab.functions.exprs import cell_of, count_if
+from tapelab.functions.exprs import count_if
 from tapelab.operators.scan import arrival_rank, max_drawdown
 from tapelab.session import cut_lineage
 
@@ -42,14 +42,14 @@ def _walk(rows: pd.DataFrame, open_exits: list, open_pnls: list, start: float, c
 
 
 def admit(trades: DataFrame, accounts: list[str], capital: float = 3.0, max_open: int = 3, required: float = 0.5032,
-          cell_us: int = 3_600_000_000, chunk_rows: int = CHUNK_ROWS, extra: list[str] | None = None) -> DataFrame:
+          chunk_rows: int = CHUNK_ROWS, extra: list[str] | None = None) -> DataFrame:
     """``trades`` with an ``accepted`` flag. Needs account columns, mint, entry_us, exit_us, pnl_sol.
 
     Positions whose exit is at or before an entry are released first. Ties in entry time go by mint.
     """
     keep = [*accounts, "mint", "entry_us", "exit_us", "pnl_sol", *(extra or [])]
-    # Arrival ranks come from time cells, so chunks are equal in size however trades bunch up in time or by account.
-    ranked = arrival_rank(trades.select(*keep), accounts, [F.col("entry_us"), F.col("mint")], cell_of(F.col("entry_us"), cell_us), "__n")
+    # Arrival ranks come from equal cells, so chunks are equal in size however trades bunch up in time or by account.
+    ranked = arrival_rank(trades.select(*keep), accounts, [F.col("entry_us"), F.col("mint")], "__n")
     chunked = ranked.withColumn("__chunk", F.floor((F.col("__n") - 1) / chunk_rows).cast("long")).drop("__n")
     chunked = cut_lineage(chunked)
     keys = [*accounts, "__chunk"]
@@ -100,7 +100,7 @@ def admit(trades: DataFrame, accounts: list[str], capital: float = 3.0, max_open
     return grouped.cogroup(final.groupBy(*keys)).applyInPandas(flag, flagged)
 
 
-def account_report(admitted: DataFrame, accounts: list[str], capital: float = 3.0, cell_us: int = 3_600_000_000) -> DataFrame:
+def account_report(admitted: DataFrame, accounts: list[str], capital: float = 3.0) -> DataFrame:
     """Per account: candidates, accepted trades, PnL, bankroll, win rate, drawdown, largest share, exit counts.
 
     ``admitted``: account columns, mint, entry_us, exit_us, pnl_sol, exit_reason, accepted.
@@ -112,8 +112,7 @@ def account_report(admitted: DataFrame, accounts: list[str], capital: float = 3.
         F.coalesce(F.sum(F.when(ok, pnl)), F.lit(0.0)).alias("pnl_sol"), count_if(ok & (pnl > 0)).alias("wins"),
         F.coalesce(F.max(F.when(ok, pnl)), F.lit(0.0)).alias("largest"),
         reason("TAKE_PROFIT").alias("take_profits"), reason("STOP_LOSS").alias("stop_losses"), reason("TIMEOUT").alias("timeouts"))
-    dd = max_drawdown(admitted.where(ok), accounts, [F.col("exit_us"), F.col("entry_us"), F.col("mint")],
-                      cell_of(F.col("exit_us"), cell_us), pnl, "dd")
+    dd = max_drawdown(admitted.where(ok), accounts, [F.col("exit_us"), F.col("entry_us"), F.col("mint")], pnl, "dd")
     return base.join(dd, accounts, "left").select(
         *accounts, "replayable", "accepted_trades", "pnl_sol", (F.lit(capital) + F.col("pnl_sol")).alias("ending_bankroll_sol"),
         (F.col("wins") / F.nullif(F.col("accepted_trades"), F.lit(0))).alias("win_rate"),

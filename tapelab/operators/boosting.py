@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tapelab.operators.scan import Running, running, with_value_cell
+from tapelab.operators.scan import Running, running
 from tapelab.session import cut_lineage
 
 #: The bin of missing values; all others are below.
@@ -199,7 +199,7 @@ def bin_cuts(train: DataFrame, features: list[str], bins: int = MISSING) -> list
         cuts[r["f"]] = [(a + b) / 2 for a, b in zip(r["v"], r["v"][1:])]
     if len(few) < len(distinct):
         many = counts.where(~F.col("f").isin(few))
-        ranked = running(with_value_cell(many, "v", "cell"), ["f"], [F.col("v")], F.col("cell"), [Running("upto", "sum", F.col("n"))], totals={"total": F.col("n")})
+        ranked = running(many, ["f"], [F.col("v")], [Running("upto", "sum", F.col("n"))], totals={"total": F.col("n")})
         share = lambda c: F.floor(c * bins / F.col("total"))
         passed = ranked.where((share(F.col("upto")) > share(F.col("upto") - F.col("n"))) & (F.col("upto") < F.col("total")))
         for r in passed.groupBy("f").agg(F.array_sort(F.collect_list("v")).alias("v")).collect():

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tapelab.functions.exprs import cell_of, count_if
+from tapelab.functions.exprs import count_if
 from tapelab.operators.scan import max_drawdown
 
 DAY_US = 86_400_000_000
@@ -20,10 +20,10 @@ def split_col(t_us: Column, start_us: Column, train_days: int = 4, validation_da
             .when(d < (train_days + validation_days) * DAY_US, "validation").otherwise(rest))
 
 
-def trade_metrics(trades: DataFrame, keys: list[str], cell_us: int = 60_000_000) -> DataFrame:
+def trade_metrics(trades: DataFrame, keys: list[str]) -> DataFrame:
     """Per key: counts, PnL, win rate, largest profit share and drawdown of realised equity in exit order.
 
-    ``trades`` needs mint, exit_us, pnl_sol, exit_reason. Drawdown is combined from time cells, so a key with most
+    ``trades`` needs mint, exit_us, pnl_sol, exit_reason. Drawdown is combined from equal cells, so a key with most
     of the trades is not one task.
     """
     pnl = F.col("pnl_sol")
@@ -34,8 +34,7 @@ def trade_metrics(trades: DataFrame, keys: list[str], cell_us: int = 60_000_000)
         F.max(pnl).alias("largest"),
         count_if(F.col("exit_reason") == "TAKE_PROFIT").alias("take_profits"),
         count_if(F.col("exit_reason") == "STOP_LOSS").alias("stop_losses"))
-    dd = max_drawdown(trades, keys, [F.col("exit_us"), F.col("mint")], cell_of(F.col("exit_us"), cell_us), pnl,
-                      "max_drawdown_sol")
+    dd = max_drawdown(trades, keys, [F.col("exit_us"), F.col("mint")], pnl, "max_drawdown_sol")
     return base.join(dd, keys).select(
         *keys, "trades", F.col("pnl").alias("pnl_sol"), (F.col("pnl") / F.col("trades")).alias("average_pnl_sol"),
         (F.col("wins") / F.col("trades")).alias("win_rate"),

@@ -9,7 +9,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tapelab.functions.exprs import cell_of
 from tapelab.operators.boosting import Booster, Params, Tree, fit
 from tapelab.operators.admission import account_report, admit
 from tapelab.operators.scan import arrival_rank, exact_quantiles
@@ -107,7 +106,7 @@ def threshold_grid(scored: DataFrame, low: float = 0.80, high: float = 0.995, co
 
 
 def sweep_thresholds(scored: DataFrame, thresholds: DataFrame, by: list[str] | None = None, capital: float = 3.0, max_open: int = 3,
-                     required: float = 0.5032, cell_us: int = 3_600_000_000) -> DataFrame:
+                     required: float = 0.5032) -> DataFrame:
     """Account report per threshold over trades that score at least that much.
 
     A group's few thresholds ride along as one array, so trades are copied only to the thresholds they pass.
@@ -119,8 +118,8 @@ def sweep_thresholds(scored: DataFrame, thresholds: DataFrame, by: list[str] | N
     rows = scored.join(grid, by) if by else scored.withColumn("g", grid.select("g").scalar())
     rows = rows.withColumn("s", F.explode(F.filter("g", lambda x: x["threshold"] <= F.col("prediction"))))
     trades = rows.select(*by, "mint", "entry_us", "exit_us", "pnl_sol", "exit_reason", F.col("s.k").alias("k"))
-    admitted = cut_lineage(admit(trades, [*by, "k"], capital, max_open, required, cell_us, extra=["exit_reason"]))
-    return account_report(admitted, [*by, "k"], capital, cell_us).join(thresholds, [*by, "k"])
+    admitted = cut_lineage(admit(trades, [*by, "k"], capital, max_open, required, extra=["exit_reason"]))
+    return account_report(admitted, [*by, "k"], capital).join(thresholds, [*by, "k"])
 
 
 def choose(sweep: DataFrame, by: list[str] | None = None, min_trades: int = 10, max_share: float = 0.60, max_drawdown: float = 1.5) -> DataFrame:
@@ -132,7 +131,7 @@ def choose(sweep: DataFrame, by: list[str] | None = None, min_trades: int = 10,
 
 
 def evaluate(scored_test: DataFrame, chosen: DataFrame, by: list[str] | None = None, capital: float = 3.0, max_open: int = 3,
-             required: float = 0.5032, cell_us: int = 3_600_000_000) -> DataFrame:
+             required: float = 0.5032) -> DataFrame:
     """Account report on the untouched test at the chosen threshold; empty when nothing was chosen."""
     if by:
         scored = scored_test.join(chosen.select(*by, "threshold"), by)
@@ -141,7 +140,7 @@ def evaluate(scored_test: DataFrame, chosen: DataFrame, by: list[str] | None = N
     keys = [*(by or []), "split"]
     trades = (scored.where(F.col("prediction") >= F.col("threshold"))
               .select(*(by or []), F.lit("test").alias("split"), "mint", "entry_us", "exit_us", "pnl_sol", "exit_reason"))
-    return account_report(cut_lineage(admit(trades, keys, capital, max_open, required, cell_us, extra=["exit_reason"])), keys, capital, cell_us)
+    return account_report(cut_lineage(admit(trades, keys, capital, max_open, required, extra=["exit_reason"])), keys, capital)
 
 
 def permutation_importance(model: EntryModel, df: DataFrame, key: str = "mint", label: str = "pnl_sol", repeats: int = 3,
@@ -168,7 +167,7 @@ def permutation_importance(model: EntryModel, df: DataFrame, key: str = "mint",
     for rep in range(repeats):
         def ranked(salt: int) -> DataFrame:
             h = F.xxhash64(F.col(key), F.lit(seed + salt))
-            return arrival_rank(base.withColumn("__h", h), [], [F.col("__h"), F.col(key)], cell_of(F.shiftright("__h", 52), 1), "__r").drop("__h")
+            return arrival_rank(base.withColumn("__h", h), [], [F.col("__h"), F.col(key)], "__r").drop("__h")
         pair = ranked(2 * rep).join(ranked(2 * rep + 1).select("__r", F.col("own").alias("other")), "__r")
         reps.append(pair.select(F.posexplode(squared("own", "other", "label")).alias("i", "e")).groupBy("i").agg(F.avg("e").alias("mse")).withColumn("rep", F.lit(rep)))
     mse = reps[0]
@@ -180,8 +179,7 @@ def permutation_importance(model: EntryModel, df: DataFrame, key: str = "mint",
     return mse.where("i > 0").join(plain, "rep").groupBy(name.alias("feature")).agg(F.avg(F.col("mse") - F.col("base")).alias("importance"))
 
 
-def ablate(train: DataFrame, validation: DataFrame, test: DataFrame, sets: dict[str, list[str]] = FEATURE_SETS, cell_us: int = 3_600_000_000,
-           params: Params = Params()) -> DataFrame:
+def ablate(train: DataFrame, validation: DataFrame, test: DataFrame, sets: dict[str, list[str]] = FEATURE_SETS, params: Params = Params()) -> DataFrame:
     """Per feature set: the threshold chosen on validation and the untouched test at it.
 
     All models are fitted in the same passes, and each frame is scored once for all; grids, sweeps and tests run per set as keys.
@@ -191,8 +189,8 @@ def ablate(train: DataFrame, validation: DataFrame, test: DataFrame, sets: dict[
     models = fit_entry_models(train, sets, params=params)
     val, tst = (score_all(models, df, trade) for df in (validation, test))
     grids = cut_lineage(threshold_grid(cut_lineage(score_all(models, train, [])), by=by))
-    chosen = cut_lineage(choose(sweep_thresholds(val, grids, by, cell_us=cell_us), by))
-    tested = evaluate(tst, chosen, by, cell_us=cell_us)
+    chosen = cut_lineage(choose(sweep_thresholds(val, grids, by), by))
+    tested = evaluate(tst, chosen, by)
     names = train.sparkSession.createDataFrame([(n, len(c)) for n, c in sets.items()], "feature_set string, features int")
     return (names.join(chosen.select("feature_set", "threshold", F.col("accepted_trades").alias("validation_trades"),
                                      F.col("pnl_sol").alias("validation_pnl_sol")), by, "left")

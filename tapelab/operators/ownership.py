@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tapelab.functions.exprs import safe_div, sum_if
 from tapelab.operators.asof import salted_join
-from tapelab.operators.scan import Running, running, with_value_cell
+from tapelab.operators.scan import Running, running
 
 # Token supply by mode.
 SUPPLY_NORMAL = 1_000_000_000.0
@@ -39,7 +39,7 @@ def gini(balances: DataFrame, keys: list[str], value: str) -> DataFrame:
     holders is not sorted in one task.
     """
     counts = balances.groupBy(*keys, F.col(value).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
-    ranked = running(with_value_cell(counts, "__v", "__vc"), keys, [F.col("__v")], F.col("__vc"), [Running("__hi", "sum", F.col("__c"))])
+    ranked = running(counts, keys, [F.col("__v")], [Running("__hi", "sum", F.col("__c"))])
     c, start = F.col("__c").cast("double"), (F.col("__hi") - F.col("__c")).cast("double")
     ranks = c * start + c * (c + 1) / 2
     agg = ranked.groupBy(*keys).agg(F.sum("__c").alias("n"), F.sum(F.col("__v") * c).alias("total"), F.sum(F.col("__v") * ranks).alias("w"))

@@ -4,23 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tapelab.functions.exprs import cell_of, count_if, safe_div
+from tapelab.functions.exprs import count_if, safe_div
 from tapelab.functions.gates import DumpGuard
 from tapelab.functions.pool_amm import LAMPORTS, pool_after, quote_sol, spot_mcap
 from tapelab.operators.asof import asof_backward, asof_forward, interval_join, salted_join
-from tapelab.operators.scan import Running, running
+from tapelab.operators.scan import Cells, Running, equal_cells, running
 
 def swap_order() -> list[Column]:
     return [F.col("receivedAtMs"), F.col("receivedSequence")]
 
 
-def opening_window(migrations: DataFrame, swaps: DataFrame, seconds: int, cell_s: int | None = None) -> DataFrame:
+def opening_window(migrations: DataFrame, swaps: DataFrame, seconds: int) -> DataFrame:
     """Per migration: what happened in [migration, migration + seconds], at second grain, both ends inclusive.
 
     Migrations without swaps keep a row with NULL reserve and zero counts.
     """
     opened = interval_join(migrations.select("pool", "blockTime"), swaps, ["pool"], F.col("blockTime"),
-                           F.col("blockTime") + seconds, F.col("timestamp"), cell_s or max(seconds, 1))
+                           F.col("blockTime") + seconds, F.col("timestamp"))
     buy = F.col("side") == "buy"
     # Buyers are counted per (pool, user) first: a busy pool spreads over its users.
     per_user = opened.groupBy("pool", "user").agg(
@@ -52,33 +52,33 @@ def tape_completeness(migrations: DataFrame, swaps: DataFrame, decided_ms: Colum
             .withColumn("dropped_events", F.col("pre_dropped") + F.col("candidate_dropped")))
 
 
-def running_drawdown(swaps: DataFrame, migrations: DataFrame, cell_ms: int) -> DataFrame:
+def running_drawdown(swaps: DataFrame, migrations: DataFrame, cells: Cells | None = None) -> DataFrame:
     """Peak and drawdown of spot market cap per swap since its pool's migration."""
     since = salted_join(swaps, migrations.select("pool", "blockTime"), ["pool"], ["receivedSequence"]).where(F.col("timestamp") >= F.col("blockTime"))
     priced = since.withColumn("mcap_sol", spot_mcap(pool_after())).where(F.col("mcap_sol").isNotNull())
-    out = running(priced, ["pool"], swap_order(), cell_of(F.col("receivedAtMs"), cell_ms),
-                  [Running("peak_mcap_sol", "max", F.col("mcap_sol"))])
+    out = running(priced, ["pool"], swap_order(), [Running("peak_mcap_sol", "max", F.col("mcap_sol"))], cells=cells)
     return out.withColumn("drawdown_pct", F.coalesce(
         100 * safe_div(F.col("peak_mcap_sol") - F.col("mcap_sol"), F.col("peak_mcap_sol")), F.lit(0.0)))
 
 
-def flow_totals(swaps: DataFrame, cell_ms: int, key: str = "pool") -> DataFrame:
+def flow_totals(swaps: DataFrame, key: str = "pool", cells: Cells | None = None) -> DataFrame:
     """Running buy and sell lamports per pool, exact in integers."""
     amount = F.coalesce("userQuoteAmountRaw", "quoteAmountRaw").cast("long")
     buy = F.col("side") == "buy"
-    return running(swaps, [key], swap_order(), cell_of(F.col("receivedAtMs"), cell_ms), [
+    return running(swaps, [key], swap_order(), [
         Running("cum_buy", "sum", F.when(buy, amount).otherwise(F.lit(0).cast("long"))),
-        Running("cum_sell", "sum", F.when(buy, F.lit(0).cast("long")).otherwise(amount))])
+        Running("cum_sell", "sum", F.when(buy, F.lit(0).cast("long")).otherwise(amount))], cells=cells)
 
 
-def flow_pressure(instants: DataFrame, swaps: DataFrame, at: str, window_ms: int, cell_ms: int) -> DataFrame:
+def flow_pressure(instants: DataFrame, swaps: DataFrame, at: str, window_ms: int) -> DataFrame:
     """Buy and sell SOL in [at - window, at] per instant, both ends inclusive.
 
     A window sum is the difference of two running totals, each found by an as-of lookup: linear whatever the rate
     of events.
     """
-    totals = flow_totals(swaps, cell_ms).select("pool", "receivedAtMs", "receivedSequence", "cum_buy", "cum_sell")
-    args = dict(keys=["pool"], right_time=F.col("receivedAtMs"), right_tie=[F.col("receivedSequence")], cell=cell_ms)
+    cells = equal_cells(swaps, ["pool"], F.col("receivedAtMs"))
+    totals = flow_totals(swaps, cells=cells).select("pool", "receivedAtMs", "receivedSequence", "cum_buy", "cum_sell")
+    args = dict(keys=["pool"], right_time=F.col("receivedAtMs"), right_tie=[F.col("receivedSequence")], cells=cells)
     upto = asof_backward(instants, totals, left_time=F.col(at), payload="__upto", **args)
     both = asof_backward(upto, totals, left_time=F.col(at) - (window_ms + 1), payload="__before", **args)
     d = lambda n: (F.coalesce(F.col("__upto")[n], F.lit(0)) - F.coalesce(F.col("__before")[n], F.lit(0))) / LAMPORTS
@@ -92,7 +92,7 @@ def with_dump_guard(pressure: DataFrame, guard: DumpGuard = DumpGuard()) -> Data
     return pressure.withColumn("dump_reasons", guard.reasons(F.col("drawdown_pct"), F.col("buy_sol"), F.col("sell_sol")))
 
 
-def event_features(events: DataFrame, cell_ms: int, unit_ms: int = 1_000) -> DataFrame:
+def event_features(events: DataFrame, unit_ms: int = 1_000) -> DataFrame:
     """Trailing features at every event, over strictly less than 2 and 5 time units, seeing only earlier receipts.
 
     Per event: totals so far, minus the totals just before the first event inside the frame. That first event is
@@ -100,15 +100,16 @@ def event_features(events: DataFrame, cell_ms: int, unit_ms: int = 1_000) -> Dat
     """
     order = [F.col("receivedAtMs"), F.col("receivedSequence")]
     buy = F.col("isBuy")
-    tot = running(events, ["mint"], order, cell_of(F.col("receivedAtMs"), cell_ms), [
+    cells = equal_cells(events, ["mint"], F.col("receivedAtMs"))
+    tot = running(events, ["mint"], order, [
         Running("cum_buys", "sum", F.when(buy, 1).otherwise(0).cast("long")),
         Running("cum_buy_raw", "sum", F.when(buy, F.col("solAmountRaw").cast("long")).otherwise(F.lit(0).cast("long")))],
-        first={"first_received_ms": F.col("receivedAtMs")})
+        first={"first_received_ms": F.col("receivedAtMs")}, cells=cells)
     own_buys = F.when(buy, 1).otherwise(0)
     own_raw = F.when(buy, F.col("solAmountRaw").cast("long")).otherwise(F.lit(0).cast("long"))
     marks = tot.select("mint", "receivedAtMs", "receivedSequence", (F.col("cum_buys") - own_buys).alias("before_buys"),
                        (F.col("cum_buy_raw") - own_raw).alias("before_raw"), "market_cap_sol")
-    args = dict(keys=["mint"], right_time=F.col("receivedAtMs"), right_tie=[F.col("receivedSequence")], cell=cell_ms)
+    args = dict(keys=["mint"], right_time=F.col("receivedAtMs"), right_tie=[F.col("receivedSequence")], cells=cells)
     two = asof_forward(tot, marks, left_time=F.col("receivedAtMs") - 2 * unit_ms + 1, payload="__two", **args)
     five = asof_forward(two, marks, left_time=F.col("receivedAtMs") - 5 * unit_ms + 1, payload="__five", **args)
     old = F.col("__five")["market_cap_sol"]

@@ -7,12 +7,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tapelab.functions import bar_amm as B, curve_amm as K, pool_amm as P
-from tapelab.functions.exprs import cell_of, count_if, literal_rows
+from tapelab.functions.exprs import count_if, literal_rows
 from tapelab.functions.gates import DumpGuard
 from tapelab.operators.asof import asof_backward, asof_forward, interval_join, salted_join
 from tapelab.operators.outcomes import STOP_CURVE
 from tapelab.operators.pools import flow_totals, running_drawdown
-from tapelab.operators.scan import Running, running
+from tapelab.operators.scan import Cells, Running, equal_cells, running
 from tapelab.session import cut_lineage
 
 # Latency, fee and queue scenarios of the stress replay.
@@ -29,7 +29,7 @@ SCENARIOS = [
 
 def stress_replay(signals: DataFrame, tape: DataFrame, scenarios: list[dict] = SCENARIOS, size: float = 0.5, tp: float = 0.40,
                   sl: float = -0.25, hold_us: int = 20_000_000, close_us: int = 1_000_000, latency_unit_us: int = 1_000,
-                  cell_us: int = 60_000_000, salts: int = 16) -> DataFrame:
+                  salts: int = 16) -> DataFrame:
     """Outcome per (signal, scenario) on raw events.
 
     Entry is the first event at or after bar close plus latency. ``signals``: mint, signal_us (one per mint).
@@ -38,20 +38,21 @@ def stress_replay(signals: DataFrame, tape: DataFrame, scenarios: list[dict] = S
     ev = tape.select("mint", F.unix_micros("event_time").alias("t"), "id", "curve_pct_depleted", "v_sol_bonding_curve",
                      "v_tokens_bonding_curve", "market_cap_sol")
     ev = salted_join(ev, signals.select("mint").distinct(), ["mint"], ["id"], salts, "left_semi")
+    cells = equal_cells(ev, ["mint"], F.col("t"))
     s = F.explode(literal_rows(scenarios))
     wanted = signals.select("mint", "signal_us", s.alias("s")).select("mint", "signal_us", "s.*")
     target = F.col("signal_us") + close_us + F.col("latency_ms") * latency_unit_us
-    at = asof_forward(wanted, ev, ["mint"], target, F.col("t"), [F.col("id")], "e", cell_us)
+    at = asof_forward(wanted, ev, ["mint"], target, F.col("t"), [F.col("id")], "e", cells=cells)
     tokens = B.entry_tokens(F.col("e.v_sol_bonding_curve"), F.col("e.v_tokens_bonding_curve"), size, F.col("fee_rate"), F.col("ahead_sol"))
     ent = at.select("mint", "signal_us", "scenario", "fee_rate", "tx_cost", F.col("e.t").alias("entry_us"), F.col("e.id").alias("entry_id"),
                     F.col("e.market_cap_sol").alias("entry_mc"), F.col("e.curve_pct_depleted").alias("ec"), tokens.alias("tokens"))
     ent = ent.where(F.col("entry_us").isNotNull() & (F.col("ec") < STOP_CURVE) & F.col("tokens").isNotNull()).drop("ec")
     closing = ev.where(F.col("curve_pct_depleted") >= STOP_CURVE).select("mint", "t", "id")
-    ent = asof_forward(ent, closing, ["mint"], F.col("entry_us"), F.col("t"), [F.col("id")], "stop", cell_us, strict=True,
-                       left_tie=[F.col("entry_id")])
+    ent = asof_forward(ent, closing, ["mint"], F.col("entry_us"), F.col("t"), [F.col("id")], "stop", strict=True,
+                       left_tie=[F.col("entry_id")], cells=cells)
     here = ["t", "id", "v_sol_bonding_curve", "v_tokens_bonding_curve", "market_cap_sol"]
     # The first event at or after the end of the hold closes whatever is still open.
-    ent = asof_forward(ent, ev.select("mint", *here), ["mint"], F.col("entry_us") + hold_us, F.col("t"), [F.col("id")], "close", cell_us)
+    ent = asof_forward(ent, ev.select("mint", *here), ["mint"], F.col("entry_us") + hold_us, F.col("t"), [F.col("id")], "close", cells=cells)
     # One row per (mint, scenario), read by the walk and the join below: written once instead of repeating the as-of joins.
     ent = cut_lineage(ent.withColumns({"stop_t": F.col("stop.t"), "stop_id": F.col("stop.id")}).drop("stop"))
 
@@ -71,7 +72,7 @@ def stress_replay(signals: DataFrame, tape: DataFrame, scenarios: list[dict] = S
         return seen.groupBy(*who).agg(F.min(F.when(fired, row)).alias("hit"), F.max(row).alias("last"))
 
     # A path is the events inside the hold, which meet their position through time cells, and the closing event.
-    inside = interval_join(ent.select(*terms), ev.select("mint", *here), ["mint"], F.col("entry_us"), F.col("entry_us") + (hold_us - 1), F.col("t"), cell_us)
+    inside = interval_join(ent.select(*terms), ev.select("mint", *here), ["mint"], F.col("entry_us"), F.col("entry_us") + (hold_us - 1), F.col("t"))
     closes = ent.where(F.col("close").isNotNull()).select(*terms, *[F.col(f"close.{c}").alias(c) for c in here])
     exits = walk(inside.select(*terms, *here).unionByName(closes))
     # A closing event that cannot be quoted closes nothing: such positions (normally none) walk on to the end of their token.
@@ -99,8 +100,7 @@ class ExitPlan:
     timeout_ms: int
 
 
-def first_triggers(positions: DataFrame, events: DataFrame, keys: list[str], ids: list[str], ret: Column, plan: ExitPlan,
-                   cell_ms: int) -> DataFrame:
+def first_triggers(positions: DataFrame, events: DataFrame, keys: list[str], ids: list[str], ret: Column, plan: ExitPlan) -> DataFrame:
     """Positions with trigger_ms, trigger_seq, trigger_ret, trigger_reason and the best return up to the trigger.
 
     ``positions``: ids, keys, entry_ms, entry_seq, entry_ret. ``ret`` is the marked return of a position on an event row.
@@ -108,7 +108,7 @@ def first_triggers(positions: DataFrame, events: DataFrame, keys: list[str], ids
     """
     slim = events.withColumnsRenamed({"receivedAtMs": "ev_ms", "receivedSequence": "ev_seq"})
     after = (F.col("ev_ms") > F.col("entry_ms")) | ((F.col("ev_ms") == F.col("entry_ms")) & (F.col("ev_seq") > F.col("entry_seq")))
-    marked = (interval_join(positions, slim, keys, F.col("entry_ms"), F.col("entry_ms") + plan.timeout_ms, F.col("ev_ms"), cell_ms)
+    marked = (interval_join(positions, slim, keys, F.col("entry_ms"), F.col("entry_ms") + plan.timeout_ms, F.col("ev_ms"))
               .where(after).withColumn("ret", ret).where(F.col("ret").isNotNull()).select(*ids, "ev_ms", "ev_seq", "ret"))
     hit = (F.col("ret") >= plan.take_profit) | (F.col("ret") <= plan.stop_loss)
     # The best return needs the trigger's position, so it is a second aggregate over the same rows.
@@ -130,19 +130,24 @@ def swap_states(swaps: DataFrame) -> DataFrame:
     return swaps.select("pool", "receivedAtMs", "receivedSequence", P.pool_after().as_struct().alias("state"))
 
 
-def _by_receipt(cell_ms: int) -> dict:
-    return dict(keys=["pool"], right_time=F.col("receivedAtMs"), right_tie=[F.col("receivedSequence")], cell=cell_ms)
+def _by_receipt(cells: Cells | None) -> dict:
+    return dict(keys=["pool"], right_time=F.col("receivedAtMs"), right_tie=[F.col("receivedSequence")], cells=cells)
 
 
-def state_at(left: DataFrame, swaps: DataFrame, at: Column, payload: str, cell_ms: int) -> DataFrame:
+def receipt_cells(swaps: DataFrame) -> Cells:
+    """Cells of the swaps of each pool; found once, they serve all joins against these swaps."""
+    return equal_cells(swaps, ["pool"], F.col("receivedAtMs"))
+
+
+def state_at(left: DataFrame, swaps: DataFrame, at: Column, payload: str, cells: Cells | None = None) -> DataFrame:
     """Latest pool state at or before an instant; callers coalesce their own fallback."""
-    return asof_backward(left, swap_states(swaps), left_time=at, payload=payload, **_by_receipt(cell_ms))
+    return asof_backward(left, swap_states(swaps), left_time=at, payload=payload, **_by_receipt(cells))
 
 
-def enter_at(signals: DataFrame, swaps: DataFrame, target: Column, cell_ms: int) -> DataFrame:
+def enter_at(signals: DataFrame, swaps: DataFrame, target: Column, cells: Cells | None = None) -> DataFrame:
     """First swap at or after the target per signal, as ``e`` (NULL when none), with ``target_ms``."""
     return asof_forward(signals.withColumn("target_ms", target), swap_states(swaps), left_time=F.col("target_ms"), payload="e",
-                        **_by_receipt(cell_ms))
+                        **_by_receipt(cells))
 
 
 def with_entry_quote(entered: DataFrame, size: Column, tx_cost: float) -> DataFrame:
@@ -157,13 +162,13 @@ def with_entry_quote(entered: DataFrame, size: Column, tx_cost: float) -> DataFr
 
 
 def delayed_exits(positions: DataFrame, swaps: DataFrame, ids: list[str], plan: ExitPlan, delay: Column, size: Column, tx_cost: float,
-                  cell_ms: int) -> DataFrame:
+                  cells: Cells | None = None) -> DataFrame:
     """Trigger on the mark, fill on the latest state at trigger + delay."""
     events = swap_states(swaps)
     ret = P.mark(P.Pool.from_struct(F.col("state")), F.col("tokens_raw"), size, tx_cost)["return_pct"]
-    out = first_triggers(positions, events, ["pool"], ids, ret, plan, cell_ms)
+    out = first_triggers(positions, events, ["pool"], ids, ret, plan)
     out = out.withColumn("exit_target_ms", F.col("trigger_ms") + delay)
-    out = state_at(out, swaps, F.col("exit_target_ms"), "x", cell_ms)
+    out = state_at(out, swaps, F.col("exit_target_ms"), "x", cells or receipt_cells(swaps))
     state = F.coalesce(F.col("x.state"), F.col("entry_state"))
     out = out.withColumns({"exit_state": state, "exit_seq": F.coalesce(F.col("x.receivedSequence"), F.col("entry_seq"))}).drop("x")
     pool = P.Pool.from_struct(F.col("exit_state"))
@@ -173,21 +178,22 @@ def delayed_exits(positions: DataFrame, swaps: DataFrame, ids: list[str], plan:
         "exit_mcap_sol": P.fill_mcap(F.col("m.proceeds_sol"), F.col("tokens_raw"), F.lit(P.DEFAULT_SUPPLY).cast("long"))}).drop("m", "exit_state")
 
 
-def decisions(openings: DataFrame, swaps: DataFrame, window_s: int, cell_ms: int) -> DataFrame:
+def decisions(openings: DataFrame, swaps: DataFrame, window_s: int) -> DataFrame:
     """When each opening was decided and the last event seen by then. ``openings``: pool, blockTime, migrationResolvedAtMs,
     migrationLogReceivedSequence, decision, reasons."""
     at = F.greatest(F.col("blockTime") * 1000 + window_s * 1000, F.col("migrationResolvedAtMs"))
-    seen = state_at(openings.withColumn("submitted_ms", at), swaps, F.col("submitted_ms"), "seen", cell_ms)
+    seen = state_at(openings.withColumn("submitted_ms", at), swaps, F.col("submitted_ms"), "seen")
     return seen.withColumns({
         "decision_seq": F.coalesce(F.col("seen.receivedSequence"), F.col("migrationLogReceivedSequence"), F.lit(0)),
         "decision_event_ms": F.coalesce(F.col("seen.receivedAtMs"), F.col("submitted_ms"))}).drop("seen")
 
 
-def guard_at_events(swaps: DataFrame, migrations: DataFrame, guard: DumpGuard, cell_ms: int) -> DataFrame:
+def guard_at_events(swaps: DataFrame, migrations: DataFrame, guard: DumpGuard) -> DataFrame:
     """Dump-guard reasons at every swap, from what had been received by then."""
-    drawn = running_drawdown(swaps, migrations, cell_ms).select("pool", "receivedAtMs", "receivedSequence", "drawdown_pct")
-    tot = flow_totals(swaps, cell_ms).select("pool", "receivedAtMs", "receivedSequence", "cum_buy", "cum_sell")
-    before = asof_backward(tot, tot, left_time=F.col("receivedAtMs") - (guard.window_ms + 1), payload="b", **_by_receipt(cell_ms))
+    cells = receipt_cells(swaps)
+    drawn = running_drawdown(swaps, migrations, cells).select("pool", "receivedAtMs", "receivedSequence", "drawdown_pct")
+    tot = flow_totals(swaps, cells=cells).select("pool", "receivedAtMs", "receivedSequence", "cum_buy", "cum_sell")
+    before = asof_backward(tot, tot, left_time=F.col("receivedAtMs") - (guard.window_ms + 1), payload="b", **_by_receipt(cells))
     d = lambda n: (F.col(n) - F.coalesce(F.col("b")[n], F.lit(0))) / P.LAMPORTS
     flow = before.select("pool", "receivedSequence", d("cum_buy").alias("buy_sol"), d("cum_sell").alias("sell_sol"))
     return drawn.join(flow, ["pool", "receivedSequence"], "right").select(
@@ -196,7 +202,7 @@ def guard_at_events(swaps: DataFrame, migrations: DataFrame, guard: DumpGuard, c
 
 
 def land_entries(decided: DataFrame, swaps: DataFrame, accounts: list[dict], slow_delay_ms: int, max_wait_ms: int, tx_cost: float,
-                 cell_ms: int, guards: DataFrame | None = None) -> DataFrame:
+                 guards: DataFrame | None = None) -> DataFrame:
     """One row per (qualified pool, account): landing status, landing event and entry quote.
 
     ``accounts``: account, entry_delay_ms, exit_delay_ms, size_sol. Status is FILLED, NO_FILL (nothing in the landing window),
@@ -205,7 +211,7 @@ def land_entries(decided: DataFrame, swaps: DataFrame, accounts: list[dict], slo
     a = F.explode(literal_rows(accounts))
     wanted = decided.where(F.col("decision") == "QUALIFY").select("pool", "submitted_ms", "decision_seq", "decision_event_ms", a.alias("a"))
     wanted = wanted.select("pool", "submitted_ms", "decision_seq", "decision_event_ms", "a.*")
-    at = enter_at(wanted, swaps, F.col("submitted_ms") + F.col("entry_delay_ms"), cell_ms)
+    at = enter_at(wanted, swaps, F.col("submitted_ms") + F.col("entry_delay_ms"), receipt_cells(swaps))
     late = F.col("e").isNull() | (F.col("e.receivedAtMs") > F.col("submitted_ms") + slow_delay_ms + max_wait_ms)
     out = with_entry_quote(at.withColumn("late", late), F.col("size_sol"), tx_cost)
     if guards is not None:
@@ -219,7 +225,7 @@ def land_entries(decided: DataFrame, swaps: DataFrame, accounts: list[dict], slo
 
 
 def replay_skipped(candidates: DataFrame, swaps: DataFrame, delays: list[dict], capture_end_ms: Column, size: float, tx_cost: float,
-                   plan: ExitPlan, cell_ms: int) -> DataFrame:
+                   plan: ExitPlan) -> DataFrame:
     """What skipped signals would have done. ``candidates``: pool, signal_ms, entered (array of accounts that did enter).
 
     ``delays``: account, delay_ms. Status: ACTUALLY_ENTERED, NO_EXECUTABLE_POST_TARGET_EVENT, UNQUOTABLE_ENTRY,
@@ -228,11 +234,12 @@ def replay_skipped(candidates: DataFrame, swaps: DataFrame, delays: list[dict],
     x = F.explode(literal_rows(delays))
     wanted = candidates.select("pool", "signal_ms", "entered", x.alias("a")).select("pool", "signal_ms", "entered", "a.*")
     wanted = wanted.withColumn("was_entered", F.array_contains("entered", F.col("account"))).drop("entered")
-    at = enter_at(wanted, swaps, F.col("signal_ms") + F.col("delay_ms"), cell_ms)
+    cells = receipt_cells(swaps)
+    at = enter_at(wanted, swaps, F.col("signal_ms") + F.col("delay_ms"), cells)
     quoted = with_entry_quote(at, F.lit(size), tx_cost)
     ids = ["pool", "account"]
     live = quoted.where(~F.col("was_entered") & F.col("tokens_raw").isNotNull())
-    done = delayed_exits(live, swaps, ids, plan, F.col("delay_ms"), F.lit(size), tx_cost, cell_ms)
+    done = delayed_exits(live, swaps, ids, plan, F.col("delay_ms"), F.lit(size), tx_cost, cells)
     cols = ["trigger_ms", "trigger_ret", "trigger_reason", "max_ret", "exit_target_ms", "pnl_sol", "return_pct", "exit_mcap_sol"]
     out = quoted.join(done.select(*ids, *cols), ids, "left").withColumn("capture_end_ms", capture_end_ms)
     no_price_trigger = F.col("trigger_ret").isNull()
@@ -249,7 +256,7 @@ def replay_skipped(candidates: DataFrame, swaps: DataFrame, delays: list[dict],
                                                         ("pnl_sol", "pnl_sol"), ("return_pct", "return_pct"))])
 
 
-def competition(spans: DataFrame, swaps: DataFrame, ids: list[str], cell_ms: int, top_wallets: int = 5, top_signatures: int = 50) -> DataFrame:
+def competition(spans: DataFrame, swaps: DataFrame, ids: list[str], top_wallets: int = 5, top_signatures: int = 50) -> DataFrame:
     """Flow between two points per span: counts, volumes, largest, queue position, top wallets, first signatures.
 
     ``spans``: ids, pool, lo_ms, hi_ms, lo_seq (exclusive), hi_seq (inclusive). Lists are cut to their top few in every task
@@ -257,7 +264,7 @@ def competition(spans: DataFrame, swaps: DataFrame, ids: list[str], cell_ms: int
     """
     ev = swaps.select("pool", "receivedAtMs", "receivedSequence", "side", "user", "signature", P.quote_sol().alias("sol"))
     inside = interval_join(spans.select(*{*ids, "pool"}, "lo_ms", "hi_ms", "lo_seq", "hi_seq"), ev, ["pool"], F.col("lo_ms"), F.col("hi_ms"),
-                           F.col("receivedAtMs"), cell_ms)
+                           F.col("receivedAtMs"))
     inside = inside.where((F.col("receivedSequence") > F.col("lo_seq")) & (F.col("receivedSequence") <= F.col("hi_seq")))
     buy = F.col("side") == "buy"
     per_user = inside.groupBy(*ids, "side", "user").agg(F.sum("sol").alias("sol"), F.max("sol").alias("largest"), F.count(F.lit(1)).alias("n"))
@@ -282,23 +289,24 @@ def competition(spans: DataFrame, swaps: DataFrame, ids: list[str], cell_ms: int
     return out.fillna(zeros).withColumn("queue_position", F.col("observed_buys") + 1)
 
 
-def invalidate_gaps(trades: DataFrame, gaps: DataFrame, cell_ms: int, entry: str = "entry_ms", leave: str = "exit_ms") -> DataFrame:
+def invalidate_gaps(trades: DataFrame, gaps: DataFrame, entry: str = "entry_ms", leave: str = "exit_ms") -> DataFrame:
     """Marks trades that were open when the data feed broke: entry <= gap < exit. ``gaps``: gap_ms.
 
-    There is no key here, so cells are short (a minute at most): all trades of the market that enter within one meet in a task.
+    There is no key here: all trades of the market are cut into cells of equal numbers.
     """
-    out = asof_forward(trades, gaps.select("gap_ms"), [], F.col(entry), F.col("gap_ms"), [], "g", min(cell_ms, 60_000))
+    out = asof_forward(trades, gaps.select("gap_ms"), [], F.col(entry), F.col("gap_ms"), [], "g")
     hit = F.coalesce(F.col("g.gap_ms") < F.col(leave), F.lit(False))
     return out.withColumns({"invalidated": hit, "gap_ms": F.when(hit, F.col("g.gap_ms"))}).drop("g")
 
 
-def curve_paper(passes: DataFrame, events: DataFrame, accounts: list[dict], size: float, tx_cost: float, plan: ExitPlan, cell_ms: int) -> DataFrame:
+def curve_paper(passes: DataFrame, events: DataFrame, accounts: list[dict], size: float, tx_cost: float, plan: ExitPlan) -> DataFrame:
     """Curve-track fills: entry at the first event at or after ready + delay, exits on any later event or at the timer.
 
     ``passes``: mint, ready_ms. ``accounts``: account, delay_ms. Returns are on spend plus one transaction cost.
     """
     st = events.select("mint", "receivedAtMs", "receivedSequence", K.curve_after().as_struct().alias("state"))
-    by = dict(keys=["mint"], right_time=F.col("receivedAtMs"), right_tie=[F.col("receivedSequence")], cell=cell_ms)
+    by = dict(keys=["mint"], right_time=F.col("receivedAtMs"), right_tie=[F.col("receivedSequence")],
+              cells=equal_cells(st, ["mint"], F.col("receivedAtMs")))
     a = F.explode(literal_rows(accounts))
     wanted = passes.select("mint", "ready_ms", a.alias("a")).select("mint", "ready_ms", "a.*")
     at = asof_forward(wanted, st, left_time=F.col("ready_ms") + F.col("delay_ms"), payload="e", **by)
@@ -310,7 +318,7 @@ def curve_paper(passes: DataFrame, events: DataFrame, accounts: list[dict], size
     on = lambda state: K.curve_sell(K.Curve.from_struct(state), F.col("buy.internal_raw"), F.col("buy.tokens_raw"))
     pnl = lambda state: K.round_trip_pnl(on(state)["proceeds_sol"], F.col("buy.spend_sol"), tx_cost)
     basis = F.col("buy.spend_sol") + tx_cost
-    out = first_triggers(pos, st, ["mint"], ["mint", "account"], pnl(F.col("state")) / basis, plan, cell_ms)
+    out = first_triggers(pos, st, ["mint"], ["mint", "account"], pnl(F.col("state")) / basis, plan)
     out = asof_backward(out, st, left_time=F.col("trigger_ms"), payload="last", **by)
     # A price trigger exits on its own event; the timer exits on the last event seen.
     own = F.col("trigger_ret").isNotNull()
@@ -343,7 +351,7 @@ def _ordered_product(rows: Column) -> Column:
     return F.aggregate(F.array_sort(rows), one, lambda acc, x: _matmul(x["m"], acc))
 
 
-def replay_sizes(trades: DataFrame, swaps: DataFrame, sizes: list[float], fee: float, tx_cost: float, cell_s: int, block: int = 4_096) -> DataFrame:
+def replay_sizes(trades: DataFrame, swaps: DataFrame, sizes: list[float], fee: float, tx_cost: float, block: int = 4_096) -> DataFrame:
     """Replay each trade's recorded external swaps with other sizes. ``trades``: output of usable_exits with pool, entry_s, exit_s,
     external_swaps, pnl_sol.
 
@@ -357,9 +365,9 @@ def replay_sizes(trades: DataFrame, swaps: DataFrame, sizes: list[float], fee: f
     base = trades.withColumns({"base0": F.col("base") + F.col("tokens"), "quote0": F.col("quote") - F.col("size_sol") * keep})
     base = base.withColumn("k", F.col("base0") * F.col("quote0"))
     inside = interval_join(base.select("id", "pool", "entry_s", "exit_s", "external_swaps", "k"), ev, ["pool"], F.col("entry_s"), F.col("exit_s"),
-                           F.col("timestamp"), cell_s)
+                           F.col("timestamp"))
     # Newest first, so rank <= external_swaps keeps the last n events.
-    ranked = running(inside, ["id"], [-F.col("receivedAtMs"), -F.col("receivedSequence")], -cell_of(F.col("timestamp"), cell_s),
+    ranked = running(inside, ["id"], [-F.col("receivedAtMs"), -F.col("receivedSequence")],
                      [Running("back", "sum", F.lit(1).cast("long"))])
     last = ranked.where((F.col("external_swaps") == 0) | (F.col("back") <= F.col("external_swaps")))
     e = F.lit(keep)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tapelab.functions.exprs import cell_of, count_if, safe_div, sum_if
+from tapelab.functions.exprs import count_if, safe_div, sum_if
 from tapelab.functions.pool_amm import LAMPORTS
 from tapelab.operators.asof import asof_backward, salted_join
 from tapelab.operators.scan import arrival_rank, quantiles_of
@@ -90,7 +90,7 @@ def first_buys(tape: DataFrame, wallets: DataFrame) -> DataFrame:
         .select("wallet", "mint", F.col("f.event_time").alias("first_buy_at"), F.col("f.sol_amount").alias("first_buy_sol")))
 
 
-def bars_at_first_buy(buys: DataFrame, bars: DataFrame, tolerance_us: int, cell_us: int, columns: list[str],
+def bars_at_first_buy(buys: DataFrame, bars: DataFrame, tolerance_us: int, columns: list[str],
                       strict: bool = False, width_us: int = 1_000_000) -> DataFrame:
     """The latest bar at or before each first buy, no older than the tolerance.
 
@@ -100,7 +100,7 @@ def bars_at_first_buy(buys: DataFrame, bars: DataFrame, tolerance_us: int, cell_
     right = bars.select("mint", F.unix_micros("bucket").alias("bucket_us"), *columns)
     lead = width_us if strict else 0
     out = asof_backward(buys.withColumn("t_us", F.unix_micros("first_buy_at") - lead), right, ["mint"], F.col("t_us"),
-                        F.col("bucket_us"), [], "bar", cell_us, tolerance=tolerance_us)
+                        F.col("bucket_us"), [], "bar", tolerance=tolerance_us)
     return out.select("wallet", "mint", "first_buy_at", "first_buy_sol", *[F.col("bar")[c].alias(c) for c in ["bucket_us", *columns]])
 
 
@@ -127,13 +127,13 @@ def valid_swaps(swaps: DataFrame) -> DataFrame:
         "quote_sol": F.col("quoteAmountRaw").cast("double") / LAMPORTS})
 
 
-def buyer_ranks(swaps: DataFrame, cell_ms: int) -> DataFrame:
+def buyer_ranks(swaps: DataFrame) -> DataFrame:
     """Arrival rank of each distinct buyer in a pool."""
     first = swaps.where(F.col("side") == "buy").groupBy("pool", "user").agg(
         F.min(F.struct("observed_ms", "slot", "receivedSequence")).alias("f"))
     flat = first.select("pool", "user", F.col("f.observed_ms").alias("first_ms"), F.col("f.slot").alias("slot"),
                         F.col("f.receivedSequence").alias("seq"))
-    out = arrival_rank(flat, ["pool"], [F.col("first_ms"), F.col("slot"), F.col("seq")], cell_of(F.col("first_ms"), cell_ms), "rank")
+    out = arrival_rank(flat, ["pool"], [F.col("first_ms"), F.col("slot"), F.col("seq")], "rank")
     return out.select("pool", "user", "first_ms", "rank")
 
 
@@ -146,7 +146,7 @@ def size_entropy(swaps: DataFrame) -> DataFrame:
     return agg.select("user", (F.log2("n") - F.col("s") / F.col("n")).alias("buy_size_entropy_bits"))
 
 
-def wallet_tape_profile(swaps: DataFrame, cell_ms: int, tx_cost: float = TX_COST, early_rank: int = 20) -> DataFrame:
+def wallet_tape_profile(swaps: DataFrame, tx_cost: float = TX_COST, early_rank: int = 20) -> DataFrame:
     """Activity profile per wallet over a swap tape: (wallet, pool) first, then wallet."""
     buy, sell = F.col("side") == "buy", F.col("side") == "sell"
     pool_first = swaps.groupBy("pool").agg(F.min("observed_ms").alias("pool_first_ms"))
@@ -154,7 +154,7 @@ def wallet_tape_profile(swaps: DataFrame, cell_ms: int, tx_cost: float = TX_COST
         F.count(F.lit(1)).alias("events"), count_if(buy).alias("buys"), count_if(sell).alias("sells"),
         F.min(F.when(buy, F.col("observed_ms"))).alias("first_buy_ms"), F.max(F.when(sell, F.col("observed_ms"))).alias("last_sell_ms"),
         F.sum(F.when(sell, F.col("quote_sol")).otherwise(-F.col("quote_sol"))).alias("flow"))
-    ranks = buyer_ranks(swaps, cell_ms).select("pool", "user", "rank")
+    ranks = buyer_ranks(swaps).select("pool", "user", "rank")
     trip = F.col("last_sell_ms") >= F.col("first_buy_ms")
     pp = (salted_join(per_pool.join(ranks, ["pool", "user"], "left"), pool_first, ["pool"], ["user"])
           .withColumns({"delay_ms": F.col("first_buy_ms") - F.col("pool_first_ms"),

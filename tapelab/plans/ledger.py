@@ -17,7 +17,6 @@ from tapelab.plans.tape import staged_tape
 from tapelab.session import cut_lineage
 from tapelab.sources import adapters as A
 
-CELL_MS, CELL_US = RQ.CELL_MS, RQ.CELL_US
 
 # ---- ledgers built from the matched accounts, with seeded duplicates, ghosts and invalidations -------------------
 _LEDGER = RQ.CLOSED + """, l_dec AS (
@@ -203,14 +202,14 @@ def size_replays(spark, d):
     safe = g["closed"].where(F.col("account") == "SAFE-1000")
     sw = g["swaps"]
     spans = safe.select("pool", "account", F.col("entry_ms").alias("lo_ms"), F.col("exit_target_ms").alias("hi_ms"), F.col("entry_seq").alias("lo_seq"), F.col("exit_seq").alias("hi_seq"))
-    n = R.competition(spans, sw, ["pool", "account"], CELL_MS).select("pool", F.col("observed_events").alias("external_swaps"))
+    n = R.competition(spans, sw, ["pool", "account"]).select("pool", F.col("observed_events").alias("external_swaps"))
     key = F.concat_ws(":", "pool", "entry_seq")
     exits = safe.join(n, "pool").select(key.alias("id"), "pool", floor_div(F.col("entry_ms"), 1000).alias("entry_s"),
                                         floor_div(F.col("exit_target_ms"), 1000).alias("exit_s"), "external_swaps", "pnl_sol")
     st = F.col("entry_state")
     entries = safe.select(key.alias("id"), (st["base"] / 1e6).alias("base"), (st["quote"] / 1e9).alias("quote"), (F.col("tokens_raw") / 1e6).alias("tokens"), "size_sol")
     corr = safe.where(F.col("entry_seq") % 11 == 0).select(key.alias("id"), F.lit("EXCLUDED_EXIT").alias("type"))
-    return R.replay_sizes(R.usable_exits(exits, entries, corr), sw, SIZES, POOL_FEE, RQ.COST, 10_800)
+    return R.replay_sizes(R.usable_exits(exits, entries, corr), sw, SIZES, POOL_FEE, RQ.COST)
 
 
 @query("size_replays", f"WITH RECURSIVE {_SWEEP} SELECT id, sweep_size, {r('proceeds_sol', 'proceeds_sol')}, {r('pnl', 'pnl_sol')}, {r('100 * pnl / sweep_size', 'return_pct')} FROM sized2")
@@ -264,11 +263,11 @@ def cohort_sweep(spark, d):
     feats = staged_features(spark, d)
     sig = cohort_signals(spark, d).withColumn("sig_us", F.unix_micros("signal_time"))
     bars = feats.select("mint", F.unix_micros("bucket").alias("b"))
-    at = asof_forward(sig.select("cohort", "mint", "sig_us"), bars, ["mint"], F.col("sig_us"), F.col("b"), [], "bar", CELL_US)
+    at = asof_forward(sig.select("cohort", "mint", "sig_us"), bars, ["mint"], F.col("sig_us"), F.col("b"), [], "bar")
     at = cut_lineage(at.select("cohort", "mint", F.col("bar.b").alias("signal_us")).where(F.col("signal_us").isNotNull()))
     swept = O.sweep_exits(at, feats, TPS, SLS, HOLDS, A.HOUR_US, 18 * A.HOUR_US)
     trades = at.join(swept, ["mint", "signal_us"]).withColumn("split", split_of(feats))
-    m = V.trade_metrics(trades, ["cohort", "exit_id", "split"], 24 * A.HOUR_US)
+    m = V.trade_metrics(trades, ["cohort", "exit_id", "split"])
     return m.select("cohort", F.col("exit_id").cast("long").alias("exit_id"), "split", *METRIC_LONGS, *[r6(c).alias(c) for c in METRIC_DOUBLES])
 
 

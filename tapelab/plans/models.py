@@ -16,7 +16,6 @@ from tapelab.plans.tape import derived_table, feature_table, staged_tape, token_
 from tapelab.session import cut_lineage
 from tapelab.sources import adapters as A
 
-CELL_US = 24 * A.HOUR_US
 
 
 def candidate_trades(spark, d, tape=None):
@@ -60,7 +59,7 @@ def threshold_sweep(spark, d):
     train, val, _ = splits(frame)
     model = M.fit_entry_model(train, M.OWNERSHIP)
     grid = cut_lineage(M.threshold_grid(model.score(train)))
-    return M.sweep_thresholds(model.score(val), grid, cell_us=CELL_US)
+    return M.sweep_thresholds(model.score(val), grid)
 
 
 @query("untouched_test")
@@ -69,9 +68,9 @@ def untouched_test(spark, d):
     frame = cut_lineage(candidate_trades(spark, d))
     train, val, test = splits(frame)
     model = M.fit_entry_model(train, M.OWNERSHIP)
-    sweep = M.sweep_thresholds(model.score(val), cut_lineage(M.threshold_grid(model.score(train))), cell_us=CELL_US)
+    sweep = M.sweep_thresholds(model.score(val), cut_lineage(M.threshold_grid(model.score(train))))
     best = cut_lineage(M.choose(sweep))
-    return M.evaluate(model.score(test), best, cell_us=CELL_US)
+    return M.evaluate(model.score(test), best)
 
 
 @query("event_ownership_scores")
@@ -94,7 +93,7 @@ def permutation_importance(spark, d):
 @query("feature_ablation")
 def feature_ablation(spark, d):
     train, val, test = splits(cut_lineage(candidate_trades(spark, d)))
-    return M.ablate(train, val, test, M.FEATURE_SETS, CELL_US)
+    return M.ablate(train, val, test, M.FEATURE_SETS)
 
 
 _GRID_LIST = "[" + ", ".join(str(0.80 + (0.995 - 0.80) * i / 29) for i in range(30)) + "]"
@@ -109,20 +108,19 @@ def threshold_quantiles(spark, d):
 
 
 # ---- the stages after the score, on a score that SQL can compute ----------------------------------------------------
-_LINEAR = "3.0 * coalesce(buys_2s, 0) + coalesce(buyer_seconds_5s, 0)"
+_LINEAR = "CAST(3.0 * coalesce(buys_2s, 0) + coalesce(buyer_seconds_5s, 0) AS DOUBLE)"
 _SCORED = _CAND + f""", scored AS (
   SELECT l.mint, l.entry_s * 1000000 AS entry_us, l.exit_s * 1000000 AS exit_us, pnl_sol, exit_reason, {_LINEAR} AS prediction,
     {S.split_case('l.entry_s', '(SELECT min(bucket_s) FROM bars)', 16, 4)} AS split
   FROM labelled l JOIN cand c ON c.mint = l.mint AND c.bucket_s = l.signal_s
 ), grid AS (SELECT row_number() OVER (ORDER BY t) - 1 AS k, t AS threshold FROM (
-  SELECT DISTINCT unnest(quantile_cont(prediction, [i / 9.0 * 0.9 FOR i IN range(10)])) AS t FROM scored WHERE split = 'train'))"""
+  SELECT DISTINCT unnest(quantile_cont(prediction, {_GRID_LIST})) AS t FROM scored WHERE split = 'train'))"""
 _SWEPT = _SCORED + RQ.admit_ctes("(SELECT grid.k, scored.* FROM scored JOIN grid ON prediction >= threshold WHERE split = 'validation')", ["k"], 3.0, 3, "0.5032::DOUBLE") + RQ._REPORT.format(k="k", cap=3.0)
 _CHOSEN = _SWEPT + """, chosen AS (
   SELECT k, threshold, accepted_trades, pnl_sol FROM report JOIN grid USING (k)
-  WHERE accepted_trades >= 1 AND pnl_sol > 0 AND coalesce(largest_profit_share, 0) <= 1 AND max_drawdown_sol <= 100 ORDER BY pnl_sol DESC, k LIMIT 1)"""
+  WHERE accepted_trades >= 10 AND pnl_sol > 0 AND coalesce(largest_profit_share, 0) <= 0.60 AND max_drawdown_sol <= 1.5 ORDER BY pnl_sol DESC, k LIMIT 1)"""
 _TESTED = _CHOSEN + re.sub(r"\b(ordered|acct|admitted|acc_eq|acc_dd|report)\b", r"\1_test", RQ.admit_ctes(
     "(SELECT scored.* FROM scored, chosen WHERE prediction >= chosen.threshold AND split = 'test')", ["split"], 3.0, 3, "0.5032::DOUBLE") + RQ._REPORT.format(k="split", cap=3.0))
-LOOSE = {"min_trades": 1, "max_share": 1.0, "max_drawdown": 100.0}
 
 
 def linear(spark, d):
@@ -130,8 +128,8 @@ def linear(spark, d):
     score = 3.0 * F.coalesce("buys_2s", F.lit(0.0)) + F.coalesce("buyer_seconds_5s", F.lit(0.0))
     frame = cut_lineage(candidate_trades(spark, d).withColumn("prediction", score))
     train, val, test = splits(frame)
-    grid = cut_lineage(M.threshold_grid(train, 0.0, 0.9, 10))
-    return cut_lineage(M.sweep_thresholds(val, grid, cell_us=CELL_US)), test
+    grid = cut_lineage(M.threshold_grid(train))
+    return cut_lineage(M.sweep_thresholds(val, grid)), test
 
 
 @query("linear_threshold_sweep", f"WITH RECURSIVE {_SWEPT} SELECT k, {r('threshold', 'threshold')}, {', '.join(RQ._REP_L)}, {', '.join(r(c, c) for c in RQ._REP_D)} FROM report JOIN grid USING (k)")
@@ -142,11 +140,11 @@ def linear_threshold_sweep(spark, d):
 
 @query("linear_choice", f"WITH RECURSIVE {_CHOSEN} SELECT k, {r('threshold', 'threshold')}, accepted_trades, {r('pnl_sol', 'pnl_sol')} FROM chosen")
 def linear_choice(spark, d):
-    return M.choose(linear(spark, d)[0], **LOOSE).select(F.col("k").cast("long").alias("k"), r6("threshold").alias("threshold"), "accepted_trades", r6("pnl_sol").alias("pnl_sol"))
+    return M.choose(linear(spark, d)[0]).select(F.col("k").cast("long").alias("k"), r6("threshold").alias("threshold"), "accepted_trades", r6("pnl_sol").alias("pnl_sol"))
 
 
 @query("linear_untouched_test", f"WITH RECURSIVE {_TESTED} SELECT split, {', '.join(RQ._REP_L)}, {', '.join(r(c, c) for c in RQ._REP_D)} FROM report_test")
 def linear_untouched_test(spark, d):
     """The threshold chosen on validation, then one run on the test split."""
     swept, test = linear(spark, d)
-    return RQ.report_cols(M.evaluate(test, cut_lineage(M.choose(swept, **LOOSE)), cell_us=CELL_US), ["split"])
+    return RQ.report_cols(M.evaluate(test, cut_lineage(M.choose(swept))), ["split"])

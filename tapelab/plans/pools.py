@@ -13,7 +13,6 @@ from tapelab.plans.registry import query, r6
 from tapelab.session import cut_lineage
 from tapelab.sources import adapters as A
 
-CELL_MS = A.HOUR_MS // 2
 WINDOW_S = 7_200
 SELECTOR = {"min_quote_reserve_sol": 29.9, "max_quote_reserve_sol": 30.5, "max_largest_opening_swap_sol": 1.5,
             "min_independent_buyers": 1, "min_opening_swaps": 2}
@@ -136,7 +135,7 @@ _DRAW = _AFTER + f""", priced AS (SELECT a.pool, receivedAtMs, receivedSequence,
   {r('100 * ((peak - mcap) / peak)', 'drawdown_pct')} FROM peaks""")
 def running_drawdown(spark, d):
     sw = cut_lineage(A.pool_swaps(spark, d))
-    return O.running_drawdown(sw, A.migrations(sw), CELL_MS).select(
+    return O.running_drawdown(sw, A.migrations(sw)).select(
         "receivedSequence", "pool", *[r6(c).alias(c) for c in ("mcap_sol", "peak_mcap_sol", "drawdown_pct")])
 
 
@@ -153,8 +152,8 @@ SELECT receivedSequence, pool, {r('buy_sol', 'buy_sol')}, {r('sell_sol', 'sell_s
 FROM pressure""")
 def dump_guard(spark, d):
     sw = cut_lineage(A.pool_swaps(spark, d))
-    at = O.running_drawdown(sw, A.migrations(sw), CELL_MS).select("receivedSequence", "pool", "receivedAtMs", "drawdown_pct")
-    out = O.with_dump_guard(O.flow_pressure(at, sw, "receivedAtMs", GUARD.window_ms, CELL_MS), GUARD)
+    at = O.running_drawdown(sw, A.migrations(sw)).select("receivedSequence", "pool", "receivedAtMs", "drawdown_pct")
+    out = O.with_dump_guard(O.flow_pressure(at, sw, "receivedAtMs", GUARD.window_ms), GUARD)
     return out.select("receivedSequence", "pool", *[r6(c).alias(c) for c in ("buy_sol", "sell_sol", "sell_to_buy_ratio")],
                       F.array_join("dump_reasons", ";").alias("dump_reasons"))
 
@@ -184,5 +183,5 @@ LIVE = S.CURVE + """, live AS (
 @query("event_features", f"""WITH {LIVE} SELECT mint, receivedSequence, {r('age_seconds', 'age_seconds')}, {r('curve_close', 'curve_close')}, buys_2s,
   {r('buy_sol_5s', 'buy_sol_5s')}, {r('return_5s', 'return_5s')} FROM live_features""")
 def event_features(spark, d):
-    return O.event_features(cut_lineage(live_curve(spark, d)), CELL_MS, A.HOUR_MS).select(
+    return O.event_features(cut_lineage(live_curve(spark, d)), A.HOUR_MS).select(
         "mint", "receivedSequence", "buys_2s", *[r6(c).alias(c) for c in ("age_seconds", "curve_close", "buy_sol_5s", "return_5s")])

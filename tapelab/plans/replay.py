@@ -18,7 +18,6 @@ from tapelab.operators.asof import salted_join
 from tapelab.session import cut_lineage
 from tapelab.sources import adapters as A
 
-CELL_US, CELL_MS = 3 * A.HOUR_US, 3 * A.HOUR_MS
 COST = 0.0032
 
 # ---- stress scenarios ------------------------------------------------------------------------------------------
@@ -60,7 +59,7 @@ steps AS (
 def stressed(spark, d):
     tape = staged_tape(spark, d)
     sig = Sg.first_match(feature_table(spark, d, tape), {"base": _GATE.batch()}).select("mint", F.unix_micros("bucket").alias("signal_us"))
-    return R.stress_replay(cut_lineage(sig), tape, R.SCENARIOS, 0.5, S_TP, S_SL, S_HOLD_US, A.HOUR_US, 3_600_000, CELL_US)
+    return R.stress_replay(cut_lineage(sig), tape, R.SCENARIOS, 0.5, S_TP, S_SL, S_HOLD_US, A.HOUR_US, 3_600_000)
 
 
 @query("stress_replay", f"""WITH {_STRESS} SELECT mint, scenario, entry_us, exit_us, exit_reason, {r('pnl_sol', 'pnl_sol')}, {r('peak_pnl_sol', 'peak_pnl_sol')},
@@ -115,8 +114,8 @@ def account_admission(spark, d):
     feats = staged_features(spark, d)
     sig = signals_of(feats)
     trades = sig.join(O.label_trades(sig, feats, TP, SL, HOLD_H * A.HOUR_US), ["mint", "signal_us"])
-    admitted = cut_lineage(AD.admit(trades, ["config"], 3.0, 3, 0.5032, 48 * A.HOUR_US, extra=["exit_reason"]))
-    return report_cols(AD.account_report(admitted, ["config"], 3.0, CELL_US), ["config"])
+    admitted = cut_lineage(AD.admit(trades, ["config"], 3.0, 3, 0.5032, extra=["exit_reason"]))
+    return report_cols(AD.account_report(admitted, ["config"], 3.0), ["config"])
 
 
 @query("stress_accounts", f"""WITH RECURSIVE {_STRESS} {admit_ctes('(SELECT s.*, c.cost FROM stressed s JOIN scen c USING (scenario))', ['scenario'], 3.0, 3, '0.5 + cost')}
@@ -126,9 +125,9 @@ def stress_accounts(spark, d):
     parts = []
     for cost in sorted({x["tx_cost"] for x in R.SCENARIOS}):
         names = [x["scenario"] for x in R.SCENARIOS if x["tx_cost"] == cost]
-        parts.append(AD.admit(trades.where(F.col("scenario").isin(names)), ["scenario"], 3.0, 3, 0.5 + cost, 48 * A.HOUR_US, extra=["exit_reason"]))
+        parts.append(AD.admit(trades.where(F.col("scenario").isin(names)), ["scenario"], 3.0, 3, 0.5 + cost, extra=["exit_reason"]))
     admitted = reduce(DataFrame.unionByName, parts)
-    return report_cols(AD.account_report(cut_lineage(admitted), ["scenario"], 3.0, CELL_US), ["scenario"])
+    return report_cols(AD.account_report(cut_lineage(admitted), ["scenario"], 3.0), ["scenario"])
 
 
 # ---- matched accounts ------------------------------------------------------------------------------------------
@@ -152,17 +151,17 @@ def internal_for(spend: int) -> int:
 
 
 def decided(spark, d, swaps):
-    return R.decisions(PQ.decided(spark, d, swaps), swaps, PQ.WINDOW_S, CELL_MS)
+    return R.decisions(PQ.decided(spark, d, swaps), swaps, PQ.WINDOW_S)
 
 
 def guards(swaps):
-    return R.guard_at_events(swaps, A.migrations(swaps), PQ.GUARD, CELL_MS)
+    return R.guard_at_events(swaps, A.migrations(swaps), PQ.GUARD)
 
 
 def land(dec, swaps, accounts):
     """Landings of qualified pools; only their swaps are looked up and guarded."""
     theirs = salted_join(swaps, dec.where(F.col("decision") == "QUALIFY").select("pool"), ["pool"], ["receivedSequence"], how="left_semi")
-    return R.land_entries(dec, theirs, accounts, SAFE_MS, WAIT_MS, COST, CELL_MS, guards(theirs))
+    return R.land_entries(dec, theirs, accounts, SAFE_MS, WAIT_MS, COST, guards(theirs))
 
 
 def landed(spark, d, swaps, accounts=ACCOUNTS):
@@ -171,7 +170,7 @@ def landed(spark, d, swaps, accounts=ACCOUNTS):
 
 def exited(fills, swaps):
     """Filled positions with their exits, whatever the account could pay for."""
-    return R.delayed_exits(fills, swaps, ["pool", "account"], PLAN, F.col("exit_delay_ms"), F.col("size_sol"), COST, CELL_MS)
+    return R.delayed_exits(fills, swaps, ["pool", "account"], PLAN, F.col("exit_delay_ms"), F.col("size_sol"), COST)
 
 
 def admissions(trades):
@@ -179,7 +178,7 @@ def admissions(trades):
     base = trades.where(F.col("size_sol") == 0.5).select(
         "account", F.col("pool").alias("mint"), (F.col("entry_ms") * 1000).alias("entry_us"), (F.col("exit_target_ms") * 1000).alias("exit_us"), "pnl_sol",
         F.col("trigger_reason").alias("exit_reason"))
-    return AD.admit(base, ["account"], 3.0, 3, 0.5032, 48 * A.HOUR_US, extra=["exit_reason"])
+    return AD.admit(base, ["account"], 3.0, 3, 0.5032, extra=["exit_reason"])
 
 
 def within_capacity(trades):
@@ -289,7 +288,7 @@ def matched_accounts(spark, d):
 def matched_account_capacity(spark, d):
     sw = staged_swaps(spark, d)
     fills = landed(spark, d, sw, ACCOUNTS[:2]).where(F.col("status") == "FILLED")
-    return report_cols(AD.account_report(cut_lineage(admissions(exited(fills, sw))), ["account"], 3.0, CELL_US), ["account"])
+    return report_cols(AD.account_report(cut_lineage(admissions(exited(fills, sw))), ["account"], 3.0), ["account"])
 
 
 # ---- skipped signals -------------------------------------------------------------------------------------------
@@ -320,7 +319,7 @@ def skipped(spark, d, swaps):
     cands = dec.join(entered, "pool", "left").select("pool", F.col("submitted_ms").alias("signal_ms"),
                                                       F.coalesce("entered", F.array().cast("array<string>")).alias("entered"))
     end = swaps.agg(F.max("receivedAtMs")).scalar()
-    return R.replay_skipped(cut_lineage(cands), swaps, DELAYS, end, 0.5, COST, PLAN, CELL_MS)
+    return R.replay_skipped(cut_lineage(cands), swaps, DELAYS, end, 0.5, COST, PLAN)
 
 
 @query("skipped_replay", f"""WITH RECURSIVE {SKIPPED} SELECT pool, account, status, entry_ms, entry_ms - signal_ms AS entry_delay_ms, trigger_reason,
@@ -375,7 +374,7 @@ def competition_before_entry(spark, d):
     fills = cut_lineage(landed(spark, d, sw)).where(F.col("status") == "FILLED")
     spans = fills.select("pool", "account", F.col("decision_event_ms").alias("lo_ms"), F.col("entry_ms").alias("hi_ms"),
                          F.col("decision_seq").alias("lo_seq"), F.col("entry_seq").alias("hi_seq"))
-    return comp_out(R.competition(spans, sw, ["pool", "account"], CELL_MS))
+    return comp_out(R.competition(spans, sw, ["pool", "account"]))
 
 
 @query("holding_flow", f"WITH RECURSIVE {CLOSED} {comp_ctes('closed', 'entry_seq', 'exit_seq')} {_COMP_SELECT}")
@@ -384,7 +383,7 @@ def holding_flow(spark, d):
     done = cut_lineage(closed_trades(spark, d, sw))
     spans = done.select("pool", "account", F.col("entry_ms").alias("lo_ms"), F.col("exit_target_ms").alias("hi_ms"),
                         F.col("entry_seq").alias("lo_seq"), F.col("exit_seq").alias("hi_seq"))
-    return comp_out(R.competition(spans, sw, ["pool", "account"], CELL_MS))
+    return comp_out(R.competition(spans, sw, ["pool", "account"]))
 
 
 _GAPS = ", gaps AS (SELECT DISTINCT receivedAtMs AS gap_ms FROM swaps WHERE receivedSequence % 97 = 0)"
@@ -395,7 +394,7 @@ _GAPS = ", gaps AS (SELECT DISTINCT receivedAtMs AS gap_ms FROM swaps WHERE rece
 def gap_invalidation(spark, d):
     sw = staged_swaps(spark, d)
     gaps = sw.where(F.col("receivedSequence") % 97 == 0).select(F.col("receivedAtMs").alias("gap_ms")).distinct()
-    out = R.invalidate_gaps(closed_trades(spark, d, sw).select("pool", "account", "entry_ms", F.col("exit_target_ms").alias("exit_ms")), gaps, CELL_MS)
+    out = R.invalidate_gaps(closed_trades(spark, d, sw).select("pool", "account", "entry_ms", F.col("exit_target_ms").alias("exit_ms")), gaps)
     return out.select("pool", "account", "invalidated", "gap_ms")
 
 
@@ -407,7 +406,7 @@ CURVE_PLAN = R.ExitPlan(0.01, -0.05, 6 * A.HOUR_MS)
 
 
 def live_passes(spark, d, events):
-    feats = PO.event_features(events, PQ.CELL_MS, A.HOUR_MS)
+    feats = PO.event_features(events, A.HOUR_MS)
     hit = feats.where(LIVE_GATE.live()).groupBy("mint").agg(F.min(F.struct("receivedAtMs", "receivedSequence")).alias("h"))
     return hit.select("mint", F.col("h.receivedAtMs").alias("ready_ms"), F.col("h.receivedSequence").alias("signal_seq"))
 
@@ -437,5 +436,5 @@ SELECT f.mint, f.account, f.ready_ms, f.entry_ms, f.entry_seq, coalesce(x.ms, y.
 FROM land f LEFT JOIN trig USING (mint, account) JOIN lastw USING (mint, account)""")
 def curve_fills(spark, d):
     ev = cut_lineage(PQ.live_curve(spark, d))
-    out = R.curve_paper(cut_lineage(live_passes(spark, d, ev)), ev, CURVE_ACCOUNTS, 0.5, COST, CURVE_PLAN, CELL_MS)
+    out = R.curve_paper(cut_lineage(live_passes(spark, d, ev)), ev, CURVE_ACCOUNTS, 0.5, COST, CURVE_PLAN)
     return out.select("mint", "account", "ready_ms", "entry_ms", "entry_seq", "exit_ms", "exit_reason", r6("pnl_sol").alias("pnl_sol"), r6("return_pct").alias("return_pct"))

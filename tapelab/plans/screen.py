@@ -62,7 +62,7 @@ def screen_trades(feats, only: str | None = None):
 
 
 def screen_metrics(feats, only: str | None = None):
-    return V.trade_metrics(screen_trades(feats, only), ["config", "split"], 6 * HOUR_US)
+    return V.trade_metrics(screen_trades(feats, only), ["config", "split"])
 
 
 def config_table(spark, names: list[str]):
@@ -201,7 +201,7 @@ def swept_finalists(spark, d):
     sig = cut_lineage(signals_of(feats, _MANUAL))
     labelled = O.label_trades(sig, feats, TP, SL, HOLD_H * HOUR_US)
     trades = sig.join(labelled, ["mint", "signal_us"]).withColumn("split", split_of(feats))
-    wide = V.by_split(V.trade_metrics(trades, ["config", "split"], 6 * HOUR_US), ["config"], config_table(spark, config_names(_MANUAL)))
+    wide = V.by_split(V.trade_metrics(trades, ["config", "split"]), ["config"], config_table(spark, config_names(_MANUAL)))
     best = V.freeze(wide, 20, 12, ["config"]).select("config")
     chosen = sig.join(best, "config", "left_semi")
     swept = O.sweep_exits(chosen, feats, TPS, SLS, HOLDS, HOUR_US, 18 * HOUR_US)
@@ -214,5 +214,5 @@ def swept_finalists(spark, d):
 {S.metric_ctes('sweep_trades', 'config, exit_id, split', 'sweep_metrics')}
 SELECT config, exit_id, split, {_M_SQL} FROM sweep_metrics""")
 def exit_sweep(spark, d):
-    m = V.trade_metrics(swept_finalists(spark, d), ["config", "exit_id", "split"], 24 * HOUR_US)
+    m = V.trade_metrics(swept_finalists(spark, d), ["config", "exit_id", "split"])
     return m.select("config", F.col("exit_id").cast("long").alias("exit_id"), "split", *METRIC_LONGS, *[r6(c).alias(c) for c in METRIC_DOUBLES])

@@ -140,7 +140,7 @@ SELECT feature, count(*) FILTER (WHERE a IS NOT NULL AND b IS NOT NULL) AS compa
 FROM both_sides FULL JOIN other USING (mint, receivedSequence, feature) GROUP BY feature""")
 def feature_parity(spark, d):
     """Features as the stream saw them against the batch operator on the same events."""
-    batch = event_features(cut_lineage(curve_rows(A.table(spark, d, "events"))), 3 * A.HOUR_MS, A.HOUR_MS)
+    batch = event_features(cut_lineage(curve_rows(A.table(spark, d, "events"))), A.HOUR_MS)
     hit = batch.where(GATE.live()).groupBy("mint").agg(F.min(F.struct("receivedAtMs", "receivedSequence", "age_seconds", "buys_2s", "buy_sol_5s", "return_5s")).alias("h"))
     out = M.feature_parity(hit.select("mint", "h.*"), fired_rows(spark, d), ["mint", "receivedSequence"], ["age_seconds", "buys_2s", "buy_sol_5s", "return_5s"])
     return out.withColumn("max_abs_diff", r6("max_abs_diff"))

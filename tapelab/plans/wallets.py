@@ -17,8 +17,6 @@ from tapelab.sources import adapters as A
 r = lambda expr, alias: oracle_sql.r(expr, alias, 9)
 r6 = lambda c: registry.r6(c, 9)
 
-CELL_US = 3 * A.HOUR_US
-CELL_MS = 3 * A.HOUR_MS
 
 
 def wallet_tape(spark, d, tape=None):
@@ -124,7 +122,7 @@ _MATCH_COLS = ["age_seconds", "curve_close", "buys_2s", "buyer_seconds_5s", "buy
 def matched(spark, d):
     tape = staged_tape(spark, d)
     buys = J.first_buys(tape, selected(spark, d, tape))
-    return J.bars_at_first_buy(buys, derived_table(spark, d, tape), 2 * A.HOUR_US, CELL_US, _MATCH_COLS, width_us=A.HOUR_US)
+    return J.bars_at_first_buy(buys, derived_table(spark, d, tape), 2 * A.HOUR_US, _MATCH_COLS, width_us=A.HOUR_US)
 
 
 @query("asof_first_buy_bars", f"WITH {_ASOF} SELECT wallet, mint, first_buy_us, bucket_s, buys_2s, {r('age_seconds', 'age_seconds')}, {r('curve_close', 'curve_close')} FROM matched")
@@ -157,7 +155,7 @@ def asof_next_event(spark, d):
     sig = derived_table(spark, d, staged).where(F.col("buys_2s") >= 2).select("mint", F.unix_seconds("bucket").alias("bucket_s"))
     tape = staged.select("mint", "id", F.unix_micros("event_time").alias("event_us"))
     out = AO.asof_forward(sig, tape, ["mint"], F.col("bucket_s") * 1_000_000 + 3_670_000_000, F.col("event_us"), [F.col("id")],
-                          "e", CELL_US)
+                          "e")
     return out.select("mint", "bucket_s", F.col("e.id").alias("event_id"), F.col("e.event_us").alias("event_us"))
 
 
@@ -173,7 +171,7 @@ ranks AS (SELECT pool, usr, row_number() OVER (PARTITION BY pool ORDER BY f) AS
 
 @query("buyer_ranks", f'WITH {_RANKS} SELECT pool, usr AS "user", rank FROM ranks')
 def buyer_ranks(spark, d):
-    return J.buyer_ranks(swaps(spark, d), CELL_MS).select("pool", "user", "rank")
+    return J.buyer_ranks(swaps(spark, d)).select("pool", "user", "rank")
 
 
 _PROFILE = _RANKS + """, per_pool AS (
@@ -206,7 +204,7 @@ _W_D = ["early_pool_rate", "median_first_buy_rank", "median_first_buy_delay_ms",
 
 
 def profile(spark, d):
-    return J.wallet_tape_profile(cut_lineage(swaps(spark, d)), CELL_MS)
+    return J.wallet_tape_profile(cut_lineage(swaps(spark, d)))
 
 
 @query("wallet_tape_profile", f"""WITH {_PROFILE} SELECT "user", {', '.join(_W_L)}, {', '.join(r(c, c) for c in _W_D)} FROM profile

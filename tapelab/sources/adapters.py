@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tapelab.functions.exprs import cell_of, floor_div
+from tapelab.functions.exprs import floor_div
 from tapelab.operators.scan import Running, running
 
 # Fixed values of the adapter.
@@ -23,7 +23,6 @@ SYSTEM_WALLET = "system"
 HOUR_S = 3_600
 HOUR_MS = 3_600_000
 HOUR_US = 3_600_000_000
-SCAN_CELL_US = 1_800_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,7 +63,7 @@ def base_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         "mint": F.concat(F.lit("m"), F.col("k20"), F.lit("-"), F.col("day")),
         "delta": F.when(F.col("is_buy"), F.col("cents")).otherwise(-F.col("cents")) * F.lit(LAMPORTS_PER_CENT),
     })
-    out = running(rows, ["mint"], [F.col("t_us"), F.col("id")], cell_of(F.col("t_us"), SCAN_CELL_US),
+    out = running(rows, ["mint"], [F.col("t_us"), F.col("id")],
                   [Running("moved", "sum", F.col("delta"))], first={"launch_us": F.col("t_us")})
     out = out.withColumn("v_sol", F.lit(START_LAMPORTS) + F.col("moved"))
     out = out.withColumn("v_sol_before", F.col("v_sol") - F.col("delta"))

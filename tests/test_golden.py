@@ -81,18 +81,18 @@ def test_matched_entries_and_delayed_exits(spark):
     dec = spark.createDataFrame([("p", 8_500, 4, 8_000, "QUALIFY")], "pool string, submitted_ms long, decision_seq long, decision_event_ms long, decision string")
     accounts = [{"account": "FAST-170", "entry_delay_ms": 170, "exit_delay_ms": 170, "size_sol": 0.5}] + [
         {"account": a, "entry_delay_ms": 1000, "exit_delay_ms": 1000, "size_sol": s} for a, s in (("SAFE", 0.5), ("1", 1.0), ("1.5", 1.5), ("2", 2.0))]
-    land = R.land_entries(dec, swaps, accounts, 1000, 5000, 0.0032, 1000)
+    land = R.land_entries(dec, swaps, accounts, 1000, 5000, 0.0032)
     rows = {r["account"]: r for r in land.collect()}
     assert {r["entry_seq"] for r in rows.values()} == {5}
     assert all(r["landing_delay_ms"] == 1500 and r["status"] == "FILLED" for r in rows.values())
-    done = R.delayed_exits(land, swaps, ["pool", "account"], R.ExitPlan(50, -20, 300_000), F.col("exit_delay_ms"), F.col("size_sol"), 0.0032, 60_000)
+    done = R.delayed_exits(land, swaps, ["pool", "account"], R.ExitPlan(50, -20, 300_000), F.col("exit_delay_ms"), F.col("size_sol"), 0.0032)
     got = {r["account"]: r for r in done.collect()}
     assert got["SAFE"]["trigger_ms"] == 11_000 and got["SAFE"]["exit_target_ms"] == 12_000
     assert got["FAST-170"]["exit_target_ms"] == 11_170
     assert got["SAFE"]["trigger_reason"] == "TAKE_PROFIT" and got["SAFE"]["pnl_sol"] > 0
     spans = land.select("pool", "account", F.col("decision_event_ms").alias("lo_ms"), F.col("entry_ms").alias("hi_ms"), F.col("decision_seq").alias("lo_seq"),
                         F.col("entry_seq").alias("hi_seq"))
-    comp = R.competition(spans, swaps, ["pool", "account"], 1000).where("account = 'SAFE'").first()
+    comp = R.competition(spans, swaps, ["pool", "account"]).where("account = 'SAFE'").first()
     assert comp["observed_buys"] == 1 and comp["buy_sol"] == 0.2 and comp["queue_position"] == 2
     assert [w["wallet"] for w in comp["top_buyers"]] == ["buyer-one"] and comp["signatures"] == ["s5"]
 
@@ -101,11 +101,11 @@ def test_no_fill_after_the_landing_window(spark):
     swaps = spark.createDataFrame([swap(8_000, 4), swap(20_000, 5)], SWAP)
     dec = spark.createDataFrame([("p", 8_500, 4, 8_000, "QUALIFY")], "pool string, submitted_ms long, decision_seq long, decision_event_ms long, decision string")
     acc = [{"account": "S", "entry_delay_ms": 1000, "exit_delay_ms": 1000, "size_sol": 0.5}]
-    assert R.land_entries(dec, swaps, acc, 1000, 5000, 0.0032, 1000).first()["status"] == "NO_FILL"
+    assert R.land_entries(dec, swaps, acc, 1000, 5000, 0.0032).first()["status"] == "NO_FILL"
 
 
 def test_first_observation_is_its_own_peak(spark):
     swaps = spark.createDataFrame([swap(100_500, 1)], SWAP)
     m = spark.createDataFrame([("p", 100)], "pool string, blockTime long")
-    r = PO.running_drawdown(swaps, m, 1000).first()
+    r = PO.running_drawdown(swaps, m).first()
     assert r["mcap_sol"] == r["peak_mcap_sol"] > 0 and r["drawdown_pct"] == 0

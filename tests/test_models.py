@@ -200,3 +200,14 @@ def test_untouched_test_needs_ten_validation_trades(spark, frame, model, monkeyp
     for rows, tested in ((whole, True), (few, False)):
         monkeypatch.setattr(Q, "candidate_trades", lambda *a, rows=rows: rows)
         assert entry.queries()["untouched_test"](spark, "").isEmpty() != tested
+
+
+def test_linear_queries_choose_and_test_on_real_limits(spark, frame, monkeypatch):
+    split = F.when(F.col("entry_us") < 500_000_000, "train").when(F.col("entry_us") < 700_000_000, "validation").otherwise("test")
+    whole = frame.withColumn("split", split).withColumns({"buys_2s": F.floor(F.col("a") * 1000), "buyer_seconds_5s": F.lit(None).cast("double")})
+    monkeypatch.setattr(Q, "candidate_trades", lambda *a: whole)
+    run = lambda name: entry.queries()[name](spark, "").collect()
+    sweep, chosen, tested = run("linear_threshold_sweep"), run("linear_choice"), run("linear_untouched_test")
+    good = [r for r in sweep if r["accepted_trades"] >= 10 and r["pnl_sol"] > 0 and (r["largest_profit_share"] or 0) <= 0.60 and r["max_drawdown_sol"] <= 1.5]
+    assert len(sweep) > 20 and len(chosen) == 1 and chosen[0]["k"] == max(good, key=lambda r: (r["pnl_sol"], -r["k"]))["k"]
+    assert len(tested) == 1 and tested[0]["split"] == "test" and tested[0]["accepted_trades"] > 0

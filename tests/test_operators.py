@@ -8,12 +8,18 @@ import pytest
 from pyspark.sql import Window, functions as F
 
 from tapelab.functions import gates as G
-from tapelab.functions.exprs import cell_of, floor_div
+from tapelab.functions.exprs import floor_div
 from tapelab.operators import admission as AD, asof as AO, bars as B, clean as C, evaluate as V, outcomes as O, ownership as W, replay as R, scan as S, signals as Sg
 from tapelab.operators import snapshots as N
 from tapelab.sources import tables as T
 
 
+@pytest.fixture(autouse=True)
+def small_cells(monkeypatch):
+    """Keys of more than 40 rows are cut here; the registered queries run on whole keys."""
+    monkeypatch.setattr(S, "CELL_ROWS", 40)
+
+
 @pytest.fixture(scope="module")
 def hot(spark):
     """Two thirds of the rows on one key, many equal times."""
@@ -23,7 +29,7 @@ def hot(spark):
 
 
 def test_running_equals_plain_window(hot):
-    out = S.running(hot, ["k"], [F.col("t"), F.col("id")], cell_of(F.col("t"), 37),
+    out = S.running(hot, ["k"], [F.col("t"), F.col("id")],
                     [S.Running("s", "sum", F.col("v")), S.Running("hi", "max", F.col("v")), S.Running("lo", "min", F.col("v"))], first={"start": F.col("t")})
     w = Window.partitionBy("k").orderBy("t", "id").rowsBetween(Window.unboundedPreceding, 0)
     want = hot.select("id", F.sum("v").over(w).alias("s"), F.max("v").over(w).alias("hi"), F.min("v").over(w).alias("lo"),
@@ -33,7 +39,7 @@ def test_running_equals_plain_window(hot):
 
 
 def test_max_drawdown(hot):
-    got = {r["k"]: r["max_drawdown"] for r in S.max_drawdown(hot, ["k"], [F.col("t"), F.col("id")], cell_of(F.col("t"), 50), F.col("v")).collect()}
+    got = {r["k"]: r["max_drawdown"] for r in S.max_drawdown(hot, ["k"], [F.col("t"), F.col("id")], F.col("v")).collect()}
     for k, g in hot.toPandas().sort_values(["t", "id"]).groupby("k"):
         eq = g["v"].cumsum().to_numpy()
         assert got[k] == pytest.approx((np.maximum.accumulate(np.maximum(eq, 0)) - eq).max())
@@ -56,7 +62,7 @@ def test_asof(spark, hot, direction, strict):
     left = [(rng.choice(["hot", "k1", "absent"]), rng.randrange(-50, 2_100), i) for i in range(400)]
     ldf = spark.createDataFrame(left, "k string, lt long, n long")
     fn = AO.asof_backward if direction == "backward" else AO.asof_forward
-    out = fn(ldf, hot.select("k", "t", "id"), ["k"], F.col("lt"), F.col("t"), [F.col("id")], "m", 11, strict=strict)
+    out = fn(ldf, hot.select("k", "t", "id"), ["k"], F.col("lt"), F.col("t"), [F.col("id")], "m", strict=strict)
     got = {r["n"]: (r["m"]["t"], r["m"]["id"]) if r["m"] else None for r in out.collect()}
     right = {k: sorted(zip(g["t"], g["id"])) for k, g in hot.toPandas().groupby("k")}
     for k, lt, n in left:
@@ -73,18 +79,18 @@ def test_asof(spark, hot, direction, strict):
 def test_asof_tolerance_and_position_ties(spark):
     r = spark.createDataFrame([("a", 10, 1), ("a", 10, 2), ("a", 10, 3), ("a", 90, 4)], "k string, t long, id long")
     l = spark.createDataFrame([("a", 10, 2)], "k string, lt long, lid long")
-    nxt = AO.asof_forward(l, r, ["k"], F.col("lt"), F.col("t"), [F.col("id")], "m", 5, strict=True, left_tie=[F.col("lid")]).first()
+    nxt = AO.asof_forward(l, r, ["k"], F.col("lt"), F.col("t"), [F.col("id")], "m", strict=True, left_tie=[F.col("lid")]).first()
     assert nxt["m"]["id"] == 3
     far = spark.createDataFrame([("a", 50, 0)], "k string, lt long, lid long")
-    assert AO.asof_backward(far, r, ["k"], F.col("lt"), F.col("t"), [F.col("id")], "m", 5, tolerance=39).isEmpty()
-    assert not AO.asof_backward(far, r, ["k"], F.col("lt"), F.col("t"), [F.col("id")], "m", 5, tolerance=40).isEmpty()
+    assert AO.asof_backward(far, r, ["k"], F.col("lt"), F.col("t"), [F.col("id")], "m", tolerance=39).isEmpty()
+    assert not AO.asof_backward(far, r, ["k"], F.col("lt"), F.col("t"), [F.col("id")], "m", tolerance=40).isEmpty()
 
 
 def test_interval_join(spark, hot):
     rng = random.Random(5)
     spans = [(i, "hot", a, a + rng.randrange(0, 200)) for i, a in ((i, rng.randrange(0, 2_000)) for i in range(60))]
     sdf = spark.createDataFrame(spans, "n long, k string, lo long, hi long")
-    got = sorted((r["n"], r["id"]) for r in AO.interval_join(sdf, hot, ["k"], F.col("lo"), F.col("hi"), F.col("t"), 64).collect())
+    got = sorted((r["n"], r["id"]) for r in AO.interval_join(sdf, hot, ["k"], F.col("lo"), F.col("hi"), F.col("t")).collect())
     ev = [(r["t"], r["id"]) for r in hot.where("k = 'hot'").collect()]
     assert got == sorted((n, i) for n, _, lo, hi in spans for t, i in ev if lo <= t <= hi)
 
@@ -116,7 +122,7 @@ def test_admission_matches_one_by_one_replay(spark, mean):
             e = rng.randrange(0, 20_000)
             rows.append((acct, f"{acct}{i:04d}", e, e + rng.randrange(0, 300), rng.gauss(mean, 0.05)))
     df = spark.createDataFrame(rows, "account string, mint string, entry_us long, exit_us long, pnl_sol double")
-    out = AD.admit(df, ["account"], 3.0, 3, 0.5032, cell_us=500, chunk_rows=60).toPandas()
+    out = AD.admit(df, ["account"], 3.0, 3, 0.5032, chunk_rows=60).toPandas()
     assert len(out) == len(rows)
     for acct, g in out.groupby("account"):
         want = brute_admit([(r[2], r[1], r[3], r[4]) for r in rows if r[0] == acct], 3.0, 3, 0.5032)
@@ -127,7 +133,7 @@ def test_admission_matches_one_by_one_replay(spark, mean):
 def test_account_report(spark):
     df = spark.createDataFrame([("a", "m1", 0, 5, 0.2, "TAKE_PROFIT", True), ("a", "m2", 1, 4, -0.1, "STOP_LOSS", True), ("a", "m3", 2, 9, 1.0, "TIMEOUT", False)],
                                "account string, mint string, entry_us long, exit_us long, pnl_sol double, exit_reason string, accepted boolean")
-    r = AD.account_report(df, ["account"], 3.0, 2).first()
+    r = AD.account_report(df, ["account"], 3.0).first()
     assert (r["replayable"], r["accepted_trades"], r["take_profits"], r["stop_losses"], r["timeouts"]) == (3, 2, 1, 1, 0)
     assert r["ending_bankroll_sol"] == pytest.approx(3.1) and r["max_drawdown_sol"] == pytest.approx(0.1) and r["largest_profit_share"] == pytest.approx(2.0)
 
@@ -264,7 +270,7 @@ def test_size_replay_equals_the_step_by_step_pool(spark):
     got_tokens = base * eff / (quote + eff)
     trades = spark.createDataFrame([("x", "p", 0, 1_000, 250, 0.0, base - got_tokens, quote + eff, got_tokens, size)],
                                    "id string, pool string, entry_s long, exit_s long, external_swaps long, pnl_sol double, base double, quote double, tokens double, size_sol double")
-    for r in R.replay_sizes(trades, sdf, [0.25, 2.0], fee, 0.0032, 7, block=16).collect():
+    for r in R.replay_sizes(trades, sdf, [0.25, 2.0], fee, 0.0032, block=16).collect():
         b, q = base, quote
         e = r["sweep_size"] * (1 - fee)
         mine = b * e / (q + e)
@@ -325,7 +331,7 @@ def test_sources(spark, tmp_path):
 def test_gaps_invalidate_open_trades(spark):
     t = spark.createDataFrame([("a", 10, 20), ("b", 21, 30), ("c", 25, 25)], "id string, entry_ms long, exit_ms long")
     g = spark.createDataFrame([(20,), (25,)], "gap_ms long")
-    got = {r["id"]: r["invalidated"] for r in R.invalidate_gaps(t, g, 7).collect()}
+    got = {r["id"]: r["invalidated"] for r in R.invalidate_gaps(t, g).collect()}
     assert got == {"a": False, "b": True, "c": False}
 
 
@@ -338,16 +344,38 @@ def test_reconciliation_refuses_open_positions(spark):
     L.require_closed(e, x, spark.createDataFrame([("2",)], "id string"))
 
 
-def test_value_cells_split_a_narrow_range(spark):
-    from tapelab.operators import scan
+def test_cells_hold_equal_numbers_of_rows(spark):
+    """Nine tenths of the rows in one second of one key."""
+    rng = random.Random(6)
+    rows = [("hot", 5_000_000 + rng.randrange(1_000_000)) for _ in range(9_000)] + [("hot", rng.randrange(10**9)) for _ in range(900)] + [("cold", i) for i in range(30)]
+    df = spark.createDataFrame(rows, "k string, t long")
+    cells = S.equal_cells(df, ["k"], F.col("t"), 200)
+    got = {(r["k"], r["c"]): (r["n"], r["lo"], r["hi"]) for r in cells.number(df, F.col("t"), "c").groupBy("k", "c").agg(
+        F.count(F.lit(1)).alias("n"), F.min("t").alias("lo"), F.max("t").alias("hi")).collect()}
+    hot = sorted((c, *v) for (k, c), v in got.items() if k == "hot")
+    assert len(hot) >= 45 and max(n for _, n, *_ in hot) <= 300 and all(x[3] < y[2] for x, y in zip(hot, hot[1:]))
+    assert [v[0] for (k, _), v in got.items() if k == "cold"] == [30]
+    assert S.equal_cells(df, ["k"], F.col("t"), 10**6).cuts is None
+
 
+def test_quantiles_of_many_values(spark):
     rows = spark.range(5_000).select(F.lit("k").alias("k"), (0.010 + F.col("id") / 5e6).alias("v"))
-    cells = scan.with_value_cell(rows, "v", "c").groupBy("c").count().collect()
-    assert len(cells) > 50 and max(r["count"] for r in cells) < 300
-    got = scan.quantiles_of(rows, ["k"], {"a": (F.col("v"), {"q1": 0.25, "q2": 0.5}), "b": (-F.col("v"), {"n2": 0.5}), "c": (F.lit(None).cast("double"), {"none": 0.5})}).first()
+    got = S.quantiles_of(rows, ["k"], {"a": (F.col("v"), {"q1": 0.25, "q2": 0.5}), "b": (-F.col("v"), {"n2": 0.5}), "c": (F.lit(None).cast("double"), {"none": 0.5})}).first()
     assert abs(got["q1"] - (0.010 + 0.25 * 4999 / 5e6)) < 1e-12 and abs(got["q2"] + got["n2"]) < 1e-12 and got["none"] is None
 
 
+@pytest.mark.parametrize("keys", [["k"], []])
+def test_brackets_find_exact_ranks(spark, keys):
+    rng = random.Random(8)
+    rows = [(rng.choice("aab"), rng.choice([rng.gauss(0, 1), float(rng.randrange(5)), rng.random() * 1e-9])) for _ in range(3_000)] + [("few", 1.0), ("few", 4.0)]
+    probs = {f"p{i}": i / 16 for i in range(17)}
+    out = S.exact_quantiles(spark.createDataFrame(rows, "k string, v double"), keys, F.col("v"), probs, most=7).collect()
+    assert len(out) == (3 if keys else 1)
+    for r in out:
+        v = [x for k, x in rows if not keys or k == r["k"]]
+        assert [r[n] for n in probs] == list(np.quantile(v, list(probs.values()), method="linear")) or [r[n] for n in probs] == pytest.approx(list(np.quantile(v, list(probs.values()))), abs=1e-15)
+
+
 def test_dropped_events_stop_at_the_decision_and_decide_nothing(spark):
     from tapelab.operators import pools, signals
 
