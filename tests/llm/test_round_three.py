@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import types as T
 
-from tapelab.llm import prefix_trie, simhash, spelling
+from tapelab.llm import chat, prefix_trie, simhash, spelling
 from tests.llm.fixtures import DOCS, messy, messy_rows, with_clashes, words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -272,3 +272,14 @@ def test_subtree_sums(spark, kind):
 
 def test_sums_of_no_tree(spark):
     assert prefix_trie.subtree_sums(spark.createDataFrame([], "key long, parent long, a long"), ["a"]).count() == 0
+
+
+# ---- chat ids -------------------------------------------------------------------------------------------------------
+def test_chat_keeps_large_ids_beside_null(spark):
+    ids = [2**60 + 1, 2**60 + 3, None, -5]
+    rows = [(c, t, ("user", "assistant")[t % 2], f"text {c} {t} <#\\\\") for c in ids for t in range(3)]
+    got = chat.digests(chat.read_back(chat.segments(spark.createDataFrame(rows, CONVERSATIONS).coalesce(1)))).collect()
+    told = lambda c: "".join(f"{r}\n{x}\n" for k, _, r, x in rows if k == c)
+    assert {r.conv_id: r.turns_sha256 for r in got} == {c: hashlib.sha256(told(c).encode()).hexdigest() for c in ids}
+    assert {r.conv_id: r.loss_sha256 for r in got} == {c: hashlib.sha256(f"text {c} 1 <#\\\\".encode()).hexdigest() for c in ids}
+    assert chat.digests(chat.read_back(chat.segments(spark.createDataFrame([], CONVERSATIONS)))).count() == 0
