@@ -20,8 +20,8 @@ LATIN = 0x250
 SPACE, LETTER, DIGIT, OTHER, ODD = 0, 1, 2, 3, 4
 CHUNK_CHARS = 1 << 18
 #: Pieces kept per worker process; beyond it the store starts anew, which changes no result.
-KEPT_PIECES = 400_000
-SLOT_BITS = 20
+KEPT_PIECES = 1_000_000
+SLOT_BITS = 21
 
 
 def _classes() -> np.ndarray:
@@ -51,7 +51,7 @@ class Encoder:
 
     def _forget(self) -> None:
         self.keys, self.values, self.n = np.zeros(1 << SLOT_BITS, U), np.zeros(1 << SLOT_BITS, np.int32), 0
-        self.at, self.count = np.zeros(KEPT_PIECES * 2, np.int64), np.zeros(KEPT_PIECES * 2, np.int64)
+        self.at, self.count = np.zeros(KEPT_PIECES, np.int32), np.zeros(KEPT_PIECES, np.int32)
         self.ids, self.used = np.zeros(1 << 20, np.uint32), 0
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
