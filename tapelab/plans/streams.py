@@ -153,9 +153,24 @@ def stream_scores(spark, d):
     model = M.fit_entry_model(frame.where(F.col("split") == "train"), M.OWNERSHIP)
     w = work_dir(spark)
     fired = J.gate_once(curve_rows(events_stream(spark, d)), GATE, A.HOUR_MS, "1 hour")
-    scored = J.health_counters(J.score_stream(fired, frame, model, 0.0))
-    J.run_to_files(scored.select("mint", "receivedAtMs", "decision", "score"), f"{w}/out", f"{w}/ckpt")
-    return spark.read.parquet(f"{w}/out")
+    scored = J.score_stream(fired, frame, model, 0.0)
+    J.run_batches(scored.select("mint", "receivedAtMs", "decision", "score", "passed"), J.counted_sink(f"{w}/out", f"{w}/health", J.health_counters()), f"{w}/ckpt")
+    return spark.read.parquet(f"{w}/out").select("mint", "receivedAtMs", "decision", "score")
+
+
+HEALTH_FILES = 4
+
+
+@query("stream_health", f"""WITH {_SEV} SELECT {HEALTH_FILES}::BIGINT AS batches, count(*) AS received, count(*) FILTER (WHERE isBuy) AS passes FROM sev""")
+def stream_health(spark, d):
+    """Counters per batch of a stream over several files, one file a batch, summed over the stored table of counters."""
+    w = work_dir(spark)
+    A.table(spark, d, "events").repartition(HEALTH_FILES).write.parquet(f"{w}/in")
+    files = J.file_stream(spark, f"{w}/in", spark.read.parquet(f"{w}/in").schema, "parquet", max_files=1)
+    rows = curve_rows(files).select("mint", "receivedAtMs", F.col("isBuy").alias("passed"))
+    J.run_batches(rows, J.counted_sink(f"{w}/out", f"{w}/health", J.health_counters()), f"{w}/ckpt")
+    kept = J.read_counters(spark, f"{w}/health", list(J.health_counters()))
+    return kept.agg(F.count(F.lit(1)).alias("batches"), F.sum("received").alias("received"), F.sum("passes").alias("passes"))
 
 
 ACCOUNTS = [{"account": "base-670ms", "delay_ms": 670 * 3_600}, {"account": "shadow-1170ms", "delay_ms": 1_170 * 3_600}]

@@ -9,7 +9,7 @@ from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tapelab.functions.gates import BaseGate
@@ -96,9 +96,30 @@ def stream_bars(trades: DataFrame, width: str, delay: str) -> DataFrame:
         .select("mint", F.col("window.start").alias("bucket"), "buys", "sells", "buy_sol", "sell_sol", "mc_open", "mc_close", "mc_high", "mc_low"))
 
 
-def health_counters(stream: DataFrame, name: str = "health") -> DataFrame:
-    """Counts observed per micro-batch; readable from the query progress without a second pass."""
-    return stream.observe(name, F.count(F.lit(1)).alias("received"), F.count(F.when(F.col("passed"), 1)).alias("passes"))
+def health_counters() -> dict[str, Column]:
+    """What every batch of a scored stream reports: rows received, rows that passed."""
+    return {"received": F.count(F.lit(1)), "passes": F.count(F.when(F.col("passed"), 1))}
+
+
+def counted_sink(target: str, counters: str, metrics: dict[str, Column]) -> Callable[[DataFrame, int], None]:
+    """foreachBatch handler that writes each batch's rows to ``target`` and one row of counters to ``counters``, in one pass over the batch.
+
+    Batches own one folder each in both tables and overwrite only that, so the counters of a batch that is run again stand once. Read
+    them with ``read_counters``, also while the stream runs.
+    """
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        seen = Observation()
+        batch.observe(seen, *[c.alias(n) for n, c in metrics.items()]).write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+        row = tuple(int(seen.get[n]) for n in metrics)
+        schema = ", ".join(f"{n} long" for n in metrics)
+        batch.sparkSession.createDataFrame([row], schema).coalesce(1).write.mode("overwrite").parquet(f"{counters}/batch_id={batch_id}")
+    return handle
+
+
+def read_counters(spark: SparkSession, counters: str, metrics: list[str]) -> DataFrame:
+    """batch_id and the metrics of every batch so far; no row before the first."""
+    schema = T.StructType([*[T.StructField(n, T.LongType()) for n in metrics], T.StructField("batch_id", T.LongType())])
+    return spark.read.schema(schema).parquet(counters) if path_exists(spark, counters) else spark.createDataFrame([], schema)
 
 
 # ---- keyed trailing features, fired once per mint ----------------------------------------------------------------

@@ -53,3 +53,15 @@ def test_gate_fires_once_across_files(spark, tmp_path):
     # 8 500 ms is the first event with three buys inside two seconds and at least one SOL bought inside five.
     assert (r["receivedAtMs"] - T0, r["buys_2s"], round(r["buy_sol_5s"], 6)) == (8_500, 3, 1.2)
     assert r["return_5s"] == 53.0 / 51.0 - 1
+
+
+def test_counters_of_a_batch_stand_once(spark, tmp_path):
+    rows = spark.createDataFrame([("a", True), ("b", False), ("c", True)], "mint string, passed boolean")
+    handle = J.counted_sink(str(tmp_path / "out"), str(tmp_path / "health"), J.health_counters())
+    names = list(J.health_counters())
+    assert J.read_counters(spark, str(tmp_path / "health"), names).count() == 0
+    for batch, batch_id in ((rows, 0), (rows.limit(0), 1), (rows, 0), (rows.where("passed"), 2)):
+        handle(batch, batch_id)
+    got = sorted((r["batch_id"], r["received"], r["passes"]) for r in J.read_counters(spark, str(tmp_path / "health"), names).collect())
+    assert got == [(0, 3, 2), (1, 0, 0), (2, 2, 2)]
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 5
