@@ -122,11 +122,11 @@ def compress(alive: DataFrame, values: list[str], up: list[str]) -> tuple[DataFr
     children = alive.where(F.col("parent").isNotNull()).groupBy(F.col("parent").alias("key")).agg(
         F.count(F.lit(1)).alias("kids"), F.first("key").alias("end"), *[F.first(u).alias(f"child_{u}") for u in up])
     hops = stage(alive.where(F.col("parent").isNotNull()).join(children.where("kids = 1"), "key").select(
-        "key", "parent", "end", *[(F.col(v) + F.col(f"child_{u}")).alias(v) for v, u in zip(values, up)]), "hops")
+        "key", "parent", "end", *[(F.col(v) + F.col(f"child_{u}")).alias(v) for v, u in zip(values, up)], *up), "hops")
     if hops.isEmpty():
         return alive, None
     inner = hops.select("key")
-    jump = stage(hops.drop("parent").join(inner.select(F.col("key").alias("end"), F.lit(True).alias("open")), "end", "left")
+    jump = stage(hops.drop("parent", *up).join(inner.select(F.col("key").alias("end"), F.lit(True).alias("open")), "end", "left")
                  .select("key", "end", *values, F.coalesce("open", F.lit(False)).alias("open")), "jump")
     while not jump.where("open").isEmpty():  # twice as far each time; rows at the end of their chain are not joined again
         far = jump.select(F.col("key").alias("end"), F.col("end").alias("far"), *[F.col(v).alias(f"far_{v}") for v in values], F.col("open").alias("on"))
@@ -134,11 +134,11 @@ def compress(alive: DataFrame, values: list[str], up: list[str]) -> tuple[DataFr
             "key", F.col("far").alias("end"), *[(F.col(v) + F.col(f"far_{v}")).alias(v) for v in values], F.col("on").alias("open"))
         jump = stage(further.unionByName(jump.where("NOT open")), "jump")
     chain = jump.drop("open")
-    # A chain's first node has a parent outside of chains; its last child takes that parent and what the chain holds.
-    heads = hops.select("key", "parent").join(inner.withColumnRenamed("key", "parent"), "parent", "left_anti").join(chain, "key").select(
-        F.col("end").alias("key"), F.col("parent").alias("above"), *[F.col(v).alias(f"more_{v}") for v in values])
+    # A chain's first node has a parent outside of chains; the chain's end takes that parent, and all that the chain and the link above it hold.
+    heads = hops.select("key", "parent", *up).join(inner.withColumnRenamed("key", "parent"), "parent", "left_anti").join(chain, "key").select(
+        F.col("end").alias("key"), F.col("parent").alias("above"), *[(F.col(v) + F.col(u)).alias(f"more_{v}") for v, u in zip(values, up)])
     left = alive.join(inner, "key", "left_anti").join(heads, "key", "left").select(
-        "key", F.coalesce("above", "parent").alias("parent"), *values, *[(F.col(u) + F.coalesce(f"more_{v}", F.lit(0))).alias(u) for v, u in zip(values, up)])
+        "key", F.coalesce("above", "parent").alias("parent"), *values, *[F.coalesce(f"more_{v}", u).alias(u) for v, u in zip(values, up)])
     return stage(left, "alive"), chain
 
 
