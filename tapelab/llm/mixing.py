@@ -85,13 +85,12 @@ def apportion(df: DataFrame, value: str, seats: Column, name: str, within: list[
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS,
         share: float = SHARE, repeats: float = REPEATS, seed: str = SEED, block_words: int = BLOCK_WORDS,
-        rows_per_shard: int = ROWS_PER_SHARD, shard_groups: int = SHARD_GROUPS, payload: tuple[str, ...] = (), own_shards: bool = True) -> DataFrame:
+        rows_per_shard: int = ROWS_PER_SHARD, shard_groups: int = SHARD_GROUPS, payload: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of ``df``: id, size, source_size, target, taken, and ``rounds``, ``spans`` that say which words are taken:
     all words ``rounds`` times, and once more those in ``spans`` (two [from, to) ranges, empty ones included).
 
     ``payload`` columns are carried along as struct ``payload``. Null and empty texts have size 0 and give nothing. Repeated rows count
-    each. An empty table gives an empty result. A source has one shard per ``rows_per_shard`` of its own rows with words; without
-    ``own_shards``, as in the registered query's SQL, every source is spread over one shard per ``rows_per_shard`` rows of the table.
+    each. An empty table gives an empty result. A source has one shard per ``rows_per_shard`` of its own rows with words.
     """
     carried = F.struct(*[F.col(f"`{c}`") for c in payload]) if payload else F.lit(None).cast("string")
     rows = stage(df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), source_key(F.col(source_col)).alias("key"),
@@ -101,7 +100,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     rows = rows.withColumn("slot", F.pmod(F.conv(F.substring("draw", 1, 8), 16, 10).cast("long"), F.lit(slots)))
     # A shard is a run of slots; a source's rows in one slot are few, so rows find their shard by (key, slot) and no source meets in one task.
     fine = stage(rows.groupBy("key", "source", "slot").agg(F.sum("size").alias("words"), F.sum((F.col("size") > 0).cast("long")).alias("rows")), "mix-slots")
-    shards = F.greatest(F.lit(1), F.least(F.lit(slots), F.ceil(F.col("rows") / rows_per_shard))) if own_shards else F.lit(slots)
+    shards = F.greatest(F.lit(1), F.least(F.lit(slots), F.ceil(F.col("rows") / rows_per_shard)))
     shards = fine.groupBy("key").agg(F.sum("rows").alias("rows")).select("key", shards.cast("long").alias("shards"))
     fine = stage(fine.join(shards, "key").withColumn("shard", F.floor(F.col("slot") * F.col("shards") / slots)), "mix-places")
     cells = stage(fine.groupBy("key", "source", "shard").agg(F.sum("words").alias("words")), "mix-cells")
@@ -157,7 +156,7 @@ def mixed_documents(df: DataFrame, text_col: str = "text", length_col: str | Non
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents"), own_shards=False).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 SQL = r"""
@@ -165,8 +164,12 @@ WITH RECURSIVE rows AS (
   SELECT doc_id, source, CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS key,
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size, md5('mix-1:' || coalesce(doc_id::VARCHAR, '')) AS draw
   FROM documents),
+-- a source has one shard per 4000 of its own rows with words; a shard is a run of the table's slots
+slots AS (SELECT greatest(1, ceil(count(*) / 4000.0)::BIGINT) AS slots FROM rows),
+shards AS (SELECT key, greatest(1, ceil(count(*) FILTER (WHERE size > 0) / 4000.0)::BIGINT) AS shards FROM rows GROUP BY key),
 dealt AS (
-  SELECT *, ('0x' || substr(draw, 1, 8))::BIGINT % greatest(1, (SELECT ceil(count(*) / 4000.0)::BIGINT FROM rows)) AS shard FROM rows),
+  SELECT rows.*, ('0x' || substr(draw, 1, 8))::BIGINT % slots * shards // slots AS shard, ('0x' || substr(draw, 1, 8))::BIGINT % slots AS slot
+  FROM rows JOIN shards ON rows.key = shards.key CROSS JOIN slots),
 sizes AS (SELECT key, any_value(source) AS source, sum(size)::BIGINT AS source_size FROM dealt GROUP BY key),
 weighed AS (
   SELECT *, [3, 1, 2][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::BIGINT] AS weight,
@@ -193,12 +196,25 @@ quota AS (
   SELECT key, count(*) AS quota FROM (SELECT key, row_number() OVER (ORDER BY q DESC, rank) AS n FROM seats)
   WHERE n <= (SELECT round(sum(target) / 16)::BIGINT FROM aimed) GROUP BY key),
 cells AS (SELECT key, shard, sum(size)::BIGINT AS words FROM dealt GROUP BY key, shard),
+-- quotas of a source go to 1024 groups of its shards, then to the shards of a group
+groups AS (
+  SELECT key, shard % 1024 AS grp, sum(words)::BIGINT AS words, sum(sum(words)) OVER (PARTITION BY key)::BIGINT AS total, count(*) OVER (PARTITION BY key) AS n
+  FROM cells GROUP BY key, shard % 1024),
+group_seats AS (
+  SELECT key, grp, quota, words / (2 * j + 1) AS q FROM groups JOIN quota USING (key), range(0, (SELECT max(quota) + 1 FROM quota)) t(j)
+  WHERE words > 0 AND j <= 2 + (quota + n) * (words / total)),
+group_quota AS (
+  SELECT key, grp, count(*) AS quota FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY q DESC, grp) AS place FROM group_seats)
+  WHERE place <= quota GROUP BY key, grp),
+members AS (
+  SELECT key, shard, shard % 1024 AS grp, words, sum(words) OVER (PARTITION BY key, shard % 1024)::BIGINT AS total,
+         count(*) OVER (PARTITION BY key, shard % 1024) AS n FROM cells),
 shard_seats AS (
-  SELECT key, shard, quota, words / (2 * j + 1) AS q FROM cells JOIN quota USING (key), range(0, (SELECT max(quota) + 1 FROM quota)) t(j)
-  WHERE words > 0 AND j <= quota),
+  SELECT key, grp, shard, quota, words / (2 * j + 1) AS q FROM members JOIN group_quota USING (key, grp), range(0, (SELECT max(quota) + 1 FROM group_quota)) t(j)
+  WHERE words > 0 AND j <= 2 + (quota + n) * (words / total)),
 shard_quota AS (
   SELECT key, shard, count(*) AS blocks_taken
-  FROM (SELECT key, shard, quota, row_number() OVER (PARTITION BY key ORDER BY q DESC, shard) AS n FROM shard_seats) WHERE n <= quota
+  FROM (SELECT *, row_number() OVER (PARTITION BY key, grp ORDER BY q DESC, shard) AS place FROM shard_seats) WHERE place <= quota
   GROUP BY key, shard),
 plan AS (
   SELECT key, shard, words, ceil(words / 16.0)::BIGINT AS blocks, least(coalesce(blocks_taken, 0), 2 * ceil(words / 16.0)::BIGINT) AS b
@@ -208,7 +224,7 @@ run AS (
          CASE WHEN blocks > 0 THEN ('0x' || substr(md5('mix-1:' || key || ':' || shard::VARCHAR), 1, 8))::BIGINT % blocks ELSE 0 END AS first
   FROM plan),
 placed AS (
-  SELECT dealt.*, sum(size) OVER (PARTITION BY key, shard ORDER BY draw, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) - size AS b0 FROM dealt),
+  SELECT dealt.*, sum(size) OVER (PARTITION BY key, shard, CASE WHEN size = 0 THEN slot END ORDER BY draw, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) - size AS b0 FROM dealt),
 spanned AS (
   SELECT p.*, r.*, greatest(0, least(b0 + size, 16 * greatest(0, first + more - blocks)) - b0)
          + greatest(0, least(b0 + size, 16 * least(first + more, blocks)) - greatest(b0, 16 * first)) AS part

@@ -159,11 +159,37 @@ def test_small_sources_reach_their_targets(spark):
     assert all(r.taken == 0 for r in got if r.size == 0)
 
 
-def test_registered_mix_keeps_the_shards_of_its_sql(spark, tmp_path):
+def test_registered_mix_equals_its_sql(spark, tmp_path):
     rng = random.Random(4)
     rows = [(i, "w " * rng.randrange(1, 9), "en", rng.choice(["a", "b", "b", "b", None]), 1) for i in range(9000)]
+    rows += [(9000 + i, "five words are in it", "en", "small", 1) for i in range(60)] + [(9100, None, "en", "small", 1), (9101, "", None, None, None)]
     messy(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
-    want = sorted((i, taken) for i, _, _, _, taken in con.execute(mixing.SQL).fetchall())
-    assert sorted((r.doc_id, r.taken) for r in mixing.query(spark, str(tmp_path)).collect()) == want
+    want = sorted(con.execute(f"SELECT doc_id, size, source_size, target, taken FROM ({mixing.SQL})").fetchall())
+    got = mixing.query(spark, str(tmp_path)).select("doc_id", "size", "source_size", "target", "taken").collect()
+    assert sorted(map(tuple, got)) == want
+
+
+def test_groups_of_shards_equal_the_sql(spark, tmp_path):
+    """Two shard groups and shards of 100 rows, in the query and in the text of its SQL."""
+    rng = random.Random(8)
+    rows = [(i, "w " * rng.randrange(0, 60), "en", rng.choice(["a", "b", "b", "b", None]), 1) for i in range(3000)]
+    rows += [(3000 + i, "five words are in it", "en", "small", 1) for i in range(60)]
+    messy(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    sql = mixing.SQL.replace("% 1024", "% 2").replace("4000.0", "100.0")
+    want = sorted((i, taken) for i, taken in con.execute(f"SELECT doc_id, taken FROM ({sql})").fetchall())
+    out = mixing.mix(spark.read.parquet(str(tmp_path / "documents.parquet")), rows_per_shard=100, shard_groups=2).collect()
+    assert sorted((r.doc_id, r.taken) for r in out) == want
+
+
+def test_small_source_reaches_its_target(spark):
+    """60 texts of 5 words beside 6,000 long ones in 61 shards of the table."""
+    rows = [(i, "five words are in it", "en", "small", 1) for i in range(60)]
+    rows += [(100 + i, "w " * 40, "en", "big", 1) for i in range(6000)]
+    got = mixing.mix(messy(spark, rows), rows_per_shard=100)
+    per = {r.size: (r.target, r.taken) for r in got.groupBy("size").agg(F.first("target").alias("target"), F.sum("taken").alias("taken")).collect()}
+    for target, taken in per.values():
+        assert abs(taken - target) <= 0.03 * target
