@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tapelab.functions import bar_amm as B, curve_amm as K, pool_amm as P
 from tapelab.functions.exprs import count_if, literal_rows
 from tapelab.functions.gates import DumpGuard
+from tapelab.operators.admission import admit
 from tapelab.operators.asof import asof_backward, asof_forward, interval_join, salted_join
 from tapelab.operators.outcomes import STOP_CURVE
 from tapelab.operators.pools import flow_totals, running_drawdown
@@ -327,7 +328,32 @@ def curve_paper(passes: DataFrame, events: DataFrame, accounts: list[dict], size
     return out.select("mint", "account", "ready_ms", "entry_ms", "entry_seq",
                       F.when(own, F.col("trigger_ms")).otherwise(F.col("last.receivedAtMs")).alias("exit_ms"),
                       F.col("trigger_reason").alias("exit_reason"), "pnl_sol", (F.lit(100.0) * F.col("pnl_sol") / basis).alias("return_pct"),
-                      F.col("buy.fill_mcap_sol").alias("entry_mcap_sol"))
+                      F.col("buy.fill_mcap_sol").alias("entry_mcap_sol"), F.col("trigger_ms").alias("closed_ms"))
+
+
+def curve_accounts(fills: DataFrame, gaps: DataFrame, capital: float = 3.0, max_open: int = 3, required: float = 0.5032) -> DataFrame:
+    """What the accounts make of curve fills: ``fills`` with status, gap_ms and end_ms; pnl_sol is that of the account.
+
+    DROPPED_BY_GAP: the order waited when the feed broke (ready <= gap < entry). SKIP_CAPACITY: slots or cash were short at landing.
+    INVALIDATED: the position was open when the feed broke (entry <= gap < close); its stake comes back and its slot is free from the gap
+    on. CLOSED: all others. A timer frees the slot when it fires, not at the last event seen. ``gaps``: gap_ms.
+    """
+    fills = fills.withColumn("__ready", F.col("ready_ms"))
+    waited = invalidate_gaps(fills, gaps, "__ready", "entry_ms").withColumnsRenamed({"invalidated": "dropped", "gap_ms": "drop_ms"})
+    marked = cut_lineage(invalidate_gaps(waited, gaps, "entry_ms", "closed_ms").drop("__ready"))
+    end = F.when(F.col("invalidated"), F.col("gap_ms")).otherwise(F.col("closed_ms"))
+    orders = marked.where(~F.col("dropped")).select(
+        "account", "mint", (F.col("entry_ms") * 1000).alias("entry_us"), (end * 1000).alias("exit_us"),
+        F.when(F.col("invalidated"), 0.0).otherwise(F.col("pnl_sol")).alias("pnl_sol"))
+    taken = admit(orders, ["account"], capital, max_open, required).select("account", "mint", "accepted")
+    out = marked.join(taken, ["account", "mint"], "left")
+    status = (F.when(F.col("dropped"), "DROPPED_BY_GAP").when(~F.col("accepted"), "SKIP_CAPACITY").when(F.col("invalidated"), "INVALIDATED")
+              .otherwise("CLOSED"))
+    out = out.withColumn("status", status).withColumns({
+        "end_ms": F.when(F.col("status").isin("INVALIDATED", "CLOSED"), end),
+        "gap_ms": F.when(F.col("dropped"), F.col("drop_ms")).when(F.col("status") == "INVALIDATED", F.col("gap_ms")),
+        "pnl_sol": F.when(F.col("status") == "CLOSED", F.col("pnl_sol")).when(F.col("status") == "INVALIDATED", 0.0)})
+    return out.drop("dropped", "drop_ms", "invalidated", "accepted")
 
 
 # ---- size sweep ------------------------------------------------------------------------------------------------

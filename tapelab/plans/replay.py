@@ -416,7 +416,7 @@ _C_RAW = "CAST((CAST(f.tokens AS HUGEINT) * (s.vSol + f.internal)) // s.vTok AS
 _C_PNL = f"(({_C_RAW} - {S.ceil_fee(_C_RAW, 's.feeBps')} - {S.ceil_fee(_C_RAW, 's.creatorBps')}) / 1e9 - 0.5 - 0.0064)"
 
 
-@query("curve_fills", f"""WITH {PQ.LIVE}, passes AS (
+_CURVE = f"""{PQ.LIVE}, passes AS (
   SELECT mint, arg_min(receivedAtMs, struct_pack(a := receivedAtMs, b := receivedSequence)) AS ready_ms FROM live_features WHERE {LIVE_GATE_SQL} GROUP BY mint
 ), want AS (SELECT * FROM passes, (VALUES ('base-670ms', {670 * 3_600}), ('shadow-1170ms', {1_170 * 3_600})) v(account, delay_ms)),
 land AS (
@@ -429,7 +429,10 @@ land AS (
     AND s.receivedAtMs <= f.entry_ms + {CURVE_PLAN.timeout_ms} AND (s.receivedAtMs, s.receivedSequence) >= (f.entry_ms, f.entry_seq)
 ), trig AS (SELECT w.mint, w.account, min(struct_pack(ms := ms, seq := seq, pnl := pnl)) AS x FROM walk w JOIN land f USING (mint, account)
   WHERE w.seq <> f.entry_seq AND (pnl / 0.5032 >= 0.01 OR pnl / 0.5032 <= -0.05) GROUP BY ALL),
-lastw AS (SELECT mint, account, max(struct_pack(ms := ms, seq := seq, pnl := pnl)) AS y FROM walk GROUP BY ALL)
+lastw AS (SELECT mint, account, max(struct_pack(ms := ms, seq := seq, pnl := pnl)) AS y FROM walk GROUP BY ALL)"""
+
+
+@query("curve_fills", f"""WITH {_CURVE}
 SELECT f.mint, f.account, f.ready_ms, f.entry_ms, f.entry_seq, coalesce(x.ms, y.ms) AS exit_ms,
   CASE WHEN x.pnl / 0.5032 >= 0.01 THEN 'TAKE_PROFIT' WHEN x.pnl / 0.5032 <= -0.05 THEN 'STOP_LOSS' ELSE 'TIMEOUT' END AS exit_reason,
   {r('coalesce(x.pnl, y.pnl)', 'pnl_sol')}, {r('100 * coalesce(x.pnl, y.pnl) / 0.5032', 'return_pct')}
@@ -438,3 +441,52 @@ def curve_fills(spark, d):
     ev = cut_lineage(PQ.live_curve(spark, d))
     out = R.curve_paper(cut_lineage(live_passes(spark, d, ev)), ev, CURVE_ACCOUNTS, 0.5, COST, CURVE_PLAN)
     return out.select("mint", "account", "ready_ms", "entry_ms", "entry_seq", "exit_ms", "exit_reason", r6("pnl_sol").alias("pnl_sol"), r6("return_pct").alias("return_pct"))
+
+
+_OUTAGE = 197
+_ACCOUNTED = f"""{_CURVE}, fills AS (
+  SELECT f.mint, f.account, f.ready_ms, f.entry_ms, coalesce(x.ms, f.entry_ms + {CURVE_PLAN.timeout_ms}) AS closed_ms, coalesce(x.pnl, y.pnl) AS pnl,
+    CASE WHEN x.pnl / 0.5032 >= 0.01 THEN 'TAKE_PROFIT' WHEN x.pnl / 0.5032 <= -0.05 THEN 'STOP_LOSS' ELSE 'TIMEOUT' END AS exit_reason
+  FROM land f LEFT JOIN trig USING (mint, account) JOIN lastw USING (mint, account)
+), outages AS (SELECT DISTINCT receivedAtMs AS gap_ms FROM live WHERE receivedSequence % {_OUTAGE} = 0
+), waited AS (
+  SELECT f.mint, f.account, min(o.gap_ms) FILTER (WHERE o.gap_ms < f.entry_ms) AS lost_ms, min(o.gap_ms) FILTER (WHERE o.gap_ms >= f.entry_ms) AS hit_ms
+  FROM fills f JOIN outages o ON o.gap_ms >= f.ready_ms AND o.gap_ms < f.closed_ms GROUP BY ALL
+), marked AS (SELECT f.*, lost_ms, hit_ms FROM fills f LEFT JOIN waited USING (mint, account)
+), orders AS (
+  SELECT mint, account, entry_ms * 1000 AS entry_us, coalesce(hit_ms, closed_ms) * 1000 AS exit_us, CASE WHEN hit_ms IS NULL THEN pnl ELSE 0 END AS pnl_sol,
+    CASE WHEN hit_ms IS NULL THEN exit_reason ELSE 'INVALIDATED' END AS exit_reason
+  FROM marked WHERE lost_ms IS NULL)""" + admit_ctes("orders", ["account"], 3.0, 3, "0.5032::DOUBLE") + """, accounted AS (
+  SELECT m.*, CASE WHEN lost_ms IS NOT NULL THEN 'DROPPED_BY_GAP' WHEN NOT a.accepted THEN 'SKIP_CAPACITY' WHEN hit_ms IS NOT NULL THEN 'INVALIDATED' ELSE 'CLOSED' END AS status
+  FROM marked m LEFT JOIN admitted a ON a.mint = m.mint AND a.account = m.account)"""
+
+
+def accounted(spark, d):
+    """Curve fills as the accounts take them; outages are moments drawn from the event sequence."""
+    ev = cut_lineage(PQ.live_curve(spark, d))
+    fills = R.curve_paper(cut_lineage(live_passes(spark, d, ev)), ev, CURVE_ACCOUNTS, 0.5, COST, CURVE_PLAN)
+    gaps = ev.where(F.col("receivedSequence") % _OUTAGE == 0).select(F.col("receivedAtMs").alias("gap_ms")).distinct()
+    return R.curve_accounts(cut_lineage(fills), gaps)
+
+
+@query("curve_account_trades", f"""WITH RECURSIVE {_ACCOUNTED} SELECT mint, account, status, entry_ms, exit_reason, coalesce(lost_ms, CASE WHEN status = 'INVALIDATED' THEN hit_ms END) AS gap_ms,
+  CASE status WHEN 'INVALIDATED' THEN hit_ms WHEN 'CLOSED' THEN closed_ms END AS end_ms,
+  {r("CASE status WHEN 'INVALIDATED' THEN 0 WHEN 'CLOSED' THEN pnl END", 'pnl_sol')} FROM accounted""")
+def curve_account_trades(spark, d):
+    return accounted(spark, d).select("mint", "account", "status", "entry_ms", "exit_reason", "gap_ms", "end_ms", r6("pnl_sol").alias("pnl_sol"))
+
+
+_C_STATUS = {"closed": "CLOSED", "invalidated": "INVALIDATED", "skipped_capacity": "SKIP_CAPACITY", "dropped_by_gap": "DROPPED_BY_GAP"}
+
+
+@query("curve_account_report", f"""WITH RECURSIVE {_ACCOUNTED} {_REPORT.format(k='account', cap=3.0)}, counted AS (
+  SELECT account, {', '.join(f"count(*) FILTER (WHERE status = '{v}') AS {k}" for k, v in _C_STATUS.items())} FROM accounted GROUP BY account)
+SELECT account, {', '.join(_C_STATUS)}, {', '.join(_REP_L)}, {', '.join(r(c, c) for c in _REP_D)} FROM counted JOIN report USING (account)""")
+def curve_account_report(spark, d):
+    done = cut_lineage(accounted(spark, d))
+    counted = done.groupBy("account").agg(*[F.count(F.when(F.col("status") == v, 1)).alias(k) for k, v in _C_STATUS.items()])
+    landed_orders = done.where("status <> 'DROPPED_BY_GAP'")
+    ok = F.col("status").isin("CLOSED", "INVALIDATED")
+    trades = landed_orders.select("account", "mint", (F.col("entry_ms") * 1000).alias("entry_us"), (F.col("end_ms") * 1000).alias("exit_us"), "pnl_sol",
+                                  F.when(F.col("status") == "INVALIDATED", "INVALIDATED").otherwise(F.col("exit_reason")).alias("exit_reason"), ok.alias("accepted"))
+    return report_cols(AD.account_report(trades, ["account"], 3.0), ["account"]).join(counted, "account")

@@ -386,3 +386,39 @@ def test_dropped_events_stop_at_the_decision_and_decide_nothing(spark):
     opening = spark.createDataFrame([("p", 30.0, 0.1, 5, 50, 6)], "pool string, quote_reserve_sol double, largest_opening_swap_sol double, independent_buyers long, opening_swaps long, dropped_events long")
     cfg = {"min_quote_reserve_sol": 29.0, "max_quote_reserve_sol": 31.0, "max_largest_opening_swap_sol": 1.0, "min_independent_buyers": 1, "min_opening_swaps": 2}
     assert signals.select_openings(opening, cfg).first()["decision"] == "QUALIFY"
+
+
+def test_curve_accounts_equal_one_by_one(spark):
+    """Orders of two accounts walked in entry order: dropped at gaps, refused without slots or cash, ended by gaps."""
+    rng = random.Random(12)
+    rows, gaps = [], sorted(rng.sample(range(0, 40_000), 40))
+    for account in ("a", "b"):
+        for i in range(300):
+            ready = rng.randrange(0, 40_000)
+            entry = ready + rng.randrange(0, 300)
+            rows.append((f"m{i:03d}", account, ready, entry, entry + rng.randrange(1, 900), rng.choice([-0.6, -0.3, 0.0, 0.2])))
+    fills = spark.createDataFrame(rows, "mint string, account string, ready_ms long, entry_ms long, closed_ms long, pnl_sol double")
+    got = {(r.account, r.mint): (r.status, r.gap_ms, r.end_ms, r.pnl_sol)
+           for r in R.curve_accounts(fills, spark.createDataFrame([(g,) for g in gaps], "gap_ms long")).collect()}
+    want = {}
+    for account in ("a", "b"):
+        cash, held = 3.0, []
+        for mint, _, ready, entry, close, pnl in sorted((r for r in rows if r[1] == account), key=lambda r: (r[3], r[0])):
+            lost = [g for g in gaps if ready <= g < entry]
+            if lost:
+                want[account, mint] = ("DROPPED_BY_GAP", lost[0], None, None)
+                continue
+            for end, p in [h for h in held if h[0] <= entry]:
+                cash += 0.5032 + p
+            held = [h for h in held if h[0] > entry]
+            if len(held) >= 3 or cash < 0.5032 - 1e-9:
+                want[account, mint] = ("SKIP_CAPACITY", None, None, None)
+                continue
+            hit = [g for g in gaps if entry <= g < close]
+            end, p = (hit[0], 0.0) if hit else (close, pnl)
+            cash -= 0.5032
+            held.append((end, p))
+            want[account, mint] = ("INVALIDATED", hit[0], end, 0.0) if hit else ("CLOSED", None, close, pnl)
+    assert got == want
+    assert {v[0] for v in want.values()} == {"DROPPED_BY_GAP", "SKIP_CAPACITY", "INVALIDATED", "CLOSED"}
+    assert R.curve_accounts(fills.limit(0), spark.createDataFrame([], "gap_ms long")).count() == 0
