@@ -28,7 +28,7 @@ GRIDS = {
 }
 TP, SL, HOLD_H = 0.03, -0.04, 6
 TPS, SLS, HOLDS = (0.005, 0.01, 0.02, 0.04, 0.08), (-0.02, -0.03, -0.05, -0.10), (1, 2, 4, 8, 15)
-TRAIN_D, VALID_D = 16, 4
+TRAIN_D, VALID_D, TOTAL_D = 16, 4, 28
 
 
 def grids(only: str | None = None) -> dict:
@@ -49,9 +49,9 @@ def staged_features(spark, d):
     return cut_lineage(derived_table(spark, d))
 
 
-def split_of(bars):
+def split_of(bars, total_days: int | None = None):
     start = bars.agg(F.min(F.unix_micros("bucket"))).scalar()
-    return V.split_col(F.col("entry_us"), start, TRAIN_D, VALID_D)
+    return V.split_col(F.col("entry_us"), start, TRAIN_D, VALID_D, total_days)
 
 
 def screen_trades(feats, only: str | None = None):
@@ -113,6 +113,19 @@ def labelled_trades(spark, d):
                                                                 "entry_market_cap_sol", "exit_market_cap_sol")])
 
 
+_IN_TIME = f"l.entry_s - {_START} <= {TOTAL_D * 86_400}"
+
+
+@query("rule_screen_bounded", f"""WITH {_TRADES}, in_time AS (SELECT l.* FROM trades l WHERE {_IN_TIME}) {S.metric_ctes("in_time", "config, split")}
+SELECT config, split, {_M_SQL} FROM metrics""")
+def rule_screen_bounded(spark, d):
+    """The screen's own splits: the test ends with the window, and later trades belong to no split."""
+    feats = staged_features(spark, d)
+    trades = screen_trades(feats).drop("split").withColumn("split", split_of(feats, TOTAL_D)).where(F.col("split").isNotNull())
+    metrics = V.trade_metrics(trades, ["config", "split"])
+    return metrics.select("config", "split", *METRIC_LONGS, *[r6(c).alias(c) for c in METRIC_DOUBLES])
+
+
 @query("rule_screen", f"WITH {_METRICS} SELECT config, split, {_M_SQL} FROM metrics")
 def rule_screen(spark, d):
     return screen_metrics(staged_features(spark, d)).select("config", "split", *METRIC_LONGS, *[r6(c).alias(c) for c in METRIC_DOUBLES])
