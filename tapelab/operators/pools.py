@@ -14,25 +14,34 @@ def swap_order() -> list[Column]:
     return [F.col("receivedAtMs"), F.col("receivedSequence")]
 
 
-def opening_window(migrations: DataFrame, swaps: DataFrame, seconds: int) -> DataFrame:
-    """Per migration: what happened in [migration, migration + seconds], at second grain, both ends inclusive.
+ZERO_OPENING = {"opening_swaps": 0, "independent_buyers": 0, "largest_opening_swap_sol": 0.0, "buys_sol": 0.0, "sells_sol": 0.0}
 
-    Migrations without swaps keep a row with NULL reserve and zero counts.
+
+def opening_totals(opened: DataFrame, keys: list[str]) -> DataFrame:
+    """Reserve before the first swap, flows, largest swap and distinct buyers per key; two aggregations, so it also runs on a stream.
+
+    ``opened``: the swaps of each opening window. Rows without a swap (``timestamp`` null) keep their key alive and count nothing.
+    Buyers are counted per (key, user) first: a busy pool spreads over its users.
     """
-    opened = interval_join(migrations.select("pool", "blockTime"), swaps, ["pool"], F.col("blockTime"),
-                           F.col("blockTime") + seconds, F.col("timestamp"))
     buy = F.col("side") == "buy"
-    # Buyers are counted per (pool, user) first: a busy pool spreads over its users.
-    per_user = opened.groupBy("pool", "user").agg(
+    per_user = opened.groupBy(*keys, "user").agg(
         F.sum(F.when(buy, quote_sol())).alias("buys"), F.sum(F.when(~buy, quote_sol())).alias("sells"),
-        count_if(buy).alias("n_buys"), F.max(quote_sol()).alias("largest"), F.count(F.lit(1)).alias("n"),
+        count_if(buy).alias("n_buys"), F.max(quote_sol()).alias("largest"), F.count("timestamp").alias("n"),
         F.min(F.struct("receivedAtMs", "receivedSequence", "quoteReserveRaw")).alias("first"))
-    per_pool = per_user.groupBy("pool").agg(
+    return per_user.groupBy(*keys).agg(
         (F.min("first")["quoteReserveRaw"].cast("double") / LAMPORTS).alias("quote_reserve_sol"),
         F.sum("n").alias("opening_swaps"), count_if(F.col("n_buys") > 0).alias("independent_buyers"),
         F.max("largest").alias("largest_opening_swap_sol"), F.sum("buys").alias("buys_sol"), F.sum("sells").alias("sells_sol"))
-    zero = {"opening_swaps": 0, "independent_buyers": 0, "largest_opening_swap_sol": 0.0, "buys_sol": 0.0, "sells_sol": 0.0}
-    return (migrations.join(per_pool, "pool", "left").fillna(zero)
+
+
+def opening_window(migrations: DataFrame, swaps: DataFrame, seconds: int) -> DataFrame:
+    """Per migration: what happened in [migration, migration + seconds], at second grain, both ends inclusive.
+
+    Migrations without swaps keep a row with NULL reserve and zero counts.
+    """
+    opened = interval_join(migrations.select("pool", "blockTime"), swaps, ["pool"], F.col("blockTime"),
+                           F.col("blockTime") + seconds, F.col("timestamp"))
+    return (migrations.join(opening_totals(opened, ["pool"]), "pool", "left").fillna(ZERO_OPENING)
             .withColumn("net_flow_sol", F.col("buys_sol") - F.col("sells_sol")))
 
 

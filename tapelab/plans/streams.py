@@ -14,7 +14,7 @@ from tapelab.functions.exprs import floor_div
 from tapelab.functions.gates import BaseGate
 from tapelab.operators import models as M, replay as R
 from tapelab.operators.pools import event_features
-from tapelab.plans import models as MQ
+from tapelab.plans import models as MQ, pools as PQ
 from tapelab.plans.oracle_sql import r
 from tapelab.plans.registry import query, r6
 from tapelab.session import cut_lineage, ensure_checkpoint_dir
@@ -82,6 +82,31 @@ def stream_opening_join(spark, d):
     return spark.read.parquet(f"{w}/out")
 
 
+OPENING_FILES = 3
+OPENING_DELAY_S = 3_600
+# A window is decided once the watermark has passed its end: the slower side's last time, which is the migrations', less the delay.
+_DECIDED = f"o.blockTime + {PQ.WINDOW_S} < (SELECT max(blockTime) FROM migrations) - {OPENING_DELAY_S}"
+
+
+@query("stream_opening_selector", f"""WITH {PQ._SELECT} SELECT p.pool, p.opening_swaps, p.independent_buyers, {', '.join(r('p.' + c, c) for c in PQ._OPEN_D)},
+  array_to_string(p.reasons, ';') AS reasons, CASE WHEN len(p.reasons) = 0 THEN 'QUALIFY' ELSE 'SKIP' END AS decision
+FROM picked p JOIN migrations o ON o.pool = p.pool WHERE {_DECIDED}""")
+def stream_opening_selector(spark, d):
+    """Migrations and swaps arrive in slices of time, and the query is started again for each: windows that span slices are decided once."""
+    w = work_dir(spark)
+    sw = cut_lineage(A.pool_swaps(spark, d))
+    mig = cut_lineage(A.migrations(sw).select("pool", "blockTime"))
+    low, high = sw.agg(F.min("timestamp"), F.max("timestamp")).head()
+    for i in range(OPENING_FILES if low is not None else 1):
+        part = lambda c: F.lit(True) if low is None else F.least(floor_div((F.col(c) - low) * OPENING_FILES, max(high - low, 1)), F.lit(OPENING_FILES - 1)) == i
+        sw.where(part("timestamp")).write.mode("append").parquet(f"{w}/swaps")
+        mig.where(part("blockTime")).write.mode("append").parquet(f"{w}/migrations")
+        m, s = (J.file_stream(spark, f"{w}/{name}", df.schema, "parquet") for name, df in (("migrations", mig), ("swaps", sw)))
+        J.run_to_files(J.stream_openings(m, s, PQ.WINDOW_S, f"{OPENING_DELAY_S} SECONDS", PQ.SELECTOR), f"{w}/out", f"{w}/ckpt")
+    return spark.read.parquet(f"{w}/out").select("pool", "opening_swaps", "independent_buyers", *[r6(c).alias(c) for c in PQ._OPEN_D],
+                                                 F.array_join("reasons", ";").alias("reasons"), "decision")
+
+
 @query("stream_bars", f"""WITH {_SEV} SELECT mint, t_us // 3600000000 * 3600 AS bucket_s, count(*) FILTER (WHERE isBuy) AS buys, count(*) FILTER (WHERE NOT isBuy) AS sells,
   {r('sum(solAmountRaw / 1e9) FILTER (WHERE isBuy)', 'buy_sol')}, {r('sum(solAmountRaw / 1e9) FILTER (WHERE NOT isBuy)', 'sell_sol')},
   {r('arg_min(mcap, struct_pack(a := t_us, b := receivedSequence))', 'mc_open')}, {r('arg_max(mcap, struct_pack(a := t_us, b := receivedSequence))', 'mc_close')},

@@ -14,6 +14,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tapelab.functions.gates import BaseGate
 from tapelab.operators.models import EntryModel
+from tapelab.operators.pools import ZERO_OPENING, opening_totals
+from tapelab.operators.signals import select_openings
 from tapelab.operators.snapshots import first_seen
 from tapelab.sources.tables import path_exists
 
@@ -81,6 +83,26 @@ def opening_joins(migrations: DataFrame, swaps: DataFrame, window: str, slack: s
     return m.join(s, cond, "inner")
 
 
+def stream_openings(migrations: DataFrame, swaps: DataFrame, seconds: int, delay: str, cfg: dict) -> DataFrame:
+    """The opening selector as one streaming query: interval join, buyers per (pool, user), totals per pool, reasons and decision.
+
+    A migration is decided once, when the watermark has passed the end of its window, so every swap inside the window that is no later
+    than ``delay`` counts. The watermark is that of the slower side (Spark's default policy), so the last windows stay open until a later
+    migration arrives, unless the session sets ``spark.sql.streaming.multipleWatermarkPolicy`` to max. A migration without swaps is decided too, as one without a reserve state. The join and both aggregations drop
+    their state behind the watermark: what is held are the open windows, the rows of one pool being spread over its users in the totals.
+    ``migrations``: pool, blockTime (s), once per pool; ``swaps``: pool, timestamp (s), user, side, amounts, reserve and receipt order.
+    """
+    m = migrations.select("pool", "blockTime", F.timestamp_seconds("blockTime").alias("migrated_at")).withWatermark("migrated_at", delay)
+    s = (swaps.select(F.col("pool").alias("swap_pool"), F.timestamp_seconds("timestamp").alias("swapped_at"), "timestamp", "user", "side", "userQuoteAmountRaw",
+                      "quoteAmountRaw", "quoteReserveRaw", "receivedAtMs", "receivedSequence").withWatermark("swapped_at", delay))
+    cond = ((F.col("pool") == F.col("swap_pool")) & (F.col("swapped_at") >= F.col("migrated_at"))
+            & (F.col("swapped_at") <= F.col("migrated_at") + F.expr(f"INTERVAL {int(seconds)} SECONDS")))
+    # Later operators follow one event time: the migration's.
+    opened = m.join(s, cond, "left_outer").drop("swap_pool", "swapped_at")
+    totals = opening_totals(opened, ["migrated_at", "pool", "blockTime"]).fillna(ZERO_OPENING)
+    return select_openings(totals.withColumn("net_flow_sol", F.col("buys_sol") - F.col("sells_sol")), cfg)
+
+
 def stream_bars(trades: DataFrame, width: str, delay: str) -> DataFrame:
     """Tumbling bars per mint. Late trades are accepted up to the watermark delay; a bar is emitted once it is final.
 

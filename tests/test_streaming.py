@@ -4,6 +4,8 @@ import json
 
 from pyspark.sql import functions as F, types as T
 
+from tapelab.operators.pools import opening_window
+from tapelab.operators.signals import select_openings
 from tapelab.operators.snapshots import first_seen
 from tapelab.streaming import jobs as J
 
@@ -65,3 +67,32 @@ def test_counters_of_a_batch_stand_once(spark, tmp_path):
     got = sorted((r["batch_id"], r["received"], r["passes"]) for r in J.read_counters(spark, str(tmp_path / "health"), names).collect())
     assert got == [(0, 3, 2), (1, 0, 0), (2, 2, 2)]
     assert spark.read.parquet(str(tmp_path / "out")).count() == 5
+
+
+def test_openings_on_a_stream_equal_the_batch(spark, tmp_path):
+    """Windows that span files and restarts, both ends inclusive, late swaps, repeated buyers, pools without swaps; each decided once."""
+    t0, window, delay = 1_700_000_000, 100, 20
+    swap_cols = "pool string, timestamp long, user string, side string, userQuoteAmountRaw long, quoteAmountRaw long, quoteReserveRaw long, receivedAtMs long, receivedSequence long"
+    mig_schema, swap_schema = T._parse_datatype_string("pool string, blockTime long"), T._parse_datatype_string(swap_cols)
+    migs = [("a", t0), ("b", t0 + 30), ("none", t0 + 40), ("c", t0 + 150), ("late", t0 + 1_000), ("end", t0 + 5_000)]
+    raw = [("a", -1, "x", "buy", 9), ("a", 0, "x", "buy", 2), ("a", 99, "x", "sell", 1), ("b", 35, "y", "buy", 1), ("b", 30, "x", "buy", None), ("a", 100, "z", "buy", 3),
+           ("a", 101, "w", "buy", 8), ("b", 130, "y", "buy", 5), ("b", 131, "q", "buy", 7), ("c", 160, "y", "sell", 4), ("c", 155, None, "buy", 2), ("c", 250, "y", "buy", 1),
+           ("orphan", 260, "y", "buy", 1), ("late", 1_010, "x", "buy", 1), ("end", 5_001, "x", "buy", 1)]
+    swaps = [(p, t0 + t, u, side, None if q is None else q * 10**9, 4 * 10**9, (30 + i) * 10**9, (t0 + t) * 1_000, i) for i, (p, t, u, side, q) in enumerate(raw)]
+    cfg = {"min_quote_reserve_sol": 30, "max_quote_reserve_sol": 40, "max_largest_opening_swap_sol": 4, "min_independent_buyers": 2, "min_opening_swaps": 2}
+    out, m_dir, s_dir = (str(tmp_path / n) for n in ("out", "m", "s"))
+    for m_part, s_part in ((migs[:2], swaps[:5]), (migs[2:3], swaps[5:9]), (migs[3:5], swaps[9:14]), (migs[5:], swaps[14:]), ([], swaps[:0])):
+        spark.createDataFrame(m_part, mig_schema).coalesce(1).write.mode("append").parquet(m_dir)
+        spark.createDataFrame(s_part, swap_schema).coalesce(1).write.mode("append").parquet(s_dir)
+        stream = J.stream_openings(J.file_stream(spark, m_dir, mig_schema, "parquet"), J.file_stream(spark, s_dir, swap_schema, "parquet"), window, f"{delay} seconds", cfg)
+        J.run_to_files(stream, out, str(tmp_path / "ck"))
+    got = spark.read.parquet(out).select("pool", "quote_reserve_sol", "opening_swaps", "independent_buyers", "largest_opening_swap_sol", "buys_sol", "sells_sol", "reasons", "decision")
+    batch = select_openings(opening_window(spark.createDataFrame(migs, mig_schema), spark.createDataFrame(swaps, swap_schema), window), cfg)
+    want = batch.where("pool <> 'end'").select(got.columns)
+    key = lambda df: sorted(map(str, df.collect()))
+    assert key(got) == key(want)
+    by_pool = {r["pool"]: r for r in got.collect()}
+    assert by_pool["none"]["reasons"] == ["no_reserve_state", "too_few_buyers", "too_few_swaps"]
+    a = by_pool["a"]
+    assert (a["opening_swaps"], a["independent_buyers"], a["buys_sol"], a["sells_sol"], a["quote_reserve_sol"], a["decision"]) == (3, 2, 5.0, 1.0, 31.0, "QUALIFY")
+    assert by_pool["b"]["quote_reserve_sol"] == 34.0 and by_pool["b"]["largest_opening_swap_sol"] == 5.0  # the earliest receipt, not the first row
