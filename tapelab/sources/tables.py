@@ -67,6 +67,11 @@ def write_report(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").json(path)
 
 
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """One small text file, on whatever file system the path names."""
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
 def markdown_table(df: DataFrame, limit: int) -> str:
     """Markdown for the first ``limit`` rows of an ordered report, with a last line that says how many rows there are."""
     def text(v: object) -> str:
