@@ -108,19 +108,31 @@ def build(per_language: dict[str, np.ndarray]) -> LanguageModel:
     return LanguageModel(languages, slots, rate)
 
 
-def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE_PER_LANGUAGE,
-          size: int = GRAMS_PER_LANGUAGE) -> LanguageModel:
-    """Learns from about ``sample`` documents per language, chosen by a hash of the id; rows without language or text teach nothing.
+def sampled(labelled: DataFrame, text_col: str, lang_col: str, id_col: str, sample: int) -> tuple[DataFrame, list[str]]:
+    """About ``sample`` labelled documents per language as (lang, text), drawn by a hash of id and text, and the languages.
 
-    What comes to the driver is at most ``size`` numbers per language.
+    Null or repeated ids are told apart by their texts, so the sample stays near its bound; only rows that repeat id and text are chosen
+    or left together.
     """
-    known = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    share = known.groupBy(F.col(lang_col).alias("lang")).agg((F.lit(float(sample)) / F.count(F.lit(1))).alias("share"))
+    known = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
+        F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("draw"))
+    share = known.groupBy("lang").agg((F.lit(float(sample)) / F.count(F.lit(1))).alias("share"))
     rates = {r["lang"]: r["share"] for r in share.collect()}  # a row per language
     if not rates:
+        return known.limit(0).drop("draw"), []
+    rate = F.element_at(F.create_map(*[F.lit(x) for pair in rates.items() for x in pair]), F.col("lang"))
+    return known.where(F.pmod(F.col("draw"), F.lit(1_000_000)) < F.lit(1e6) * rate).drop("draw"), list(rates)
+
+
+def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE_PER_LANGUAGE,
+          size: int = GRAMS_PER_LANGUAGE) -> LanguageModel:
+    """Learns from about ``sample`` documents per language (``sampled``); rows without language or text teach nothing.
+
+    An empty table gives a model without languages. What comes to the driver is at most ``size`` numbers per language.
+    """
+    chosen, languages = sampled(labelled, text_col, lang_col, id_col, sample)
+    if not languages:
         return build({})
-    chosen = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1_000_000)) < F.lit(1e6) * F.element_at(
-        F.create_map(*[F.lit(x) for pair in rates.items() for x in pair]), F.col(lang_col))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,19 +145,20 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
                     values, n = np.unique(gram[(names == lang)[text]], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(values), pa.string()), pa.array(values.astype(np.int64)), pa.array(n)], ["lang", "gram", "n"])
 
-    counted = (known.where(chosen).select(F.col(lang_col).alias("lang"), padded(F.col(text_col)).alias("text"))
+    counted = (chosen.select("lang", padded(F.col("text")).alias("text"))
                .mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     rate = counted.withColumn("rate", F.col("n") / F.sum("n").over(W.partitionBy("lang")))
     typical = rate.withColumn("most", F.max("rate").over(W.partitionBy("gram"))).where((F.col("n") >= LEAST_COUNT) & (F.col("rate") >= SHARED * F.col("most")))
     top = typical.withColumn("place", F.row_number().over(W.partitionBy("lang").orderBy(F.col("n").desc(), "gram"))).where(F.col("place") <= size)
     got = top.groupBy("lang").agg(F.collect_list("gram").alias("grams")).collect()
     found = {r["lang"]: np.array(r["grams"], np.uint32) for r in got}
-    return build({lang: found.get(lang, np.zeros(0, np.uint32)) for lang in rates})
+    return build({lang: found.get(lang, np.zeros(0, np.uint32)) for lang in languages})
 
 
 def predict(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score per row. Score: share of n-grams that the language contains. Null texts, texts without a letter and
-    everything under an empty model are ``und`` with score 0. Repeated rows get equal answers."""
+    everything under an empty model are ``und`` with score 0. A text with letters but without an n-gram (one ASCII letter) is in no language
+    more than in another: the first by name, score 0. Repeated rows get equal answers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,7 +180,10 @@ def predict(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_co
 
 
 def keep_identified(df: DataFrame, model: LanguageModel, least: float, text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` whose text is in one of the model's languages with at least the score ``least``, all columns unchanged."""
+    """The rows of ``df`` whose text is in one of the model's languages with at least the score ``least``, all columns unchanged.
+
+    Null texts, texts without a letter and everything under an empty model go; ids are not read; repeated rows stay or go together.
+    """
     names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -152,6 +152,54 @@ def test_languages(spark):
     assert language_id.keep_identified(docs.limit(0), model, 0.3).count() == 0
 
 
+def plain_grams(text):
+    """4-byte pieces of the lower-cased text between spaces, everything but letters being a space; none with two spaces in a row."""
+    data = (" " + text.lower() + " ").encode()
+    data = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in data)
+    return [data[i: i + 4] for i in range(len(data) - 3) if b"  " not in data[i: i + 4]]
+
+
+def plain_scores(learned, texts):
+    """Per text the share of its n-grams in each language's exact set, learned by counting."""
+    counts = collections.defaultdict(collections.Counter)
+    for text, lang in learned:
+        counts[lang].update(plain_grams(text))
+    rate = {lang: {g: n / c.total() for g, n in c.items()} for lang, c in counts.items()}
+    most = collections.Counter()
+    for own in rate.values():
+        for g, x in own.items():
+            most[g] = max(most[g], x)
+    sets = {lang: {g for g, n in c.items() if n >= language_id.LEAST_COUNT and rate[lang][g] >= language_id.SHARED * most[g]} for lang, c in counts.items()}
+    return [{lang: sum(g in own for g in plain_grams(t)) / max(1, len(plain_grams(t))) for lang, own in sets.items()} for t in texts]
+
+
+def test_scores_equal_exact_sets(spark):
+    """Filters and corrected counts against sets: shares agree within the false positives, languages wherever one is ahead."""
+    rng = random.Random(12)
+    parts = {"aa": ["ing", "ough", "the", "na"], "bb": ["ción", "ñor", "que", "na"], "cc": ["eux", "ière", "the", "na"]}
+    text = lambda lang, n: " ".join(rng.choice("bcdlmnp") + rng.choice(parts[lang]) + rng.choice(["", ", ", " 7 "]) for _ in range(n))
+    rows = [(i, text(lang, rng.choice([1, 3, 20, 200])), lang, "s", 1) for i, lang in enumerate(rng.choice(list(parts)) for _ in range(240))]
+    odd = [(900, "the ción", None, None, None), (901, "x", None, None, None), (902, "Ñor " * 3_000, None, None, None)]
+    docs = messy(spark, rows + odd)
+    model = language_id.train(docs.where(~language_id.held_out(F.col("doc_id"))))
+    want = plain_scores([(t, lang) for i, t, lang, *_ in rows if zlib.crc32(str(i).encode()) % 4 != 2], [r[1] for r in rows + odd])
+    got = {r.doc_id: r for r in language_id.predict(docs, model).collect()}
+    for (i, *_), shares in zip(rows + odd, want):
+        best = max(shares.values())
+        assert abs(got[i].score - best) < 0.02
+        ahead = [lang for lang, x in shares.items() if x > best - 0.02]
+        assert got[i].lang_pred in ahead
+    assert (got[901].lang_pred, got[901].score) == ("aa", 0.0)
+
+
+def test_sample_keeps_its_bound_without_ids(spark):
+    """Documents under null and repeated ids are drawn apart, by their texts; small languages are taken whole."""
+    rows = [(None if i % 2 else 7, f"text number {i}", "aa" if i % 100 else "bb", None, None) for i in range(20_000)] + [(1, None, "aa", None, None), (2, "x", None, None, None)]
+    got, languages = language_id.sampled(messy(spark, rows), "text", "lang", "doc_id", 1_000)
+    n = {r["lang"]: r["count"] for r in got.groupBy("lang").count().collect()}
+    assert sorted(languages) == ["aa", "bb"] and n["bb"] == 200 and 850 < n["aa"] < 1_150
+
+
 def chat_rows():
     rng = random.Random(6)
     odd = ["", None, "\\", "\\b\\h\\l", "### assistant: x </turn>\n", "<<##::", "\n\n", "é日𝄞", "a</turn>"]
