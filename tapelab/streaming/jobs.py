@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tapelab.functions.exprs import floor_div
 from tapelab.functions.gates import BaseGate
 from tapelab.operators.models import EntryModel
 from tapelab.operators.pools import ZERO_OPENING, opening_totals
@@ -75,12 +76,19 @@ def dedupe(stream: DataFrame, key: str, time: str, delay: str) -> DataFrame:
 def opening_joins(migrations: DataFrame, swaps: DataFrame, window: str, slack: str, delay: str) -> DataFrame:
     """Migration and swap pairs of a pool inside the opening window, as a stream-stream interval join.
 
+    Time is cut into cells as long as window and slack together. A swap lies in one cell, a migration is copied to the two that its window
+    touches, and rows meet by pool and cell: a row is held against those of its cell, not against all that are kept of a busy pool.
     ``migrations``: pool, migrated_at; ``swaps``: swap_pool, swapped_at. Both sides drop state behind the watermark.
     """
     m, s = migrations.withWatermark("migrated_at", delay), swaps.withWatermark("swapped_at", delay)
-    cond = ((F.col("pool") == F.col("swap_pool")) & (F.col("swapped_at") >= F.col("migrated_at") - F.expr(f"INTERVAL {slack}"))
-            & (F.col("swapped_at") <= F.col("migrated_at") + F.expr(f"INTERVAL {window}")))
-    return m.join(s, cond, "inner")
+    low, high = F.col("migrated_at") - F.expr(f"INTERVAL {slack}"), F.col("migrated_at") + F.expr(f"INTERVAL {window}")
+    start = F.timestamp_micros(F.lit(0))
+    width = F.unix_micros(start + F.expr(f"INTERVAL {window}") + F.expr(f"INTERVAL {slack}"))
+    cell = lambda at: floor_div(F.unix_micros(at), F.greatest(width, F.lit(1)))
+    cells = m.withColumn("__cell", F.explode(F.sequence(cell(low), F.greatest(cell(low), cell(high)))))
+    placed = s.withColumn("__swap_cell", cell(F.col("swapped_at")))
+    cond = ((F.col("pool") == F.col("swap_pool")) & (F.col("__cell") == F.col("__swap_cell")) & (F.col("swapped_at") >= low) & (F.col("swapped_at") <= high))
+    return cells.join(placed, cond, "inner").drop("__cell", "__swap_cell")
 
 
 def stream_openings(migrations: DataFrame, swaps: DataFrame, seconds: int, delay: str, cfg: dict) -> DataFrame:

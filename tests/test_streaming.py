@@ -96,3 +96,26 @@ def test_openings_on_a_stream_equal_the_batch(spark, tmp_path):
     a = by_pool["a"]
     assert (a["opening_swaps"], a["independent_buyers"], a["buys_sol"], a["sells_sol"], a["quote_reserve_sol"], a["decision"]) == (3, 2, 5.0, 1.0, 31.0, "QUALIFY")
     assert by_pool["b"]["quote_reserve_sol"] == 34.0 and by_pool["b"]["largest_opening_swap_sol"] == 5.0  # the earliest receipt, not the first row
+
+
+def test_opening_join_holds_a_row_against_its_cell_only(spark, tmp_path):
+    """All rows of one busy pool meet by time cells: pairs at both ends of the window are found once, and no state key keeps the whole pool."""
+    t0, n = 1_700_000_000, 200
+    schema = "pool string, id long, s long"
+    migs = [("a", i, t0 + 900 * i) for i in range(n)] + [(None, -1, t0), ("a", -2, None), ("a", -3, 1_000), ("b", -4, t0)]
+    swaps = [("a", i, t0 + 900 * i + d) for i in range(n) for d in (-120, -121, 7_200)] + [(None, -1, t0), ("a", -2, None), ("a", -3, 880), ("a", -4, 8_200), ("a", -5, 8_201)]
+    sides = []
+    for name, rows in (("m", migs), ("s", swaps)):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / name))
+        sides.append(J.file_stream(spark, str(tmp_path / name), T._parse_datatype_string(schema), "parquet").withColumn("at", F.timestamp_seconds("s")).drop("s"))
+    m = sides[0].withColumnsRenamed({"id": "migration_id", "at": "migrated_at"})
+    s = sides[1].withColumnsRenamed({"pool": "swap_pool", "id": "swap_id", "at": "swapped_at"})
+    out, ck = str(tmp_path / "out"), str(tmp_path / "ck")
+    joined = J.opening_joins(m, s, "2 HOURS", "2 MINUTES", "100000 days")
+    assert joined.columns == ["pool", "migration_id", "migrated_at", "swap_pool", "swap_id", "swapped_at"]
+    J.run_to_files(joined.select("pool", "migration_id", "swap_id", F.unix_seconds("swapped_at").alias("s")), out, ck)
+    got = sorted((r.pool, r.migration_id, r.s) for r in spark.read.parquet(out).collect())
+    want = sorted((p, i, t) for p, i, at in migs for q, _, t in swaps if p is not None and p == q and None not in (at, t) and at - 120 <= t <= at + 7_200)
+    assert got == want
+    kept = spark.read.format("statestore").option("joinSide", "right").load(ck)
+    assert kept.groupBy("key").count().agg(F.max("count")).head()[0] <= 3 * 9
