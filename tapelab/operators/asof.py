@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tapelab.operators.scan import Cells, equal_cells
+from tapelab.operators.scan import Cells, equal_cells, spread
 
 _RIGHT, _LEFT = 0, 1
 #: Events of a key that meet its spans in one cell of an interval join.
@@ -41,10 +41,10 @@ def _asof(left: DataFrame, right: DataFrame, keys: list[str], left_time: Column,
     t_order = F.col("__t").desc() if forward else F.col("__t").asc()
     seen = lambda *by: Window.partitionBy(*by).orderBy(t_order, *seq).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     if cells.cuts is None:
-        near = both.withColumn(payload, F.last("__pay", ignorenulls=True).over(seen(*keys)))
+        near = spread(both, cells.rows, keys).withColumn(payload, F.last("__pay", ignorenulls=True).over(seen(*keys)))
         return near.where(F.col("__side") == _LEFT).select("__row.*", payload)
 
-    both = cells.number(both, F.col("__t"), "__cell")
+    both = spread(cells.number(both, F.col("__t"), "__cell"), cells.rows, [*keys, "__cell"])
     near = both.withColumn("__near", F.last("__pay", ignorenulls=True).over(seen(*keys, "__cell")))
     edge = F.when(F.col("__side") == _RIGHT, F.struct("__t", *tie_cols))
     pick = F.min_by if forward else F.max_by
@@ -104,12 +104,12 @@ def interval_join(spans: DataFrame, events: DataFrame, keys: list[str], lo: Colu
 
 
 def salted_join(big: DataFrame, small: DataFrame, keys: list[str], spread_on: list[str], salts: int = 16,
-                how: str = "inner") -> DataFrame:
+                how: str = "inner", rows: int = 0) -> DataFrame:
     """Equality join where one key of ``big`` may hold much of the table and ``small`` has few rows per key.
 
     Rows of ``big`` spread over ``salts`` sub-keys by a hash of ``spread_on``; rows of ``small`` are copied once
-    per sub-key.
+    per sub-key. ``rows``, those of ``big`` where they are known, bounds what a task sorts.
     """
-    b = big.withColumn("__salt", F.pmod(F.xxhash64(*spread_on), F.lit(salts)).cast("int"))
+    b = spread(big.withColumn("__salt", F.pmod(F.xxhash64(*spread_on), F.lit(salts)).cast("int")), rows, [*keys, "__salt"])
     s = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return b.join(s, [*keys, "__salt"], how).drop("__salt")

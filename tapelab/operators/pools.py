@@ -63,7 +63,8 @@ def tape_completeness(migrations: DataFrame, swaps: DataFrame, decided_ms: Colum
 
 def running_drawdown(swaps: DataFrame, migrations: DataFrame, cells: Cells | None = None) -> DataFrame:
     """Peak and drawdown of spot market cap per swap since its pool's migration."""
-    since = salted_join(swaps, migrations.select("pool", "blockTime"), ["pool"], ["receivedSequence"]).where(F.col("timestamp") >= F.col("blockTime"))
+    since = salted_join(swaps, migrations.select("pool", "blockTime"), ["pool"], ["receivedSequence"],
+                        rows=cells.rows if cells else 0).where(F.col("timestamp") >= F.col("blockTime"))
     priced = since.withColumn("mcap_sol", spot_mcap(pool_after())).where(F.col("mcap_sol").isNotNull())
     out = running(priced, ["pool"], swap_order(), [Running("peak_mcap_sol", "max", F.col("mcap_sol"))], cells=cells)
     return out.withColumn("drawdown_pct", F.coalesce(
@@ -79,13 +80,13 @@ def flow_totals(swaps: DataFrame, key: str = "pool", cells: Cells | None = None)
         Running("cum_sell", "sum", F.when(buy, F.lit(0).cast("long")).otherwise(amount))], cells=cells)
 
 
-def flow_pressure(instants: DataFrame, swaps: DataFrame, at: str, window_ms: int) -> DataFrame:
+def flow_pressure(instants: DataFrame, swaps: DataFrame, at: str, window_ms: int, cells: Cells | None = None) -> DataFrame:
     """Buy and sell SOL in [at - window, at] per instant, both ends inclusive.
 
     A window sum is the difference of two running totals, each found by an as-of lookup: linear whatever the rate
     of events.
     """
-    cells = equal_cells(swaps, ["pool"], F.col("receivedAtMs"))
+    cells = cells or equal_cells(swaps, ["pool"], F.col("receivedAtMs"))
     totals = flow_totals(swaps, cells=cells).select("pool", "receivedAtMs", "receivedSequence", "cum_buy", "cum_sell")
     args = dict(keys=["pool"], right_time=F.col("receivedAtMs"), right_tie=[F.col("receivedSequence")], cells=cells)
     upto = asof_backward(instants, totals, left_time=F.col(at), payload="__upto", **args)

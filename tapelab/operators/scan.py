@@ -7,6 +7,7 @@ summary row per cell is scanned inside the key; the two are added up. The result
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -16,18 +17,30 @@ from tapelab.session import cut_lineage
 _CELL = "__cell"
 #: Rows of a key that one task may scan.
 CELL_ROWS = 1_000_000
+#: Rows that a partition of a sorted table should hold, keys apart that alone have more.
+PART_ROWS = 250_000
 #: Cells of one key at most; a key with more rows has larger cells.
 MOST_CELLS = 1024
 #: Tables of cut points up to so many keys are broadcast.
 BROADCAST_KEYS = 10_000
 
 
+def spread(df: DataFrame, rows: int, by: list[str]) -> DataFrame:
+    """Deals ``df`` by the columns ``by`` over partitions of about PART_ROWS of ``rows``, so what a task sorts does not grow with the table.
+
+    Left as it is where the session's own number of shuffle partitions is enough.
+    """
+    parts = math.ceil(rows / PART_ROWS)
+    return df.repartition(parts, *by) if by and parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 @dataclass(frozen=True)
 class Cells:
-    """Cut points along an order, for the keys that need more than one cell; ``cuts`` is None where none does."""
+    """Cut points along an order, for the keys that need more than one cell; ``cuts`` is None where none does. ``rows``: of the table."""
 
     keys: list[str]
     cuts: DataFrame | None = None
+    rows: int = 0
 
     def _below(self, at: Column) -> Column:
         return F.size(F.filter(F.coalesce("__cuts", F.array().cast(self.cuts.schema["cuts"].dataType)), lambda c: c < at))
@@ -58,17 +71,19 @@ def equal_cells(rows: DataFrame, keys: list[str], at: Column, most: int | None =
     uses of the cells agree.
     """
     most = most or CELL_ROWS
-    slim = rows.select(*keys, at.alias("__at")).where(F.col("__at").isNotNull())
-    large = slim.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > most)
-    if large.isEmpty():
-        return Cells(keys)
+    given = rows.select(*keys, at.alias("__at"))
+    sizes = given.groupBy(*keys).agg(F.count("__at").alias("__n"), F.count(F.lit(1)).alias("__rows"))
+    total, biggest = sizes.agg(F.sum("__rows"), F.max("__n")).head()
+    if (biggest or 0) <= most:
+        return Cells(keys, rows=total or 0)
+    slim, large = given.where(F.col("__at").isNotNull()), sizes.where(F.col("__n") > most)
     picked = slim.join(large.select(*keys), keys, "left_semi") if keys else slim
     sketch = picked.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.percentile_approx(
         "__at", [i / MOST_CELLS for i in range(1, MOST_CELLS)], 10 * MOST_CELLS).alias("__q"))
     cells = F.least(F.ceil(F.col("__n") / most), F.lit(MOST_CELLS)).cast("int")
     cuts = F.transform(F.sequence(F.lit(1), cells - 1), lambda i: F.element_at("__q", F.floor(i * MOST_CELLS / cells).cast("int")))
     made = cut_lineage(sketch.select(*keys, F.array_distinct(cuts).alias("cuts")))
-    return Cells(keys, F.broadcast(made) if keys and made.count() <= BROADCAST_KEYS else made)
+    return Cells(keys, F.broadcast(made) if keys and made.count() <= BROADCAST_KEYS else made, total)
 
 
 @dataclass(frozen=True)
@@ -100,9 +115,9 @@ def running(df: DataFrame, keys: list[str], order: list[Column], aggs: list[Runn
     whole = Window.partitionBy(*keys)
     if cells.cuts is None:
         upto = whole.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return df.withColumns({**{a.name: a.total().over(upto) for a in aggs}, **{n: F.min(c).over(whole) for n, c in first.items()},
+        return spread(df, cells.rows, keys).withColumns({**{a.name: a.total().over(upto) for a in aggs}, **{n: F.min(c).over(whole) for n, c in first.items()},
                                **{n: F.sum(c).over(whole) for n, c in totals.items()}})
-    rows = cells.number(df, order[0])
+    rows = spread(cells.number(df, order[0]), cells.rows, [*keys, _CELL])
     local = Window.partitionBy(*keys, _CELL).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     scanned = rows.withColumns({f"__l_{a.name}": a.total().over(local) for a in aggs})
 
@@ -131,8 +146,8 @@ def max_drawdown(df: DataFrame, keys: list[str], order: list[Column], amount: Co
     Each cell reduces to (sum, highest prefix, lowest prefix, inner drawdown); cell summaries combine in
     order, so the only per-key work is over cells.
     """
-    numbered = (cells or equal_cells(df, keys, order[0])).number(df, order[0])
-    rows = numbered.select(*keys, _CELL, amount.alias("__a"), *[o.alias(f"__o{i}") for i, o in enumerate(order)])
+    cells = cells or equal_cells(df, keys, order[0])
+    rows = spread(cells.number(df, order[0]).select(*keys, _CELL, amount.alias("__a"), *[o.alias(f"__o{i}") for i, o in enumerate(order)]), cells.rows, [*keys, _CELL])
     inside = (Window.partitionBy(*keys, _CELL).orderBy(*[f"__o{i}" for i in range(len(order))])
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     pre = rows.withColumn("__p", F.sum("__a").over(inside))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tapelab.functions import curve_amm as K, pool_amm as P
 from tapelab.functions.gates import DumpGuard
 from tapelab.operators import pools as O, signals as Sg
+from tapelab.operators.scan import equal_cells
 from tapelab.plans import oracle_sql as S
 from tapelab.plans.oracle_sql import r
 from tapelab.plans.registry import query, r6
@@ -135,7 +136,7 @@ _DRAW = _AFTER + f""", priced AS (SELECT a.pool, receivedAtMs, receivedSequence,
   {r('100 * ((peak - mcap) / peak)', 'drawdown_pct')} FROM peaks""")
 def running_drawdown(spark, d):
     sw = cut_lineage(A.pool_swaps(spark, d))
-    return O.running_drawdown(sw, A.migrations(sw)).select(
+    return O.running_drawdown(sw, A.migrations(sw), equal_cells(sw, ["pool"], F.col("receivedAtMs"))).select(
         "receivedSequence", "pool", *[r6(c).alias(c) for c in ("mcap_sol", "peak_mcap_sol", "drawdown_pct")])
 
 
@@ -152,8 +153,9 @@ SELECT receivedSequence, pool, {r('buy_sol', 'buy_sol')}, {r('sell_sol', 'sell_s
 FROM pressure""")
 def dump_guard(spark, d):
     sw = cut_lineage(A.pool_swaps(spark, d))
-    at = O.running_drawdown(sw, A.migrations(sw)).select("receivedSequence", "pool", "receivedAtMs", "drawdown_pct")
-    out = O.with_dump_guard(O.flow_pressure(at, sw, "receivedAtMs", GUARD.window_ms), GUARD)
+    cells = equal_cells(sw, ["pool"], F.col("receivedAtMs"))
+    at = O.running_drawdown(sw, A.migrations(sw), cells).select("receivedSequence", "pool", "receivedAtMs", "drawdown_pct")
+    out = O.with_dump_guard(O.flow_pressure(at, sw, "receivedAtMs", GUARD.window_ms, cells), GUARD)
     return out.select("receivedSequence", "pool", *[r6(c).alias(c) for c in ("buy_sol", "sell_sol", "sell_to_buy_ratio")],
                       F.array_join("dump_reasons", ";").alias("dump_reasons"))
 

@@ -422,3 +422,20 @@ def test_curve_accounts_equal_one_by_one(spark):
     assert got == want
     assert {v[0] for v in want.values()} == {"DROPPED_BY_GAP", "SKIP_CAPACITY", "INVALIDATED", "CLOSED"}
     assert R.curve_accounts(fills.limit(0), spark.createDataFrame([], "gap_ms long")).count() == 0
+
+
+def test_sorted_tables_are_dealt_by_their_rows(spark, monkeypatch):
+    """Scans and as-of lookups take partitions in proportion to the rows, not the session's fixed number, and give the same rows."""
+    from tapelab.operators import pools, scan
+
+    rows = [(f"p{i % 197}", (i * 37) % 1_000 if i % 97 else None, i, "buy" if i % 3 else "sell", 10 + i, None if i % 7 else i) for i in range(4_000)]
+    swaps = spark.createDataFrame(rows, "pool string, receivedAtMs long, receivedSequence long, side string, quoteAmountRaw long, userQuoteAmountRaw long")
+    seen = lambda: pools.flow_pressure(swaps.select("pool", "receivedAtMs", "receivedSequence"), swaps, "receivedAtMs", 100)
+    plain = sorted(map(str, seen().collect()))
+    own = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    monkeypatch.setattr(scan, "PART_ROWS", 50, raising=False)
+    dealt = seen()
+    assert dealt.rdd.getNumPartitions() == 80 > own
+    assert sorted(map(str, dealt.collect())) == plain
+    monkeypatch.setattr(scan, "CELL_ROWS", 10)  # every key in cells
+    assert sorted(map(str, seen().collect())) == plain
