@@ -239,6 +239,28 @@ def test_chat(spark):
     assert chat.digests(chat.read_back(chat.segments(df.limit(0)))).count() == 0
 
 
+def test_chat_reads_its_digests_from_written_examples(spark, monkeypatch):
+    """Each reply is written behind all turns before it, over several chunks too, and the digests come from those texts."""
+    roles = ["assistant", "user", "assistant", "assistant", "user", "user", "user", "assistant", "user", "user"]
+    rows = [(c, t, role, f"t{t}#") for c, m in ((1, 10), (2, 2), (None, 5)) for t, role in enumerate(roles[:m])] + [(3, 0, "user", "alone")]
+    monkeypatch.setattr(chat, "CHUNK", 3)
+    parts = chat.segments(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    shown = lambda c: [f"### {role}: {x.replace('#', chr(92) + 'h')} </turn>\n" for k, _, role, x in rows if k == c]
+    written, after = collections.defaultdict(str), collections.defaultdict(str)
+    for r in sorted(chat.pieces(parts).collect(), key=lambda r: r.chunk):
+        held, name = (after, r.conv) if r.reader is None else (written, (r.conv, r.reader, r.number))
+        assert r.reader is None or len(held[name]) == r.begin
+        held[name] += r.text
+        assert r.text.count("</turn>") <= 3 and (r.loss_start is None) == (r.reader != r.chunk)
+    want = {c: ["".join(shown(c)[:i + 1]) for i, r in enumerate(x for k, _, x, _ in rows if k == c) if r == "assistant"] for c in (1, 2, None, 3)}
+    assert {c: [t for (k, _, _), t in sorted(written.items(), key=lambda x: x[0][1:]) if k == c] for c in want} == want
+    assert {c: t for c, t in after.items() if t} == {1: "".join(shown(1)[8:]), 2: shown(2)[1], None: shown(None)[4], 3: shown(3)[0]}
+    got = {r.conv_id: r for r in chat.digests(chat.read_back(parts)).collect()}
+    assert {c: (r.n_turns, r.formatted_chars) for c, r in got.items()} == {c: (len(shown(c)), sum(map(len, want[c]))) for c in want}
+    monkeypatch.setattr(chat, "pieces", lambda p, made=chat.pieces: made(p).withColumn("text", F.regexp_replace("text", "t0", "T0")))
+    assert all(r.turns_sha256 != got[r.conv_id].turns_sha256 for r in chat.digests(chat.read_back(parts)).collect() if r.conv_id != 3)
+
+
 def brute_top(rows, k, every):
     """(query id, its k best as (id, score)) of every query row; row by row, so repeated ids are rows of their own."""
     known = []
